@@ -6,6 +6,9 @@ a sketch of fixed size. Two sets whose Jaccard similarity reaches the threshold
 shingles of their l-prefixes, the first n - ceil(t n) + l shingles in that order (Wang, Li and Feng
 2012); each document picks the l of least estimated cost, so that one made of common passages gets a
 longer prefix and asks for more shared shingles. Two prefixes of different l must share the smaller.
+For two given sizes the shared shingles stand further in front still: of two sets only the places before
+size - needed overlap + l count, and a shingle too far back for that in a set's own size class can only meet
+smaller sets. Near copies just below the threshold so share no shingle that counts.
 
 Pairs are not enumerated inside groups: of the documents that share a prefix shingle, each is first
 compared with one pivot, links found so far give components, and only pairs of documents in different
@@ -162,9 +165,13 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     first = C.staged(classes.select(F.col("doc").alias("doc_id")).distinct(), "first")
     known = C.join_sized(texts, first, "doc_id", "left_semi", F.lit(16))
     listed = C.staged(known.mapInArrow(_prefixes(k, percent, sketch_of(rows)), "doc long, n int, l int, tokens array<long>"), "prefixes")
-    flat = listed.where("l > 0").select(F.explode("tokens").alias("token"), "doc", "n", "l")
-    shared = flat.groupBy("token").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1").select("token")
+    need = lambda n, m: f"(({percent}L * ({n} + {m}) + {99 + percent}) div {100 + percent})"  # noqa: E731  shingles that linked sets of these sizes share
+    flat = listed.where("l > 0").select(F.posexplode("tokens").alias("pos", "token"), "doc", "n", "l")
+    flat = flat.withColumn("short", F.expr(f"pos < n - {need('n', 'n')} + l"))  # can match a set that isn't smaller
+    shared = flat.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.max("short").alias("some")).where("docs > 1 and some").select("token")
     shared = C.staged(flat.join(shared, "token"), "shared")
+    # the l-th shingle that linked sets share stands before these places
+    close = f"pos < n - {need('n', 'p.n')} + least(l, p.l) and p.pos < p.n - {need('n', 'p.n')} + least(l, p.l)"
     links = None
     label = None  # (node, component) so far
     seen = None
@@ -172,17 +179,17 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
         now = shared
         if label is not None:
             now = now.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-            open_tokens = now.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
+            open_tokens = now.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("short").alias("some")).where("a <> b and some").select("token")
             now = C.staged(now.join(open_tokens, "token"), "open")
         else:
             now = now.withColumn("component", F.col("doc"))
         if turn < PIVOT_ROUNDS:
-            best = now.groupBy("token").agg(F.min_by(F.struct("doc", "n", "l", "component"), F.struct(F.xxhash64(F.lit(turn), "doc"), "doc")).alias("p"))
-            found = now.join(best, "token").where("doc <> p.doc and component <> p.component").select("doc", "n", "l", "p")
-        else:
-            other = now.select("token", F.struct("doc", "n", "l", "component").alias("p"))
-            found = now.join(other, "token").where("doc < p.doc and component <> p.component").select("doc", "n", "l", "p")
-        found = found.where(f"least(n, p.n) * 100L >= {percent} * greatest(n, p.n)")
+            best = now.groupBy("token").agg(F.min_by(F.struct("doc", "n", "l", "pos", "component"), F.struct(F.xxhash64(F.lit(turn), "doc"), "doc")).alias("p"))
+            found = now.join(best, "token").where("doc <> p.doc and component <> p.component")
+        else:  # the first of a pair is the smaller set: rows far back in the prefix can't be
+            other = now.select("token", F.struct("doc", "n", "l", "pos", "component").alias("p"))
+            found = now.where("short").join(other, "token").where("(n < p.n or n = p.n and doc < p.doc) and component <> p.component")
+        found = found.where(f"least(n, p.n) * 100L >= {percent} * greatest(n, p.n)").where(close).select("doc", "n", "l", "p")
         found = found.groupBy(F.least("doc", "p.doc").alias("x"), F.greatest("doc", "p.doc").alias("y"), F.least("l", "p.l").alias("need")).count().where("count >= need").select("x", "y")
         if seen is not None:
             found = found.join(seen, ["x", "y"], "left_anti")
