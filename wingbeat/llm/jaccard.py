@@ -10,11 +10,11 @@ For two given sizes the shared shingles stand further in front still: of two set
 size - needed overlap + l count, and a shingle too far back for that in a set's own size class can only meet
 smaller sets. Near copies just below the threshold so share no shingle that counts.
 
-Pairs are not enumerated inside groups: of the documents that share a prefix shingle, each is first
-compared with one pivot, links found so far give components, and only pairs of documents in different
-components are compared after that, over all shared prefix shingles. So no link between components is
-lost, and a group of near copies costs about one comparison a document. All comparisons are exact, on
-whole texts.
+Pairs are not enumerated inside groups: of the documents that share a prefix shingle, each is compared
+with one pivot, links found so far give components, and the next rounds compare, with other pivots, only
+documents in different components. Once few pairs are left they all are compared. So no link between
+components is lost, and a group of near copies costs a few comparisons a document. All comparisons are
+exact, on whole texts.
 
 Defined results: null texts and texts without words have no shingle, link with nothing and are their
 own component; a null doc_id has a null component; rows that repeat a doc_id count as one document
@@ -37,7 +37,9 @@ from .components import components
 SHINGLE, PERCENT = 4, 85
 SKETCH, SLICES = 1 << 18, 32
 MOST_L = 4
-PIVOT_ROUNDS = 2
+#: Pairs of rows in different components are compared one by one once there are at most so many for each row; else,
+#: and in MOST_ROUNDS rounds at most, documents are compared with PIVOTS more pivots first.
+PAIRS_A_ROW, MOST_ROUNDS, PIVOTS = 4, 6, 8
 
 
 def shingles(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -175,17 +177,29 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     links = None
     label = None  # (node, component) so far
     seen = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        now = shared
+    for turn in range(MOST_ROUNDS):
+        now, last = shared, False
         if label is not None:
             now = now.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-            open_tokens = now.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("short").alias("some")).where("a <> b and some").select("token")
-            now = C.staged(now.join(open_tokens, "token"), "open")
+            parts = now.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"), F.count_if("short").alias("s"))
+            open_tokens = parts.groupBy("token").agg(F.sum("c").alias("rows"), (F.sum("c") * F.sum("s") - F.sum(F.col("c") * F.col("s"))).alias("pairs")).where("pairs > 0")
+            open_tokens = C.staged(open_tokens, "tokens")
+            rows, pairs = open_tokens.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
+            if not rows:
+                break
+            last = pairs <= PAIRS_A_ROW * rows or turn == MOST_ROUNDS - 1
+            now = C.staged(now.join(open_tokens.select("token", "rows"), "token"), "open")
         else:
             now = now.withColumn("component", F.col("doc"))
-        if turn < PIVOT_ROUNDS:
+        if label is None:
             best = now.groupBy("token").agg(F.min_by(F.struct("doc", "n", "l", "pos", "component"), F.struct(F.xxhash64(F.lit(turn), "doc"), "doc")).alias("p"))
             found = now.join(best, "token").where("doc <> p.doc and component <> p.component")
+        elif not last:  # each document with the pivots of its most common open shingle
+            mine = now.groupBy("doc").agg(F.max_by(F.struct("token", "n", "l", "component"), F.struct("rows", "token")).alias("m")).select("doc", "m.*")
+            mine = C.staged(mine.withColumn("pos", F.lit(0)), "own")
+            some = [F.min_by(F.struct("doc", "n", "l", "pos", "component"), F.struct(F.xxhash64(F.lit(f"{turn}-{k}"), "doc"), "doc")) for k in range(PIVOTS)]
+            best = mine.groupBy("token").agg(F.array(*some).alias("ps")).select("token", F.explode("ps").alias("p"))
+            found = mine.join(best, "token").where("doc <> p.doc and component <> p.component").withColumns({"l": F.lit(1)})
         else:  # the first of a pair is the smaller set: rows far back in the prefix can't be
             other = now.select("token", F.struct("doc", "n", "l", "pos", "component").alias("p"))
             found = now.where("short").join(other, "token").where("(n < p.n or n = p.n and doc < p.doc) and component <> p.component")
@@ -198,6 +212,8 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
         seen = found if seen is None else seen.union(found)
         links = new if links is None else links.union(new)
         label = components(links)
+        if last:
+            break
     own = sets.join(classes, ["set_a", "set_b", "n"], "left").join(label.withColumnsRenamed({"node": "doc"}), "doc", "left")
     return own.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc", "doc_id").alias("component_id"))
 
