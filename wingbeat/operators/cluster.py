@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -79,12 +81,9 @@ def dbscan(x: np.ndarray, eps: float, min_points: int) -> np.ndarray:
 def cluster_events(df: DataFrame, features: list[str], eps: float | str = "auto", pct: float = 5.0) -> DataFrame:
     """(recording, roi_no, cluster, keep_label); rows with a null feature are dropped, fewer than 3 rows are noise."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=features).sort_values("roi_no")
-        out = pdf[["recording", "roi_no"]].assign(cluster=-1, keep_label=0)
-        if len(pdf) < 3:
-            return out
-        x = pdf[features].to_numpy(float)
+    def one(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(x) < 3:
+            return np.full(len(x), -1), np.zeros(len(x), int)
         width = eps
         if eps == "auto":
             nearest = np.sort(_near(x, 0.0)[1])
@@ -92,6 +91,25 @@ def cluster_events(df: DataFrame, features: list[str], eps: float | str = "auto"
         label = dbscan(x, float(width), max(2, round(pct / 100 * len(x))))
         found = label[label >= 0]
         best = np.argmax(np.bincount(found)) if len(found) else -2
-        return out.assign(cluster=label.astype("int32"), keep_label=(label == best).astype("int32"))
-
-    return df.select("recording", "roi_no", *features).groupBy("recording").applyInPandas(one, "recording string, roi_no int, cluster int, keep_label int")
+        return label, (label == best).astype(int)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sorted rows, many recordings at once; a batch's last recording waits for the next batch."""
+        left = None
+        for pdf in batches:
+            pdf = pdf if left is None else pd.concat([left, pdf], ignore_index=True)
+            done = pdf["recording"] != pdf["recording"].iloc[-1] if len(pdf) else pd.Series([], dtype=bool)
+            left = pdf[~done]
+            if done.any():
+                yield told(pdf[done])
+        if left is not None and len(left):
+            yield told(left)
+
+    def told(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, name = pdf[features].to_numpy(float), pdf["recording"].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+        parts = [one(part) for part in np.split(x, first[1:])]
+        return pdf[["recording", "roi_no"]].assign(cluster=np.concatenate([a for a, _ in parts]).astype("int32"), keep_label=np.concatenate([b for _, b in parts]).astype("int32"))
+
+    rows = df.select("recording", "roi_no", *features).dropna(subset=features)
+    return rows.repartition("recording").sortWithinPartitions("recording", "roi_no").mapInPandas(run, "recording string, roi_no int, cluster int, keep_label int")
