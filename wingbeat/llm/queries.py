@@ -16,11 +16,11 @@ ORACLES: dict[str, str] = {
     # a word is removed when a 50-word window over it also starts in a document of smaller id
     "op6_repeats": rf"""
         WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
-        p AS (SELECT doc_id, unnest(range(1, len(words) - 48)) AS at, words FROM w WHERE len(words) >= 50),
-        h AS (SELECT doc_id, at, md5(array_to_string(words[at:at + 49], ' ')) AS key FROM p),
+        p AS (SELECT doc_id, unnest(range(1, len(words) - 48)) AS pos, words FROM w WHERE len(words) >= 50),
+        h AS (SELECT doc_id, pos, md5(array_to_string(words[pos:pos + 49], ' ')) AS key FROM p),
         f AS (SELECT key, min(doc_id) AS first FROM h GROUP BY key),
-        s AS (SELECT h.doc_id, h.at FROM h JOIN f ON h.key = f.key WHERE f.first < h.doc_id),
-        g AS (SELECT DISTINCT doc_id, unnest(range(at, at + 50)) AS i FROM s),
+        s AS (SELECT h.doc_id, h.pos FROM h JOIN f ON h.key = f.key WHERE f.first < h.doc_id),
+        g AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 50)) AS i FROM s),
         k AS (SELECT w.doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w),
         r AS (SELECT k.doc_id, k.word, k.i FROM k LEFT JOIN g ON k.doc_id = g.doc_id AND k.i = g.i WHERE g.i IS NULL),
         t AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM r GROUP BY doc_id)
