@@ -12,9 +12,9 @@ smaller sets. Near copies just below the threshold so share no shingle that coun
 
 Pairs are not enumerated inside groups: of the documents that share a prefix shingle, each is compared
 with one pivot, links found so far give components, and the next rounds compare, with other pivots, only
-documents in different components. Once few pairs are left they all are compared. So no link between
-components is lost, and a group of near copies costs a few comparisons a document. All comparisons are
-exact, on whole texts.
+documents of large groups in different components. Then all pairs that are left are compared. So no link
+between components is lost, and a group of near copies costs a few comparisons a document. All comparisons
+are exact, on whole texts. Groups are of a shingle and a band of set sizes, as linked sets are of like size.
 
 Defined results: null texts and texts without words have no shingle, link with nothing and are their
 own component; a null doc_id has a null component; rows that repeat a doc_id count as one document
@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -37,9 +37,10 @@ from .components import components
 SHINGLE, PERCENT = 4, 85
 SKETCH, SLICES = 1 << 18, 32
 MOST_L = 4
-#: Pairs of rows in different components are compared one by one once there are at most so many for each row; else,
-#: and in MOST_ROUNDS rounds at most, documents are compared with PIVOTS more pivots first.
-PAIRS_A_ROW, MOST_ROUNDS, PIVOTS = 4, 6, 8
+#: All pairs of rows in different components are compared once the groups of more than MANY rows hold at most so many
+#: for each row; else documents of such groups meet PIVOTS more pivots first, in MOST_ROUNDS rounds, or until a round
+#: leaves more than half of these pairs.
+PAIRS_A_ROW, MOST_ROUNDS, PIVOTS, MANY = 1, 4, 8, 16
 
 
 def shingles(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -157,6 +158,56 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return C.staged(both.mapInArrow(_verified(k, percent), "x long, y long"), "verified")
 
 
+def _need(percent: int, n: str, m: str) -> str:
+    """SQL: how many shingles linked sets of sizes n and m share at least."""
+    return f"(({percent}L * ({n} + {m}) + {99 + percent}) div {100 + percent})"
+
+
+def _places(listed: DataFrame, percent: int) -> DataFrame:
+    """(token, doc, n, l, pos, short, up): the places where documents can meet; token is of a shingle and a band of set sizes.
+
+    Linked sets are of one band, or the larger one's is the next. So a place is listed in its own band and, if it
+    can match a set that isn't smaller (short), in the next one too (up).
+    """
+    flat = listed.where("l > 0").select(F.posexplode("tokens").alias("pos", "token"), "doc", "n", "l")
+    flat = flat.withColumn("short", F.expr(f"pos < n - {_need(percent, 'n', 'n')} + l"))
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * (1 + 1e-9))).cast("int")
+    ups = F.when(F.col("short"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    flat = flat.withColumn("band", band).select("token", "band", "doc", "n", "l", "pos", "short", F.explode(ups).alias("up"))
+    return flat.select(F.xxhash64("token", F.col("band") + F.col("up").cast("int")).alias("token"), "doc", "n", "l", "pos", "short", "up")
+
+
+def _labelled(places: DataFrame, label: DataFrame | None) -> DataFrame:
+    if label is None:
+        return places.withColumn("component", F.col("doc"))
+    return places.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+
+
+def _open(places: DataFrame) -> DataFrame:
+    """(token, rows, pairs) of the tokens where documents of different components meet."""
+    parts = places.groupBy("token", "component").agg(F.count(F.lit(1)).alias("r"), F.count_if(~F.col("up")).alias("c"), F.count_if("short").alias("s"))
+    pairs = F.sum("c") * F.sum("s") - F.sum(F.col("c") * F.col("s"))
+    return C.staged(parts.groupBy("token").agg(F.sum("r").alias("rows"), pairs.alias("pairs")).where("pairs > 0"), "tokens")
+
+
+def _candidates(met: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) among rows (doc, n, l, pos, p) that share as many places as their prefixes ask for."""
+    needed = _need(percent, "n", "p.n")  # the l-th shingle that linked sets share stands before these places
+    close = f"pos < n - {needed} + least(l, p.l) and p.pos < p.n - {needed} + least(l, p.l)"
+    met = met.where("doc <> p.doc and component <> p.component").where(f"least(n, p.n) * 100L >= {percent} * greatest(n, p.n)").where(close)
+    pair = [F.least("doc", "p.doc").alias("x"), F.greatest("doc", "p.doc").alias("y"), F.least("l", "p.l").alias("need")]
+    return met.select(*pair).groupBy("x", "y", "need").count().where("count >= need").select("x", "y")
+
+
+def _partner() -> Column:
+    return F.struct("doc", "n", "l", "pos", "component")
+
+
+def _pivot(salt: str) -> Column:
+    """The document of a group with the smallest hash."""
+    return F.min_by(_partner(), F.struct(F.xxhash64(F.lit(salt), "doc"), "doc"))
+
+
 def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     C.arrow_rows(docs.sparkSession)
@@ -167,50 +218,38 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     first = C.staged(classes.select(F.col("doc").alias("doc_id")).distinct(), "first")
     known = C.join_sized(texts, first, "doc_id", "left_semi", F.lit(16))
     listed = C.staged(known.mapInArrow(_prefixes(k, percent, sketch_of(rows)), "doc long, n int, l int, tokens array<long>"), "prefixes")
-    need = lambda n, m: f"(({percent}L * ({n} + {m}) + {99 + percent}) div {100 + percent})"  # noqa: E731  shingles that linked sets of these sizes share
-    flat = listed.where("l > 0").select(F.posexplode("tokens").alias("pos", "token"), "doc", "n", "l")
-    flat = flat.withColumn("short", F.expr(f"pos < n - {need('n', 'n')} + l"))  # can match a set that isn't smaller
-    shared = flat.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.max("short").alias("some")).where("docs > 1 and some").select("token")
-    shared = C.staged(flat.join(shared, "token"), "shared")
-    # the l-th shingle that linked sets share stands before these places
-    close = f"pos < n - {need('n', 'p.n')} + least(l, p.l) and p.pos < p.n - {need('n', 'p.n')} + least(l, p.l)"
-    links = None
-    label = None  # (node, component) so far
-    seen = None
-    for turn in range(MOST_ROUNDS):
-        now, last = shared, False
-        if label is not None:
-            now = now.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-            parts = now.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"), F.count_if("short").alias("s"))
-            open_tokens = parts.groupBy("token").agg(F.sum("c").alias("rows"), (F.sum("c") * F.sum("s") - F.sum(F.col("c") * F.col("s"))).alias("pairs")).where("pairs > 0")
-            open_tokens = C.staged(open_tokens, "tokens")
-            rows, pairs = open_tokens.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
-            if not rows:
-                break
-            last = pairs <= PAIRS_A_ROW * rows or turn == MOST_ROUNDS - 1
-            now = C.staged(now.join(open_tokens.select("token", "rows"), "token"), "open")
-        else:
-            now = now.withColumn("component", F.col("doc"))
-        if label is None:
-            best = now.groupBy("token").agg(F.min_by(F.struct("doc", "n", "l", "pos", "component"), F.struct(F.xxhash64(F.lit(turn), "doc"), "doc")).alias("p"))
-            found = now.join(best, "token").where("doc <> p.doc and component <> p.component")
-        elif not last:  # each document with the pivots of its most common open shingle
-            mine = now.groupBy("doc").agg(F.max_by(F.struct("token", "n", "l", "component"), F.struct("rows", "token")).alias("m")).select("doc", "m.*")
-            mine = C.staged(mine.withColumn("pos", F.lit(0)), "own")
-            some = [F.min_by(F.struct("doc", "n", "l", "pos", "component"), F.struct(F.xxhash64(F.lit(f"{turn}-{k}"), "doc"), "doc")) for k in range(PIVOTS)]
-            best = mine.groupBy("token").agg(F.array(*some).alias("ps")).select("token", F.explode("ps").alias("p"))
-            found = mine.join(best, "token").where("doc <> p.doc and component <> p.component").withColumns({"l": F.lit(1)})
-        else:  # the first of a pair is the smaller set: rows far back in the prefix can't be
-            other = now.select("token", F.struct("doc", "n", "l", "pos", "component").alias("p"))
-            found = now.where("short").join(other, "token").where("(n < p.n or n = p.n and doc < p.doc) and component <> p.component")
-        found = found.where(f"least(n, p.n) * 100L >= {percent} * greatest(n, p.n)").where(close).select("doc", "n", "l", "p")
-        found = found.groupBy(F.least("doc", "p.doc").alias("x"), F.greatest("doc", "p.doc").alias("y"), F.least("l", "p.l").alias("need")).count().where("count >= need").select("x", "y")
-        if seen is not None:
-            found = found.join(seen, ["x", "y"], "left_anti")
-        found = C.staged(found, "found")
-        new = verify(found, texts, k, percent)
-        seen = found if seen is None else seen.union(found)
-        links = new if links is None else links.union(new)
+    flat = _places(listed, percent)
+    meet = [F.count_if(~F.col("up")).alias("c"), F.count_if("short").alias("s"), F.count_if(F.col("short") & ~F.col("up")).alias("own")]
+    meeting = C.staged(flat.groupBy("token").agg(*meet).where("c * s > own").select("token"), "meeting")
+    shared = C.staged(C.join_sized(flat, meeting, "token", "left_semi", F.lit(16)), "shared")
+
+    found = _labelled(shared, None)
+    found = found.join(found.groupBy("token").agg(_pivot("0").alias("p")), "token")
+    seen = C.staged(_candidates(found, percent), "found")
+    links = verify(seen, texts, k, percent)
+    label = components(links)
+
+    many = shared.join(_open(_labelled(shared, label)).where(f"rows > {MANY}").select("token"), "token", "left_semi")
+    many, most = C.staged(many, "many"), PAIRS_A_ROW * shared.count()
+    before = None
+    for turn in range(MOST_ROUNDS + 1):
+        last = turn == MOST_ROUNDS
+        if not last:  # each document with the pivots of its most common open shingle
+            now = _labelled(many, label)
+            tokens = _open(now)
+            left = tokens.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+            last, before = left <= most or before is not None and 2 * left > before, left
+            if not last:
+                own = now.join(tokens.select("token", "rows"), "token").groupBy("doc").agg(F.max_by(F.struct("token", "n", "component"), F.struct("rows", "token")).alias("m"))
+                own = C.staged(own.select("doc", "m.*", F.lit(0).alias("pos"), F.lit(1).alias("l")), "own")
+                best = own.groupBy("token").agg(F.array(*[_pivot(f"{turn}-{i}") for i in range(PIVOTS)]).alias("ps"))
+                met = own.join(best.select("token", F.explode("ps").alias("p")), "token")
+        if last:  # the first of a pair is the smaller set
+            now = _labelled(shared, label)
+            now = C.staged(now.join(_open(now).select("token"), "token", "left_semi"), "open")
+            met = now.where("short").join(now.where("not up").select("token", _partner().alias("p")), "token").where("n < p.n or n = p.n and doc < p.doc")
+        found = C.staged(_candidates(met, percent).join(seen, ["x", "y"], "left_anti"), "found")
+        links, seen = links.union(verify(found, texts, k, percent)), seen.union(found)
         label = components(links)
         if last:
             break
