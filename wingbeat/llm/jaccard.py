@@ -41,6 +41,8 @@ MOST_L = 4
 #: for each row; else documents of such groups meet PIVOTS more pivots first, in MOST_ROUNDS rounds, or until a round
 #: leaves more than half of these pairs.
 PAIRS_A_ROW, MOST_ROUNDS, PIVOTS, MANY = 1, 4, 8, 16
+#: Components between these rounds only save comparisons, and may be unfinished; the last ones are complete.
+LABEL_ROUNDS = 2
 
 
 def shingles(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -148,8 +150,7 @@ def _verified(k: int, percent: int) -> Callable:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (x, y) that link, by exact comparison of whole texts."""
-    pairs = C.staged(pairs, "pairs")
+    """The pairs (x, y), a written table, that link, by exact comparison of whole texts."""
     ids = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
     some = C.staged(C.join_sized(texts, C.staged(ids, "ids"), "doc_id", "left_semi", F.lit(16)), "texts")
     left = some.select(F.col("doc_id").alias("x"), F.col("text").alias("text_x"))
@@ -227,7 +228,7 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     found = found.join(found.groupBy("token").agg(_pivot("0").alias("p")), "token")
     seen = C.staged(_candidates(found, percent), "found")
     links = verify(seen, texts, k, percent)
-    label = components(links)
+    label = components(links, LABEL_ROUNDS)
 
     many = shared.join(_open(_labelled(shared, label)).where(f"rows > {MANY}").select("token"), "token", "left_semi")
     many, most = C.staged(many, "many"), PAIRS_A_ROW * shared.count()
@@ -250,7 +251,7 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
             met = now.where("short").join(now.where("not up").select("token", _partner().alias("p")), "token").where("n < p.n or n = p.n and doc < p.doc")
         found = C.staged(_candidates(met, percent).join(seen, ["x", "y"], "left_anti"), "found")
         links, seen = links.union(verify(found, texts, k, percent)), seen.union(found)
-        label = components(links)
+        label = components(links, None if last else LABEL_ROUNDS)
         if last:
             break
     own = sets.join(classes, ["set_a", "set_b", "n"], "left").join(label.withColumnsRenamed({"node": "doc"}), "doc", "left")
