@@ -1,7 +1,8 @@
 """Benchmark decontamination: latent semantic retrieval, then longest common subsequences.
 
 Words (lower case, without marks at their ends) are hashed into TERMS buckets and weighted by inverse
-document frequency, counted over all documents. A randomised SVD (Halko, Martinsson and Tropp 2011) of
+document frequency, counted over all documents. A word carries no content if it's common in the documents and
+in the benchmark too: a leak, however often copied, makes its words common in the documents alone. A randomised SVD (Halko, Martinsson and Tropp 2011) of
 the TF-IDF rows of the benchmark's passages and of a bounded sample of the corpus' (`sample_docs`
 documents of smallest id hash) gives the latent space: each step A'(A Q) is a sum over Spark's
 partitions, only the small orthonormalisation runs on the driver. Then one scan of all whole texts, with no
@@ -13,8 +14,9 @@ last sentence) must stand there too.
 The benchmark is handled in blocks of BLOCK items, each a scan of the documents, so what is sent to the
 executors has a fixed size. Items and documents never form all pairs in a join.
 
-Defined results: null and empty texts and items match nothing; items without a content word are compared
-by all their words; rows that repeat a doc_id or item_id give one row for each pair found; an empty table
+Defined results: null and empty texts and items match nothing; items of fewer than 4 content words are compared
+by all their words wherever one of their rarest stands, without a cosine (given as 0), and match nothing if these
+are fewer than 8; rows that repeat a doc_id or item_id give one row for each pair found; an empty table
 on either side gives an empty result. Extra columns are ignored by leaks() and kept by without_leaks().
 """
 
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from . import tokens as K
-from .packed import pack, unpacked_sum
+from .packed import SLICES, pack, unpacked_sum
 from .toxicity import _EDGE
 
 TERMS, RANK, ROUNDS = 1 << 15, 64, 2
@@ -37,8 +39,12 @@ WIDE, STEP = 32, 16
 SAMPLE_DOCS, BLOCK, SEED = 1000, 2000, 5
 #: Documents of a chunk up to which terms are told apart in a table, beyond by sorting.
 MARKED = 512
-#: Terms in more than this share of the documents carry no content.
+#: Words in more than this share of the documents, and of the benchmark's different texts, carry no content.
 COMMON = 0.03
+#: The least weight of a term that some content word of the benchmark has, were it in all documents.
+FLOOR = 0.1
+#: Items compared by all words: the least share, and the fewest words that tell.
+ALL_SHARE, ALL_LEAST = 0.9, 8
 COSINE, LCS_SURE, LCS_LEAST = 0.35, 0.8, 0.6
 #: Words before and after a found passage that are compared too.
 AROUND = 48
@@ -56,38 +62,75 @@ def term(word: np.ndarray) -> np.ndarray:
     return (word >> K.U64(49)).astype(np.int64)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, docs, marks = np.zeros(TERMS, np.int64), 0, np.empty(MARKED * TERMS, np.int32)
+def among(words: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which words are in the sorted array `known`."""
+    return known[np.minimum(np.searchsorted(known, words), len(known) - 1)] == words if len(known) else np.zeros(len(words), bool)
+
+
+def _counted(words: np.ndarray, size: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, docs, marks, exact = np.zeros(TERMS, np.int64), 0, np.empty(MARKED * TERMS, np.int32), np.zeros(len(words), np.int64)
+        for batch in batches:
+            for chunk in K.chunks(batch.column("text")):
+                word, doc = word_hashes(chunk), chunk.doc()
+                t = term(word)
+                key, n = doc * TERMS + t, np.arange(len(t), dtype=np.int32)
+                if chunk.n <= MARKED:  # the last word of each (document, term) counts
+                    marks[key] = n
+                    counts += np.bincount(t[marks[key] == n], minlength=TERMS)
+                else:
+                    counts += np.bincount(np.unique(key) % TERMS, minlength=TERMS)
+                docs += int((chunk.counts > 0).sum())
+                if len(words):
+                    at = np.flatnonzero(among(word, words))
+                    exact += np.bincount(np.unique(doc[at] * len(words) + np.searchsorted(words, word[at])) % len(words), minlength=len(words))
+        out = np.zeros(size, np.int64)
+        out[:TERMS], out[TERMS], out[TERMS + 1 : TERMS + 1 + len(words)] = counts, docs, exact
+        yield from pack(out)
+
+    return run
+
+
+def document_counts(texts: DataFrame, words: np.ndarray | None = None) -> tuple[np.ndarray, int, np.ndarray]:
+    """Number of documents of each term, of documents with a word, and of each of the (sorted) words; over all of them."""
+    words = np.zeros(0, K.U64) if words is None else words
+    size = -(-(TERMS + 1 + len(words)) // SLICES) * SLICES
+    total = unpacked_sum(texts.select("text").mapInArrow(_counted(words, size), "slice int, part binary"), size, np.int64)
+    return total[:TERMS], int(total[TERMS]), total[TERMS + 1 : TERMS + 1 + len(words)]
+
+
+def _own_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk in K.chunks(batch.column("text")):
-            t = term(word_hashes(chunk))
-            key, n = chunk.doc() * TERMS + t, np.arange(len(t), dtype=np.int32)
-            if chunk.n <= MARKED:  # the last word of each (document, term) counts
-                marks[key] = n
-                counts += np.bincount(t[marks[key] == n], minlength=TERMS)
-            else:
-                counts += np.bincount(np.unique(key) % TERMS, minlength=TERMS)
-            docs += int((chunk.counts > 0).sum())
-    yield from pack(np.append(counts, [docs, *[0] * (TERMS - 1)]))
+            word, doc = word_hashes(chunk), chunk.doc()
+            order = np.lexsort((word, doc))
+            w, d = word[order], doc[order]
+            once = np.ones(len(w), bool)
+            once[1:] = (w[1:] != w[:-1]) | (d[1:] != d[:-1])
+            w, n = np.unique(w[once], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
 
-def document_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """Number of documents of each term, and of documents with a word; over all of them."""
-    total = unpacked_sum(texts.select("text").mapInArrow(_counted, "slice int, part binary"), 2 * TERMS, np.int64)
-    return total[:TERMS], int(total[TERMS])
+def frequent_words(items: DataFrame) -> np.ndarray:
+    """The words in more than COMMON of the benchmark's different texts (at most some 30 times the words of a text)."""
+    different = items.select("text").distinct()
+    n = different.count()
+    rows = different.mapInArrow(_own_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > max(COMMON * n, 2)).collect()
+    return np.sort(np.array([r["word"] for r in rows], np.int64).view(K.U64))
 
 
-def _rows(weight: np.ndarray) -> Callable:
+def _rows(weight: np.ndarray, common: np.ndarray) -> Callable:
     """Texts to TF-IDF rows of passages of WIDE words, each of length 1 (times the row's `scale`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scale = batch.column("scale").to_numpy()
             for chunk in K.chunks(batch.column("text")):
-                t = term(word_hashes(chunk))
+                word = word_hashes(chunk)
+                t = term(word)
                 inside = np.arange(len(t)) - np.repeat(chunk.bounds[:-1], chunk.counts)
                 passage = np.cumsum(inside % WIDE == 0) - 1
-                key, n = np.unique(passage * TERMS + t, return_counts=True)
+                key, n = np.unique((passage * TERMS + t)[~among(word, common)], return_counts=True)
                 w = n * weight[key % TERMS]
                 key, w = key[w > 0], w[w > 0]
                 of = key // TERMS
@@ -137,10 +180,10 @@ class Item:
     """An item, ready to be compared: its content words and, for bit-parallel LCS, the places of each."""
 
     def __init__(self, item_id: int, words: np.ndarray, answer: np.ndarray, common: np.ndarray):
-        keep = ~common[term(words)]
+        keep = ~among(words, common)
         self.all_words = int(keep.sum()) < 4  # too few to tell
         self.id, words = item_id, words if self.all_words else words[keep]
-        answer = answer[~common[term(answer)]]
+        answer = answer[~among(answer, common)]
         self.n, self.answer, self.places = len(words), set(answer.tolist()), {}
         for i, w in enumerate(words.tolist()):
             self.places[w] = self.places.get(w, 0) | 1 << i
@@ -158,15 +201,56 @@ class Item:
         """The share, where it tells of a leak; else 0."""
         s = self.share(words)
         if self.all_words:
-            return s if s >= 0.9 and self.n >= 8 else 0.0
+            return s if s >= ALL_SHARE and self.n >= ALL_LEAST else 0.0
         return s if s >= LCS_SURE or s >= LCS_LEAST and self.answer and self.answer <= set(words) else 0.0
 
+    def rarest(self, seen: dict[int, int]) -> list[int]:
+        """Words of which a copy has at least one: more than may be missing, the rarest first (seen: documents of the common ones)."""
+        out, n = [], 0
+        for w in sorted(self.places, key=lambda w: (seen.get(w, 0), w)):
+            if n > self.n - int(np.ceil(ALL_SHARE * self.n)):
+                break
+            out.append(w)
+            n += self.places[w].bit_count()
+        return out
+
+
+def _whole(items: list[Item], seen: dict[int, int]) -> Callable:
+    """(document, item, share) of a chunk for items that are compared by all words, wherever one of their rarest words stands."""
+    pairs = sorted((w, j) for j, x in enumerate(items) for w in x.rarest(seen))
+    rare, of = np.array([w for w, _ in pairs], K.U64), np.array([j for _, j in pairs], np.int64)
+    known = np.array(sorted({w for x in items for w in x.places}), K.U64)
+
+    def run(chunk: K.Chunk, word: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        hits = np.flatnonzero(among(word, known))
+        first, last = np.searchsorted(rare, word[hits], "left"), np.searchsorted(rare, word[hits], "right")
+        n = last - first
+        at = np.repeat(hits, n)
+        j = of[np.repeat(first - np.cumsum(n) + n, n) + np.arange(len(at))]
+        doc = np.searchsorted(chunk.bounds, at, "right") - 1
+        for d, at, j in np.unique(np.stack([doc, at // STEP * STEP, j]), axis=1).T.tolist():
+            step = max(1, items[j].n // 8)
+            long = items[j].n + 3 * step  # common words stand everywhere: only a stretch as long as the item tells
+            low, high = max(at - long, chunk.bounds[d]), min(at + STEP + long, chunk.bounds[d + 1])
+            if items[j].leaks(word[hits[slice(*np.searchsorted(hits, [low, high]))]].tolist()):
+                starts = np.arange(low, high, step)
+                ends = np.searchsorted(hits, np.minimum(starts + long, high))
+                s = max(items[j].leaks(word[hits[a:b]].tolist()) for a, b in zip(np.searchsorted(hits, starts), ends, strict=True))
+                if s:
+                    yield d, j, s
+
+    return run
+
 
-def _found(items: list[Item], vectors: np.ndarray, space: np.ndarray) -> Callable:
-    """space: the latent vectors of the terms, weights included (0 for those of no content).
+def _found(items: list[Item], vectors: np.ndarray, space: np.ndarray, seen: dict[int, int]) -> Callable:
+    """space: the latent vectors of the terms, weights included; seen: the documents of the common words.
 
-    Only words that some item has are projected: others can't be part of a common subsequence.
+    Only content words that some item has are projected: others can't be part of a common subsequence.
     """
+    short = [x for x in items if x.all_words and x.n >= ALL_LEAST]
+    vectors = vectors[[not x.all_words for x in items]]
+    items = [x for x in items if not x.all_words]
+    whole = _whole(short, seen)
     known = np.array(sorted({w for x in items for w in x.places}), K.U64)
     need = np.array([max(1, int(np.ceil(LCS_LEAST * x.n))) for x in items])
     least = int(need.min(initial=1 << 30))
@@ -177,9 +261,13 @@ def _found(items: list[Item], vectors: np.ndarray, space: np.ndarray) -> Callabl
             best: dict[tuple[int, int], tuple[float, float]] = {}
             for chunk in K.chunks(batch.column("text")):
                 word = word_hashes(chunk)
+                if len(word) and short:
+                    for d, j, s in whole(chunk, word):
+                        if s > best.get((chunk.first + d, len(items) + j), (0.0, 0.0))[0]:
+                            best[chunk.first + d, len(items) + j] = s, 0.0
                 if not len(word) or not len(known):
                     continue
-                hits = np.flatnonzero(known[np.minimum(np.searchsorted(known, word), len(known) - 1)] == word)
+                hits = np.flatnonzero(among(word, known))
                 inside = np.arange(len(word)) - np.repeat(chunk.bounds[:-1], chunk.counts)
                 starts = np.flatnonzero(inside % STEP == 0)
                 doc = np.searchsorted(chunk.bounds, starts, "right") - 1
@@ -204,7 +292,7 @@ def _found(items: list[Item], vectors: np.ndarray, space: np.ndarray) -> Callabl
                     if (s := items[j].leaks(around)) > best.get((at, j), (0.0, 0.0))[0]:
                         best[at, j] = s, float(close[i, j])
             if best:
-                yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d, _ in best], pa.int64()), pa.array([items[j].id for _, j in best], pa.int64()), pa.array([x[1] for x in best.values()]), pa.array([x[0] for x in best.values()])], names=["doc_id", "item_id", "cosine", "lcs"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d, _ in best], pa.int64()), pa.array([(items + short)[j].id for _, j in best], pa.int64()), pa.array([x[1] for x in best.values()]), pa.array([x[0] for x in best.values()])], names=["doc_id", "item_id", "cosine", "lcs"])
 
     return run
 
@@ -219,7 +307,8 @@ def _items(rows: list, common: np.ndarray, weight: np.ndarray, space: np.ndarray
         after = ends[-2] if len(ends) > 1 else 0
         if len(words):
             items.append(Item(r["item_id"], words, words[chunk.starts >= after], common))
-            v = (space * weight[:, None])[term(words)].sum(axis=0)
+            t = term(words[~among(words, common)])
+            v = (space[t] * weight[t, None]).sum(axis=0)
             vectors.append(v / (np.linalg.norm(v) or np.inf))
     return items, np.array(vectors, np.float32).reshape(len(items), space.shape[1])
 
@@ -231,14 +320,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, sample_docs
     texts = C.rows_of(docs, {"doc_id": "long", "text": "string"}).where("text is not null")
     items = C.rows_of(benchmark, {"item_id": "long", "text": "string"}).where("text is not null")
     n_items = items.count()
-    counts, n = document_counts(texts)
-    weight = np.log((n + 1) / (counts + 1)).astype(np.float32)
-    common = counts > max(COMMON * n, 2)
-    weight[common] = 0
+    frequent = frequent_words(items)
+    counts, n, exact = document_counts(texts, frequent)
+    everywhere = exact > max(COMMON * n, 2)
+    common, seen = frequent[everywhere], dict(zip(frequent[everywhere].tolist(), exact[everywhere].tolist(), strict=True))
+    weight = np.maximum(np.log((n + 1) / (counts + 1)), FLOOR).astype(np.float32)
+    weight[(counts > max(COMMON * n, 2)) & (document_counts(items)[0] == 0)] = 0
     ids = C.sample_by_hash(texts.select("doc_id"), "doc_id", sample_docs, SEED).distinct()
     some = texts.join(F.broadcast(ids), "doc_id").select("text", F.lit(0.3).alias("scale"))
     fitted = C.sample_by_hash(items, "item_id", block, SEED).select("text", F.lit(1.0).alias("scale"))
-    rows = C.staged(some.unionByName(fitted).repartition(8).mapInArrow(_rows(weight), "terms array<int>, values array<float>"), "tfidf")
+    rows = C.staged(some.unionByName(fitted).repartition(8).mapInArrow(_rows(weight, common), "terms array<int>, values array<float>"), "tfidf")
     space = latent_space(rows)
     projected = space * weight[:, None]
     out = None
@@ -246,7 +337,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, sample_docs
     for k in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
         listed, vectors = _items(mine.collect(), common, weight, space)  # about `block` items
-        found = texts.mapInArrow(_found(listed, vectors, projected), "doc_id long, item_id long, cosine double, lcs double")
+        found = texts.mapInArrow(_found(listed, vectors, projected, seen), "doc_id long, item_id long, cosine double, lcs double")
         out = found if out is None else out.unionByName(found)
     return out
 
