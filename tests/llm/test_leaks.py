@@ -36,3 +36,20 @@ def test_item_in_a_third_of_the_documents(spark):
             want.append((i, 20))
         docs.append((i, " ".join(text)))
     assert _pairs(spark, docs, items) == sorted(want)
+
+
+def test_long_item(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(5000)]
+    items = [(i, " ".join(_text(rng, 294 if i == 0 else 30, words)) + ". " + " ".join(_text(rng, 6, words)) + ".") for i in range(20)]
+    docs, want = [], []
+    for i in range(60):
+        text = _text(rng, 900 if i % 2 else 90, words)
+        if i in (3, 8, 20):
+            copy = items[0][1].split()
+            if i == 20:  # a tenth of the words replaced
+                copy = [w if k % 10 else "other" for k, w in enumerate(copy)]
+            text[50:50] = copy
+            want.append((i, 0))
+        docs.append((i, " ".join(text)))
+    assert _pairs(spark, docs, items) == want

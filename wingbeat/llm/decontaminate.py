@@ -8,10 +8,12 @@ documents of smallest id hash) gives the latent space: each step A'(A Q) is a su
 partitions, only the small orthonormalisation runs on the driver. Then one scan of all whole texts, with no
 shuffle, projects every passage (WIDE words, every STEP words), finds items by cosine, and checks each
 find exactly: the longest common subsequence of the content words of the item and of the text around the
-passage must cover LCS_SURE of the item, or LCS_LEAST of it and all content words of its answer (its
+passage, as far as the item is long on either side, must cover LCS_SURE of the item, or LCS_LEAST of it and all content words of its answer (its
 last sentence) must stand there too.
 
-The benchmark is handled in blocks of BLOCK items, each a scan of the documents, so what is sent to the
+Items of more than 2 x WIDE words are looked for by each of their passages too.
+
+The benchmark is handled in blocks of about BLOCK items and passages of long ones, each a scan of the documents, so what is sent to the
 executors has a fixed size. Items and documents never form all pairs in a join.
 
 Defined results: null and empty texts and items match nothing; items of fewer than 4 content words are compared
@@ -46,8 +48,10 @@ FLOOR = 0.1
 #: Items compared by all words: the least share, and the fewest words that tell.
 ALL_SHARE, ALL_LEAST = 0.9, 8
 COSINE, LCS_SURE, LCS_LEAST = 0.35, 0.8, 0.6
-#: Words before and after a found passage that are compared too.
+#: Words before and after a found passage that are compared too, at least; as many as the item has, if more.
 AROUND = 48
+#: Cosines held at once.
+CELLS = 1 << 23
 
 
 def word_hashes(chunk: K.Chunk) -> np.ndarray:
@@ -180,7 +184,7 @@ class Item:
     """An item, ready to be compared: its content words and, for bit-parallel LCS, the places of each."""
 
     def __init__(self, item_id: int, words: np.ndarray, answer: np.ndarray, common: np.ndarray):
-        keep = ~among(words, common)
+        self.length, keep = len(words), ~among(words, common)
         self.all_words = int(keep.sum()) < 4  # too few to tell
         self.id, words = item_id, words if self.all_words else words[keep]
         answer = answer[~among(answer, common)]
@@ -242,18 +246,24 @@ def _whole(items: list[Item], seen: dict[int, int]) -> Callable:
     return run
 
 
-def _found(items: list[Item], vectors: np.ndarray, space: np.ndarray, seen: dict[int, int]) -> Callable:
-    """space: the latent vectors of the terms, weights included; seen: the documents of the common words.
+def _found(items: list[Item], vectors: np.ndarray, of: np.ndarray, space: np.ndarray, seen: dict[int, int]) -> Callable:
+    """of: the item of each vector; space: the latent vectors of the terms, weights included; seen: the documents of the common words.
 
     Only content words that some item has are projected: others can't be part of a common subsequence.
     """
+    content = np.array([not x.all_words for x in items], bool)
     short = [x for x in items if x.all_words and x.n >= ALL_LEAST]
-    vectors = vectors[[not x.all_words for x in items]]
+    vectors, of = vectors[content[of]], (np.cumsum(content) - 1)[of[content[of]]]
     items = [x for x in items if not x.all_words]
     whole = _whole(short, seen)
     known = np.array(sorted({w for x in items for w in x.places}), K.U64)
     need = np.array([max(1, int(np.ceil(LCS_LEAST * x.n))) for x in items])
-    least = int(need.min(initial=1 << 30))
+    # content words of a passage of the item, and of the item where it's shorter
+    own_need = 0.4 * np.array([min(k, WIDE * x.n / x.length) for k, x in zip(need, items, strict=True)])
+    around = np.array([max(AROUND, x.length) for x in items])
+    apart = np.array([max(STEP, x.length // 4) for x in items])  # of the finds within so many words one is compared, with as much more text
+    around += np.where(apart > STEP, apart, 0)
+    least = float(own_need.min(initial=1 << 30))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,35 +281,43 @@ def _found(items: list[Item], vectors: np.ndarray, space: np.ndarray, seen: dict
                 inside = np.arange(len(word)) - np.repeat(chunk.bounds[:-1], chunk.counts)
                 starts = np.flatnonzero(inside % STEP == 0)
                 doc = np.searchsorted(chunk.bounds, starts, "right") - 1
-                low, high = np.maximum(starts - AROUND, chunk.bounds[doc]), np.minimum(starts + WIDE + AROUND, chunk.bounds[doc + 1])
-                first, last = np.searchsorted(hits, low), np.searchsorted(hits, high)
                 end = np.minimum(starts + WIDE, chunk.bounds[doc + 1])
                 own, own_end = np.searchsorted(hits, starts), np.searchsorted(hits, end)
                 mine = own_end - own
-                some = np.flatnonzero((last - first >= least) & (mine >= 0.4 * least))
+                some = np.flatnonzero(mine >= max(least, 1))
                 if not len(some):
                     continue
                 total = np.zeros((len(hits) + 1, space.shape[1]))
                 np.cumsum(space[term(word[hits])], axis=0, out=total[1:])
-                passage = (total[own_end[some]] - total[own[some]]).astype(np.float32)
-                norm = np.sqrt(np.einsum("ij,ij->i", passage, passage))
-                norm[norm < 1e-6] = np.inf
-                close = (passage @ vectors.T) / norm[:, None]
-                i, j = np.nonzero((close >= COSINE) & ((last - first)[some][:, None] >= need[None, :]) & (mine[some][:, None] >= 0.4 * need[None, :]))
-                for i, j in zip(i.tolist(), j.tolist(), strict=True):
-                    around = word[hits[first[some[i]] : last[some[i]]]].tolist()
-                    at = chunk.first + int(doc[some[i]])
-                    if (s := items[j].leaks(around)) > best.get((at, j), (0.0, 0.0))[0]:
-                        best[at, j] = s, float(close[i, j])
+                rows = max(1, CELLS // len(vectors))
+                for at in range(0, len(some), rows):
+                    p = some[at : at + rows]
+                    passage = (total[own_end[p]] - total[own[p]]).astype(np.float32)
+                    norm = np.sqrt(np.einsum("ij,ij->i", passage, passage))
+                    norm[norm < 1e-6] = np.inf
+                    close = (passage @ vectors.T) / norm[:, None]
+                    i, v = np.nonzero(close >= COSINE)
+                    cosine, i, j = close[i, v], p[i], of[v]
+                    fit = mine[i] >= own_need[j]
+                    cosine, i, j = cosine[fit], i[fit], j[fit]
+                    low, high = np.maximum(starts[i] - around[j], chunk.bounds[doc[i]]), np.minimum(starts[i] + WIDE + around[j], chunk.bounds[doc[i] + 1])
+                    first, last = np.searchsorted(hits, low), np.searchsorted(hits, high)
+                    fit = np.flatnonzero(last - first >= need[j])
+                    fit = fit[np.argsort(-cosine[fit], kind="stable")]
+                    _, once = np.unique(np.stack([doc[i[fit]], j[fit], inside[starts[i[fit]]] // apart[j[fit]]]), axis=1, return_index=True)
+                    for k in fit[once].tolist():
+                        key = chunk.first + int(doc[i[k]]), int(j[k])
+                        if (s := items[key[1]].leaks(word[hits[first[k] : last[k]]].tolist())) > best.get(key, (0.0, 0.0))[0]:
+                            best[key] = s, float(cosine[k])
             if best:
                 yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d, _ in best], pa.int64()), pa.array([(items + short)[j].id for _, j in best], pa.int64()), pa.array([x[1] for x in best.values()]), pa.array([x[0] for x in best.values()])], names=["doc_id", "item_id", "cosine", "lcs"])
 
     return run
 
 
-def _items(rows: list, common: np.ndarray, weight: np.ndarray, space: np.ndarray) -> tuple[list[Item], np.ndarray]:
-    """The block's items, and their latent unit vectors."""
-    items, vectors = [], []
+def _items(rows: list, common: np.ndarray, weight: np.ndarray, space: np.ndarray) -> tuple[list[Item], np.ndarray, np.ndarray]:
+    """The block's items, and latent unit vectors: of each, and of the passages of long ones; with the item of each vector."""
+    items, vectors, of = [], [], []
     for r in rows:
         (chunk,) = K.chunks(pa.array([r["text"]]))
         words = word_hashes(chunk)
@@ -307,10 +325,12 @@ def _items(rows: list, common: np.ndarray, weight: np.ndarray, space: np.ndarray
         after = ends[-2] if len(ends) > 1 else 0
         if len(words):
             items.append(Item(r["item_id"], words, words[chunk.starts >= after], common))
-            t = term(words[~among(words, common)])
-            v = (space[t] * weight[t, None]).sum(axis=0)
-            vectors.append(v / (np.linalg.norm(v) or np.inf))
-    return items, np.array(vectors, np.float32).reshape(len(items), space.shape[1])
+            for part in [words, *([words[i : i + WIDE] for i in range(0, len(words), WIDE)] if len(words) > 2 * WIDE else [])]:
+                t = term(part[~among(part, common)])
+                v = (space[t] * weight[t, None]).sum(axis=0)
+                vectors.append(v / (np.linalg.norm(v) or np.inf))
+                of.append(len(items) - 1)
+    return items, np.array(vectors, np.float32).reshape(len(vectors), space.shape[1]), np.array(of, np.int64)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -319,7 +339,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, sample_docs
     C.arrow_rows(spark)
     texts = C.rows_of(docs, {"doc_id": "long", "text": "string"}).where("text is not null")
     items = C.rows_of(benchmark, {"item_id": "long", "text": "string"}).where("text is not null")
-    n_items = items.count()
+    words = F.size(F.split("text", r"\s+"))
+    n_vectors = items.agg(F.sum(F.when(words > 2 * WIDE, 1 + words / WIDE).otherwise(1))).first()[0] or 0
     frequent = frequent_words(items)
     counts, n, exact = document_counts(texts, frequent)
     everywhere = exact > max(COMMON * n, 2)
@@ -333,11 +354,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, sample_docs
     space = latent_space(rows)
     projected = space * weight[:, None]
     out = None
-    blocks = max(1, -(-n_items // block))
+    blocks = max(1, int(-(-n_vectors // block)))
     for k in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        listed, vectors = _items(mine.collect(), common, weight, space)  # about `block` items
-        found = texts.mapInArrow(_found(listed, vectors, projected, seen), "doc_id long, item_id long, cosine double, lcs double")
+        listed, vectors, of = _items(mine.collect(), common, weight, space)  # about `block` vectors
+        found = texts.mapInArrow(_found(listed, vectors, of, projected, seen), "doc_id long, item_id long, cosine double, lcs double")
         out = found if out is None else out.unionByName(found)
     return out
 
