@@ -53,3 +53,14 @@ def test_long_item(spark):
             want.append((i, 0))
         docs.append((i, " ".join(text)))
     assert _pairs(spark, docs, items) == want
+
+
+def test_space_is_fitted_on_all_passages(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(5000)]
+    docs = [(i, " ".join(_text(rng, 100, words))) for i in range(50)]
+    items = [(i, " ".join(_text(rng, 40, words))) for i in range(30)]
+    seen, fit = [], decontaminate.latent_space
+    monkeypatch.setattr(decontaminate, "latent_space", lambda rows, *more: seen.append(rows.count()) or fit(rows, *more))
+    out = decontaminate.leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM), block=10, sample_docs=20)
+    assert seen == [50 * 4 + 30 * 2] and out.count() == 0  # passages of at most 32 words

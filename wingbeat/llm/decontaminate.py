@@ -3,8 +3,8 @@
 Words (lower case, without marks at their ends) are hashed into TERMS buckets and weighted by inverse
 document frequency, counted over all documents. A word carries no content if it's common in the documents and
 in the benchmark too: a leak, however often copied, makes its words common in the documents alone. A randomised SVD (Halko, Martinsson and Tropp 2011) of
-the TF-IDF rows of the benchmark's passages and of a bounded sample of the corpus' (`sample_docs`
-documents of smallest id hash) gives the latent space: each step A'(A Q) is a sum over Spark's
+the TF-IDF rows of all passages of the benchmark and of the corpus gives the latent space (beyond
+`sample_docs` documents and `block` items, each row weighs less: the corpus as a whole weighs as these would, however large): each step A'(A Q) is a sum over Spark's
 partitions, only the small orthonormalisation runs on the driver. Then one scan of all whole texts, with no
 shuffle, projects every passage (WIDE words, every STEP words), finds items by cosine, and checks each
 find exactly: the longest common subsequence of the content words of the item and of the text around the
@@ -50,6 +50,8 @@ ALL_SHARE, ALL_LEAST = 0.9, 8
 COSINE, LCS_SURE, LCS_LEAST = 0.35, 0.8, 0.6
 #: Words before and after a found passage that are compared too, at least; as many as the item has, if more.
 AROUND = 48
+#: Passages whose share of a Gram step is worked out at once.
+GRAM_ROWS = 512
 #: Cosines held at once.
 CELLS = 1 << 23
 
@@ -124,57 +126,62 @@ def frequent_words(items: DataFrame) -> np.ndarray:
 
 
 def _rows(weight: np.ndarray, common: np.ndarray) -> Callable:
-    """Texts to TF-IDF rows of passages of WIDE words, each of length 1 (times the row's `scale`)."""
+    """Texts to the terms of passages of WIDE words and how often each stands there; what weighs nothing is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scale = batch.column("scale").to_numpy()
             for chunk in K.chunks(batch.column("text")):
                 word = word_hashes(chunk)
                 t = term(word)
                 inside = np.arange(len(t)) - np.repeat(chunk.bounds[:-1], chunk.counts)
                 passage = np.cumsum(inside % WIDE == 0) - 1
-                key, n = np.unique((passage * TERMS + t)[~among(word, common)], return_counts=True)
-                w = n * weight[key % TERMS]
-                key, w = key[w > 0], w[w > 0]
+                key, n = np.unique((passage * TERMS + t)[~among(word, common) & (weight[t] > 0)], return_counts=True)
                 of = key // TERMS
-                norm = np.sqrt(np.bincount(of, weights=w * w, minlength=of.max(initial=-1) + 1))
-                first = np.searchsorted(of, np.arange(len(norm) + 1)).astype(np.int32)
-                doc = chunk.first + np.searchsorted(chunk.bounds, np.flatnonzero(inside % WIDE == 0)[: len(norm)], "right") - 1
-                w = w / norm[of] * scale[doc][of]
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(first), pa.array((key % TERMS).astype(np.int32))), pa.ListArray.from_arrays(pa.array(first), pa.array(w.astype(np.float32)))], names=["terms", "values"])
+                first = np.searchsorted(of, np.arange(of.max(initial=-1) + 2)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(first), pa.array((key % TERMS).astype(np.int32))), pa.ListArray.from_arrays(pa.array(first), pa.array(n.astype(np.int32)))], names=["terms", "times"])
 
     return run
 
 
-def _gram_step(q: np.ndarray) -> Callable:
-    """A partition's share of A'(A Q)."""
+def _gram_step(q: np.ndarray, weight: np.ndarray) -> Callable:
+    """A partition's share of A'(A Q); a row of A is a passage's TF-IDF, of length 1 (times the row's `scale`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(q.shape, np.float64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                b = batch.slice(at, 2000)
-                lists, values = b.column("terms"), b.column("values").flatten().to_numpy()
+            for at in range(0, batch.num_rows, GRAM_ROWS):
+                b = batch.slice(at, GRAM_ROWS)
+                lists, times = b.column("terms"), b.column("times").flatten().to_numpy()
                 terms, n = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-                full = n > 0
-                y = np.add.reduceat(q[terms] * values[:, None], (np.cumsum(n) - n)[full], axis=0) if len(terms) else np.zeros((0, q.shape[1]))
-                order = np.argsort(terms, kind="stable")
-                back = (np.repeat(y, n[full], axis=0) * values[:, None])[order]
-                found, first = np.unique(terms[order], return_index=True)
-                if len(found):
-                    total[found] += np.add.reduceat(back, first, axis=0)
+                if not len(terms):
+                    continue
+                # a passage has at most WIDE terms; empty places have the value 0
+                place, padded, at_term = np.arange(WIDE) < n[:, None], np.zeros((len(n), WIDE), np.float32), np.zeros((len(n), WIDE), np.int32)
+                padded[place], at_term[place] = times * weight[terms], terms
+                norm = np.sqrt(np.einsum("ij,ij->i", padded, padded))
+                norm[norm == 0] = np.inf
+                padded *= (b.column("scale").to_numpy() / norm)[:, None].astype(np.float32)
+                y = np.matmul(padded[:, None, :], q[at_term])[:, 0]
+                order = np.argsort(terms.astype(np.int16), kind="stable")
+                back = y[np.repeat(np.arange(len(n)), n)[order]]
+                back *= padded[place][order][:, None]
+                of = terms[order]
+                first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+                total[of[first]] += np.add.reduceat(back, first, axis=0)
         yield from pack(total.astype(np.float32).reshape(-1))
 
     return run
 
 
-def latent_space(rows: DataFrame, rank: int = RANK, rounds: int = ROUNDS, seed: int = SEED) -> np.ndarray:
-    """The right singular vectors (TERMS, rank) of staged TF-IDF rows, by subspace iteration from a random start."""
+def latent_space(rows: DataFrame, weight: np.ndarray, rank: int = RANK, rounds: int = ROUNDS, seed: int = SEED) -> np.ndarray:
+    """The right singular vectors (TERMS, rank) of the TF-IDF of staged rows, by subspace iteration from a random start."""
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(TERMS, rank)))[0].astype(np.float32)
     product = q
+    tasks = max(8, rows.sparkSession.sparkContext.defaultParallelism)
+    rows = rows.coalesce(tasks)  # each task sends an array of fixed size
     for _ in range(rounds + 1):
-        product = unpacked_sum(rows.mapInArrow(_gram_step(q), "slice int, part binary"), TERMS * rank, np.float32).reshape(TERMS, rank)
+        step = rows.mapInArrow(_gram_step(q, weight), "slice int, part binary")
+        product = unpacked_sum(step, TERMS * rank, np.float32, -(-tasks // 16)).reshape(TERMS, rank)
         previous, q = q, np.linalg.qr(product)[0].astype(np.float32)
     values, turn = np.linalg.eigh(previous.T @ product)  # Q'A'A Q
     return (previous @ turn[:, np.argsort(-values)]).astype(np.float32)
@@ -340,18 +347,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, sample_docs
     texts = C.rows_of(docs, {"doc_id": "long", "text": "string"}).where("text is not null")
     items = C.rows_of(benchmark, {"item_id": "long", "text": "string"}).where("text is not null")
     words = F.size(F.split("text", r"\s+"))
-    n_vectors = items.agg(F.sum(F.when(words > 2 * WIDE, 1 + words / WIDE).otherwise(1))).first()[0] or 0
+    n_items, n_vectors = items.agg(F.count("*"), F.coalesce(F.sum(F.when(words > 2 * WIDE, 1 + words / WIDE).otherwise(1)), F.lit(0.0))).first()
     frequent = frequent_words(items)
     counts, n, exact = document_counts(texts, frequent)
     everywhere = exact > max(COMMON * n, 2)
     common, seen = frequent[everywhere], dict(zip(frequent[everywhere].tolist(), exact[everywhere].tolist(), strict=True))
     weight = np.maximum(np.log((n + 1) / (counts + 1)), FLOOR).astype(np.float32)
     weight[(counts > max(COMMON * n, 2)) & (document_counts(items)[0] == 0)] = 0
-    ids = C.sample_by_hash(texts.select("doc_id"), "doc_id", sample_docs, SEED).distinct()
-    some = texts.join(F.broadcast(ids), "doc_id").select("text", F.lit(0.3).alias("scale"))
-    fitted = C.sample_by_hash(items, "item_id", block, SEED).select("text", F.lit(1.0).alias("scale"))
-    rows = C.staged(some.unionByName(fitted).repartition(8).mapInArrow(_rows(weight, common), "terms array<int>, values array<float>"), "tfidf")
-    space = latent_space(rows)
+    whole, fitted = 0.3 * min(1.0, (sample_docs / max(n, 1)) ** 0.5), min(1.0, (block / max(n_items, 1)) ** 0.5)
+    passages = lambda rows, scale: rows.select("text").mapInArrow(_rows(weight, common), "terms array<int>, times array<int>").withColumn("scale", F.lit(scale))
+    space = latent_space(C.staged(passages(texts, whole).unionByName(passages(items, fitted)), "tfidf"), weight)
     projected = space * weight[:, None]
     out = None
     blocks = max(1, int(-(-n_vectors // block)))

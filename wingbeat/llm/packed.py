@@ -19,7 +19,7 @@ def pack(values: np.ndarray) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([parts[i].tobytes() for i in some], pa.binary())], names=["slice", "part"])
 
 
-def unpacked_sum(rows: DataFrame, size: int, kind: type) -> np.ndarray:
+def unpacked_sum(rows: DataFrame, size: int, kind: type, salts: int = 8) -> np.ndarray:
     """Add up the tasks' slices: first within salted groups, so that no group grows with the number of tasks."""
 
     def added(table: pa.Table) -> pa.Table:
@@ -28,7 +28,7 @@ def unpacked_sum(rows: DataFrame, size: int, kind: type) -> np.ndarray:
             total += np.frombuffer(x.as_buffer(), kind)
         return pa.table({"slice": table["slice"][:1], "part": pa.array([total.tobytes()], pa.binary())})
 
-    salted = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(8)))
+    salted = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     once = salted.groupBy("slice", "salt").applyInArrow(added, "slice int, part binary")
     out = np.zeros((SLICES, size // SLICES), kind)
     for r in once.groupBy("slice").applyInArrow(added, "slice int, part binary").collect():  # `size` numbers in all
