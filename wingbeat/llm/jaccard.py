@@ -209,6 +209,10 @@ def _pivot(salt: str) -> Column:
     return F.min_by(_partner(), F.struct(F.xxhash64(F.lit(salt), "doc"), "doc"))
 
 
+#: The column that tells rows apart where ids repeat.
+ROW_KEY = "_row_key"
+
+
 def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     C.arrow_rows(docs.sparkSession)
@@ -259,10 +263,21 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without near copies: of each component the one of smallest doc_id (any one of its equal rows)."""
-    gone = linked(docs, k, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = C.join_sized(docs, C.staged(gone, "gone"), "doc_id", "left_anti", F.lit(16))
-    return kept.dropDuplicates(["doc_id"]) if not kept.groupBy("doc_id").count().where("count > 1").isEmpty() else kept
+    """The documents without near copies: of each component the one of smallest doc_id.
+
+    Where ids repeat, rows are told apart by id and text: of rows equal in both any one stays, different texts of
+    an id are compared like other documents. Rows without an id all stay.
+    """
+    known = docs.where("doc_id is not null")
+    if known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = linked(docs, k, percent).where("doc_id <> component_id").select("doc_id").distinct()
+        return C.join_sized(docs, C.staged(gone, "gone"), "doc_id", "left_anti", F.lit(16))
+    keyed = known.withColumn(ROW_KEY, F.xxhash64("doc_id", "text"))
+    label = linked(keyed.select(F.col(ROW_KEY).alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias(ROW_KEY), "component_id").distinct()
+    ids = keyed.select(ROW_KEY, "doc_id").distinct()
+    first = label.join(ids, ROW_KEY).groupBy("component_id").agg(F.min(F.struct("doc_id", ROW_KEY)).alias("first"))
+    kept = C.join_sized(keyed, C.staged(first.select(f"first.{ROW_KEY}"), "kept"), ROW_KEY, "left_semi", F.lit(16))
+    return kept.dropDuplicates([ROW_KEY]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
