@@ -58,4 +58,6 @@ def attach_features(rois: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def id_to_code(df: DataFrame, vocab: DataFrame, column: str = "predicted") -> DataFrame:
-    return df.join(F.broadcast(vocab.limit(MOST_CLASSES).select(F.col("label_id").alias(column), "code")), column, "left")
+    codes = vocab.select(F.col("label_id").alias(column), "code")
+    few = vocab.limit(MOST_CLASSES + 1).count() <= MOST_CLASSES
+    return df.join(F.broadcast(codes) if few else codes, column, "left")
