@@ -12,9 +12,12 @@ smaller sets. Near copies just below the threshold so share no shingle that coun
 
 Pairs are not enumerated inside groups: of the documents that share a prefix shingle, each is compared
 with one pivot, links found so far give components, and the next rounds compare, with other pivots, only
-documents of large groups in different components. Then all pairs that are left are compared. So no link
-between components is lost, and a group of near copies costs a few comparisons a document. All comparisons
-are exact, on whole texts. Groups are of a shingle and a band of set sizes, as linked sets are of like size.
+documents of large groups in different components. What is left are documents of different components that share a
+shingle of a group. Small groups (at most MANY rows) are joined. Large groups are cut into tiles of bounded size,
+and each tile counts the shared shingles of its pairs in numpy, in bit sets, every pair at the first group that both
+stand in; so the rows that Spark moves and makes grow with the group, not with its square, and no pair is left out.
+All comparisons are exact, on whole texts; a block of pairs gets each text once and returns the links of a spanning
+forest, at most one a document. Groups are of a shingle and a band of set sizes, as linked sets are of like size.
 
 Defined results: null texts and texts without words have no shingle, link with nothing and are their
 own component; a null doc_id has a null component; rows that repeat a doc_id count as one document
@@ -43,6 +46,10 @@ MOST_L = 4
 PAIRS_A_ROW, MOST_ROUNDS, PIVOTS, MANY = 1, 4, 8, 16
 #: Components between these rounds only save comparisons, and may be unfinished; the last ones are complete.
 LABEL_ROUNDS = 2
+#: Rows, and shingles of their sets, of one side of a tile of a large group.
+TILE_ROWS, TILE_SHINGLES = 1024, 4_000_000
+#: Partners of a pivot that are compared with it in one block.
+BLOCK_ROWS = 256
 
 
 def shingles(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -135,28 +142,55 @@ def _prefixes(k: int, percent: int, counts: np.ndarray) -> Callable:
     return run
 
 
-def _verified(k: int, percent: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(shingles(batch.column("text_x"), k), shingles(batch.column("text_y"), k), strict=True):
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(bool(both) and 100 * both >= percent * (len(a) + len(b) - both))
-            out = batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
-            if len(out):
-                yield out
+def _forest(k: int, percent: int) -> Callable:
+    """A block's pairs and the texts of its documents to the links of a spanning forest of those that link."""
+
+    def run(pairs: pa.Table, docs: pa.Table) -> pa.Table:
+        sets: dict[int, list[np.ndarray]] = {}
+        ids = iter(docs["doc"].to_pylist())
+        for chunk in docs["text"].chunks:
+            for s in shingles(chunk, k):
+                sets.setdefault(next(ids), []).append(s)
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in up:
+                x = up[x]
+            return x
+
+        out = []
+        for x, y in zip(pairs["x"].to_pylist(), pairs["y"].to_pylist(), strict=True):
+            a, b = top(x), top(y)
+            if a != b and any(linking(s, t, percent) for s in sets.get(x, ()) for t in sets.get(y, ())):
+                up[b] = a
+                out.append((x, y))
+        return pa.table({"x": pa.array([x for x, _ in out], pa.int64()), "y": pa.array([y for _, y in out], pa.int64())})
 
     return run
 
 
+def linking(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets link."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return bool(both) and 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (x, y), a written table, that link, by exact comparison of whole texts."""
-    ids = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
-    some = C.staged(C.join_sized(texts, C.staged(ids, "ids"), "doc_id", "left_semi", F.lit(16)), "texts")
-    left = some.select(F.col("doc_id").alias("x"), F.col("text").alias("text_x"))
-    right = some.select(F.col("doc_id").alias("y"), F.col("text").alias("text_y"))
-    both = pairs.join(left, "x").join(right, "y").select("x", "y", "text_x", "text_y")
-    return C.staged(both.mapInArrow(_verified(k, percent), "x long, y long"), "verified")
+    """Links (x, y) that connect what the linking pairs of each block (b, x, y: a written table) connect, by exact comparison of whole texts."""
+    held = C.staged(pairs.select("b", F.col("x").alias("doc_id")).union(pairs.select("b", "y")).distinct(), "held")
+    ids = C.staged(held.select("doc_id").distinct(), "ids")
+    some = C.staged(C.join_sized(texts, ids, "doc_id", "left_semi", F.lit(16)), "texts")
+    docs = held.join(some, "doc_id").select("b", F.col("doc_id").alias("doc"), "text")
+    return C.staged(pairs.groupBy("b").cogroup(docs.groupBy("b")).applyInArrow(_forest(k, percent), "x long, y long"), "verified")
+
+
+def _blocks(found: DataFrame) -> DataFrame:
+    """Pairs (x, y, hub), a written table, dealt to blocks (b, x, y) of one hub and at most some BLOCK_ROWS partners."""
+    large = found.groupBy("hub").count().where(f"count > {BLOCK_ROWS}").select("hub", F.ceil(F.col("count") / BLOCK_ROWS).alias("parts"))
+    dealt = C.join_sized(found, C.staged(large, "hubs"), "hub", "left", F.lit(16))
+    return dealt.select(F.xxhash64("hub", F.pmod(F.xxhash64(F.col("x") + F.col("y") - F.col("hub")), F.coalesce("parts", F.lit(1)))).alias("b"), "x", "y")
 
 
 def _need(percent: int, n: str, m: str) -> str:
@@ -185,19 +219,108 @@ def _labelled(places: DataFrame, label: DataFrame | None) -> DataFrame:
 
 
 def _open(places: DataFrame) -> DataFrame:
-    """(token, rows, pairs) of the tokens where documents of different components meet."""
-    parts = places.groupBy("token", "component").agg(F.count(F.lit(1)).alias("r"), F.count_if(~F.col("up")).alias("c"), F.count_if("short").alias("s"))
+    """(token, rows, size, pairs) of the tokens where documents of different components meet; size: of their sets together."""
+    parts = places.groupBy("token", "component").agg(F.count(F.lit(1)).alias("r"), F.sum("n").alias("n"), F.count_if(~F.col("up")).alias("c"), F.count_if("short").alias("s"))
     pairs = F.sum("c") * F.sum("s") - F.sum(F.col("c") * F.col("s"))
-    return C.staged(parts.groupBy("token").agg(F.sum("r").alias("rows"), pairs.alias("pairs")).where("pairs > 0"), "tokens")
+    return C.staged(parts.groupBy("token").agg(F.sum("r").alias("rows"), F.sum("n").alias("size"), pairs.alias("pairs")).where("pairs > 0"), "tokens")
 
 
 def _candidates(met: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) among rows (doc, n, l, pos, p) that share as many places as their prefixes ask for."""
+    """The pairs (x, y, hub) among rows (doc, n, l, pos, p) that share as many places as their prefixes ask for; hub: the p of the pair."""
     needed = _need(percent, "n", "p.n")  # the l-th shingle that linked sets share stands before these places
     close = f"pos < n - {needed} + least(l, p.l) and p.pos < p.n - {needed} + least(l, p.l)"
     met = met.where("doc <> p.doc and component <> p.component").where(f"least(n, p.n) * 100L >= {percent} * greatest(n, p.n)").where(close)
-    pair = [F.least("doc", "p.doc").alias("x"), F.greatest("doc", "p.doc").alias("y"), F.least("l", "p.l").alias("need")]
-    return met.select(*pair).groupBy("x", "y", "need").count().where("count >= need").select("x", "y")
+    pair = [F.least("doc", "p.doc").alias("x"), F.greatest("doc", "p.doc").alias("y"), F.least("l", "p.l").alias("need"), F.col("p.doc").alias("hub")]
+    return met.select(*pair).groupBy("x", "y", "need").agg(F.count(F.lit(1)).alias("count"), F.min("hub").alias("hub")).where("count >= need").select("x", "y", "hub")
+
+
+def _tile(percent: int) -> Callable:
+    """The pairs of a tile of one group that share as many places as their prefixes ask for, and no group before this one.
+
+    Rows list all open places of a document, those of larger groups first: two documents are looked at in the first
+    group where both stand. Sets of rows are bit sets, so that pairs met before cost next to nothing.
+    """
+
+    def needed(n: np.ndarray | int, m: np.ndarray | int) -> np.ndarray | int:
+        return (percent * (n + m) + 99 + percent) // (100 + percent)
+
+    def run(table: pa.Table) -> pa.Table:
+        token, block = table["token"][0].as_py(), table["b"][0].as_py()
+        doc, n, l, part = (table[c].to_numpy().astype(np.int64) for c in ("doc", "n", "l", "part"))
+        component, short, up = (table[c].to_numpy() for c in ("component", "short", "up"))
+        tokens = [x.values.to_numpy() for x in table["tokens"]]
+        places = [x.values.to_numpy() for x in table["places"]]
+        member = np.flatnonzero(~up)
+        m_doc, m_n, m_l = doc[member], n[member], l[member]
+        of = np.repeat(np.arange(len(member)), [len(tokens[i]) for i in member])
+        flat = np.concatenate([tokens[i] for i in member]) if len(member) else np.zeros(0, np.int64)
+        at = np.concatenate([places[i] for i in member]) if len(member) else np.zeros(0, np.int64)
+        order = np.argsort(flat, kind="stable")
+        names, first = np.unique(flat[order], return_index=True)
+        where = dict(zip(names.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(flat)], strict=True), strict=True))
+        of, at = of[order], at[order]
+
+        def bits(rows: np.ndarray) -> int:
+            mask = np.zeros(len(member), bool)
+            mask[rows] = True
+            return int.from_bytes(np.packbits(mask, bitorder="little").tobytes(), "little")
+
+        holding: dict[int, int] = {}
+
+        def held(z: int) -> int:
+            if z not in holding:
+                holding[z] = bits(of[slice(*where[z])]) if z in where else 0
+            return holding[z]
+
+        same = {c: bits(np.flatnonzero(component[member] == c)) for c in np.unique(component[short]).tolist()}
+        tiles = np.unique(part)
+        beside = {p: bits(np.flatnonzero(part[member] == p)) for p in tiles.tolist()} if table["i"][0].as_py() != table["j"][0].as_py() else {}
+        every, out = (1 << len(member)) - 1, []
+        for i in np.flatnonzero(short):
+            ok = places[i] < n[i] - needed(n[i], n[i]) + l[i]
+            mine, my_places = tokens[i][ok], places[i][ok]
+            met = same[component[i]] | beside.get(part[i], 0)
+            for z in mine.tolist():
+                if z == token:
+                    break
+                met |= held(z)
+            left = every & ~met
+            if not left:
+                continue
+            some = np.flatnonzero(np.unpackbits(np.frombuffer(left.to_bytes(-(-len(member) // 8), "little"), np.uint8), bitorder="little")[: len(member)])
+            larger = (n[i] < m_n[some]) | (n[i] == m_n[some]) & (doc[i] < m_doc[some])
+            some = some[larger & (100 * n[i] >= percent * m_n[some])]
+            if not len(some):
+                continue
+            need, low = needed(n[i], m_n[some]), np.minimum(l[i], m_l[some])
+            place = np.full(len(member), -1)
+            place[some] = np.arange(len(some))
+            runs = [(*where[z], p) for z, p in zip(mine.tolist(), my_places.tolist(), strict=True) if z in where]
+            hit = np.concatenate([place[of[a:b]] for a, b, _ in runs])
+            theirs = np.concatenate([at[a:b] for a, b, _ in runs])
+            own = np.repeat([p for *_, p in runs], [b - a for a, b, _ in runs])
+            own, theirs, hit = own[hit >= 0], theirs[hit >= 0], hit[hit >= 0]
+            close = (own < (n[i] - need + low)[hit]) & (theirs < (m_n[some] - need + low)[hit])
+            good = some[np.bincount(hit[close], minlength=len(some)) >= low]
+            out.append((np.minimum(doc[i], m_doc[good]), np.maximum(doc[i], m_doc[good])))
+        x, y = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
+        return pa.table({"b": np.full(len(x), block, np.int64), "x": x.astype(np.int64), "y": y.astype(np.int64)})
+
+    return run
+
+
+def _in_tiles(now: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """(b, x, y): the pairs of different components that meet in large groups; now: the open places, tokens: (token, rows, size)."""
+    large = tokens.where(f"rows > {MANY}").select("token", "rows", F.greatest(F.ceil(F.col("rows") / TILE_ROWS), F.ceil(F.col("size") / TILE_SHINGLES)).cast("int").alias("parts"))
+    rows = C.staged(now.join(large, "token"), "large")
+    lists = now.join(rows.select("doc", "up").distinct(), ["doc", "up"], "left_semi").join(tokens.select("token", "rows"), "token")
+    lists = lists.groupBy("doc", "up").agg(F.sort_array(F.collect_list(F.struct((-F.col("rows")).alias("r"), "token", "pos"))).alias("x"))
+    lists = C.staged(lists.select("doc", "up", F.col("x.token").alias("tokens"), F.col("x.pos").alias("places")), "lists")
+    part = F.pmod(F.xxhash64(F.lit("part"), "doc"), F.col("parts")).cast("int")
+    dealt = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
+    dealt = dealt.join(lists, ["doc", "up"]).select("token", "i", "j", "part", "doc", "n", "l", "component", "short", "up", "tokens", "places", F.xxhash64("token", "i", "j").alias("b"))
+    return dealt.groupBy("token", "i", "j").applyInArrow(_tile(percent), "b long, x long, y long")
 
 
 def _partner() -> Column:
@@ -231,7 +354,7 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     found = _labelled(shared, None)
     found = found.join(found.groupBy("token").agg(_pivot("0").alias("p")), "token")
     seen = C.staged(_candidates(found, percent), "found")
-    links = verify(seen, texts, k, percent)
+    links, seen = verify(C.staged(_blocks(seen), "blocks"), texts, k, percent), seen.select("x", "y")
     label = components(links, LABEL_ROUNDS)
 
     many = shared.join(_open(_labelled(shared, label)).where(f"rows > {MANY}").select("token"), "token", "left_semi")
@@ -251,15 +374,21 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
                 met = own.join(best.select("token", F.explode("ps").alias("p")), "token")
         if last:  # the first of a pair is the smaller set
             now = _labelled(shared, label)
-            now = C.staged(now.join(_open(now).select("token"), "token", "left_semi"), "open")
-            met = now.where("short").join(now.where("not up").select("token", _partner().alias("p")), "token").where("n < p.n or n = p.n and doc < p.doc")
+            tokens = _open(now)
+            now = C.staged(now.join(tokens.select("token"), "token", "left_semi"), "open")
+            few = now.join(tokens.where(f"rows <= {MANY}").select("token"), "token", "left_semi")
+            met = few.where("short").join(few.where("not up").select("token", _partner().alias("p")), "token").where("n < p.n or n = p.n and doc < p.doc")
         found = C.staged(_candidates(met, percent).join(seen, ["x", "y"], "left_anti"), "found")
-        links, seen = links.union(verify(found, texts, k, percent)), seen.union(found)
+        pairs = C.staged(_blocks(found), "blocks")
+        if last:
+            tiled = C.staged(_in_tiles(now, tokens, percent).join(seen, ["x", "y"], "left_anti").select("b", "x", "y"), "tiled")
+            pairs = pairs.unionByName(tiled)
+        links, seen = links.union(verify(pairs, texts, k, percent)), seen.union(found.select("x", "y"))
         label = components(links, None if last else LABEL_ROUNDS)
         if last:
             break
     own = sets.join(classes, ["set_a", "set_b", "n"], "left").join(label.withColumnsRenamed({"node": "doc"}), "doc", "left")
-    return own.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc", "doc_id").alias("component_id"))
+    return own.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
