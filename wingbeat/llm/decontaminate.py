@@ -2,14 +2,15 @@
 
 Words (lower case, without marks at their ends) are hashed into TERMS buckets and weighted by inverse
 document frequency, counted over all documents. A word carries no content if it's common in the documents and
-in the benchmark too: a leak, however often copied, makes its words common in the documents alone. A randomised SVD (Halko, Martinsson and Tropp 2011) of
-the TF-IDF rows of all passages of the benchmark and of the corpus gives the latent space (beyond
-`sample_docs` documents and `block` items, each row weighs less: the corpus as a whole weighs as these would, however large): each step A'(A Q) is a sum over Spark's
-partitions, only the small orthonormalisation runs on the driver. Then one scan of all whole texts, with no
-shuffle, projects every passage (WIDE words, every STEP words), finds items by cosine, and checks each
-find exactly: the longest common subsequence of the content words of the item and of the text around the
-passage, as far as the item is long on either side, must cover LCS_SURE of the item, or LCS_LEAST of it and all content words of its answer (its
-last sentence) must stand there too.
+in the benchmark too: a leak, however often copied, makes its words common in the documents alone. A randomised SVD
+(Halko, Martinsson and Tropp 2011) of the TF-IDF rows A of all passages of the benchmark and of the corpus gives the
+latent space (beyond `sample_docs` documents and `block` items, each row weighs less: the corpus as a whole weighs as
+these would, however large): A'(A S) with a sparse random S is a sum over Spark's partitions in one pass over all
+texts, and the singular vectors follow from it and S on the driver, whatever the input. Then one scan of all whole
+texts, with no shuffle, projects every passage (WIDE words, every STEP words), finds items by cosine, and checks each
+find exactly: the longest common subsequence of the content words of the item and of the text around the passage, as
+far as the item is long on either side, must cover LCS_SURE of the item, or LCS_LEAST of it and all content words of
+its answer (its last sentence) must stand there too.
 
 Items of more than 2 x WIDE words are looked for by each of their passages too.
 
@@ -36,7 +37,8 @@ from . import tokens as K
 from .packed import SLICES, pack, unpacked_sum
 from .toxicity import _EDGE
 
-TERMS, RANK, ROUNDS = 1 << 15, 64, 2
+#: Hash buckets of terms, dimensions of the latent space, and columns of the sketch beyond these.
+TERMS, RANK, SPARE = 1 << 15, 64, 16
 WIDE, STEP = 32, 16
 SAMPLE_DOCS, BLOCK, SEED = 1000, 2000, 5
 #: Documents of a chunk up to which terms are told apart in a table, beyond by sorting.
@@ -50,8 +52,6 @@ ALL_SHARE, ALL_LEAST = 0.9, 8
 COSINE, LCS_SURE, LCS_LEAST = 0.35, 0.8, 0.6
 #: Words before and after a found passage that are compared too, at least; as many as the item has, if more.
 AROUND = 48
-#: Passages whose share of a Gram step is worked out at once.
-GRAM_ROWS = 512
 #: Cosines held at once.
 CELLS = 1 << 23
 
@@ -125,66 +125,72 @@ def frequent_words(items: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["word"] for r in rows], np.int64).view(K.U64))
 
 
-def _rows(weight: np.ndarray, common: np.ndarray) -> Callable:
-    """Texts to the terms of passages of WIDE words and how often each stands there; what weighs nothing is left out."""
+class Sketch:
+    """A sparse random matrix of TERMS rows and `size` columns: each term has one column and a sign."""
+
+    def __init__(self, size: int, seed: int = SEED):
+        rng = np.random.default_rng(seed)
+        self.size, self.column, self.sign = size, rng.integers(0, size, TERMS), rng.choice(np.array([-1.0, 1.0]), TERMS)
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros((TERMS, self.size))
+        out[np.arange(TERMS), self.column] = self.sign
+        return out
+
+
+def _gram(sketch: Sketch, weight: np.ndarray, common: np.ndarray, size: int) -> Callable:
+    """A partition's share of A'(A S), S the sketch, and the number of its rows; a row of A is the TF-IDF of a passage of
+    WIDE words, over the root of the sum of its words' squared weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, passages = np.zeros((TERMS, sketch.size)), 0
         for batch in batches:
             for chunk in K.chunks(batch.column("text")):
                 word = word_hashes(chunk)
                 t = term(word)
                 inside = np.arange(len(t)) - np.repeat(chunk.bounds[:-1], chunk.counts)
                 passage = np.cumsum(inside % WIDE == 0) - 1
-                key, n = np.unique((passage * TERMS + t)[~among(word, common) & (weight[t] > 0)], return_counts=True)
-                of = key // TERMS
-                first = np.searchsorted(of, np.arange(of.max(initial=-1) + 2)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(first), pa.array((key % TERMS).astype(np.int32))), pa.ListArray.from_arrays(pa.array(first), pa.array(n.astype(np.int32)))], names=["terms", "times"])
+                n = int(passage[-1]) + 1 if len(passage) else 0
+                passages += n
+                tells = ~among(word, common) & (weight[t] > 0)
+                t, passage = t[tells], passage[tells]
+                w = weight[t].astype(np.float64)
+                norm = np.bincount(passage, w * w, minlength=n)
+                y = np.bincount(passage * sketch.size + sketch.column[t], w * sketch.sign[t], minlength=n * sketch.size).reshape(n, sketch.size)
+                y = (y / np.maximum(norm, 1e-30)[:, None]).astype(np.float32)
+                order = np.argsort(t.astype(np.uint16), kind="stable")
+                back = y[passage[order]]
+                back *= weight[t[order], None]
+                of = t[order]
+                first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+                if len(first):
+                    total[of[first]] += np.add.reduceat(back, first, axis=0)
+        out = np.zeros(size, np.float32)
+        out[: total.size], out[total.size] = total.reshape(-1), passages
+        yield from pack(out)
 
     return run
 
 
-def _gram_step(q: np.ndarray, weight: np.ndarray) -> Callable:
-    """A partition's share of A'(A Q); a row of A is a passage's TF-IDF, of length 1 (times the row's `scale`)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(q.shape, np.float64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, GRAM_ROWS):
-                b = batch.slice(at, GRAM_ROWS)
-                lists, times = b.column("terms"), b.column("times").flatten().to_numpy()
-                terms, n = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-                if not len(terms):
-                    continue
-                # a passage has at most WIDE terms; empty places have the value 0
-                place, padded, at_term = np.arange(WIDE) < n[:, None], np.zeros((len(n), WIDE), np.float32), np.zeros((len(n), WIDE), np.int32)
-                padded[place], at_term[place] = times * weight[terms], terms
-                norm = np.sqrt(np.einsum("ij,ij->i", padded, padded))
-                norm[norm == 0] = np.inf
-                padded *= (b.column("scale").to_numpy() / norm)[:, None].astype(np.float32)
-                y = np.matmul(padded[:, None, :], q[at_term])[:, 0]
-                order = np.argsort(terms.astype(np.int16), kind="stable")
-                back = y[np.repeat(np.arange(len(n)), n)[order]]
-                back *= padded[place][order][:, None]
-                of = terms[order]
-                first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-                total[of[first]] += np.add.reduceat(back, first, axis=0)
-        yield from pack(total.astype(np.float32).reshape(-1))
-
-    return run
+def gram(texts: DataFrame, sketch: Sketch, weight: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
+    """A'(A S) over the passages of all texts, in one pass, and their number."""
+    size = TERMS * sketch.size + SLICES
+    tasks = max(8, texts.sparkSession.sparkContext.defaultParallelism)  # each sends an array of fixed size
+    parts = texts.select("text").coalesce(tasks).mapInArrow(_gram(sketch, weight, common, size), "slice int, part binary")
+    total = unpacked_sum(parts, size, np.float32, -(-tasks // 16))
+    return total[: TERMS * sketch.size].reshape(TERMS, sketch.size).astype(np.float64), int(total[TERMS * sketch.size])
 
 
-def latent_space(rows: DataFrame, weight: np.ndarray, rank: int = RANK, rounds: int = ROUNDS, seed: int = SEED) -> np.ndarray:
-    """The right singular vectors (TERMS, rank) of the TF-IDF of staged rows, by subspace iteration from a random start."""
-    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(TERMS, rank)))[0].astype(np.float32)
-    product = q
-    tasks = max(8, rows.sparkSession.sparkContext.defaultParallelism)
-    rows = rows.coalesce(tasks)  # each task sends an array of fixed size
-    for _ in range(rounds + 1):
-        step = rows.mapInArrow(_gram_step(q, weight), "slice int, part binary")
-        product = unpacked_sum(step, TERMS * rank, np.float32, -(-tasks // 16)).reshape(TERMS, rank)
-        previous, q = q, np.linalg.qr(product)[0].astype(np.float32)
-    values, turn = np.linalg.eigh(previous.T @ product)  # Q'A'A Q
-    return (previous @ turn[:, np.argsort(-values)]).astype(np.float32)
+def latent_space(product: np.ndarray, sketch: Sketch, rank: int = RANK) -> np.ndarray:
+    """The right singular vectors (TERMS, rank) of A, from A'(A S) alone: Nystrom's formula with a small shift (Tropp et al. 2017)."""
+    s = sketch.dense()
+    shift = 1e-6 * np.linalg.norm(product) or 1e-12
+    y = product + shift * s
+    inner = s.T @ y
+    values, turn = np.linalg.eigh((inner + inner.T) / 2)
+    values = np.maximum(values, values.max() * 1e-9)
+    u, _, _ = np.linalg.svd(y @ (turn / np.sqrt(values)), full_matrices=False)
+    return u[:, :rank].astype(np.float32)
 
 
 class Item:
@@ -354,9 +360,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, sample_docs
     common, seen = frequent[everywhere], dict(zip(frequent[everywhere].tolist(), exact[everywhere].tolist(), strict=True))
     weight = np.maximum(np.log((n + 1) / (counts + 1)), FLOOR).astype(np.float32)
     weight[(counts > max(COMMON * n, 2)) & (document_counts(items)[0] == 0)] = 0
-    whole, fitted = 0.3 * min(1.0, (sample_docs / max(n, 1)) ** 0.5), min(1.0, (block / max(n_items, 1)) ** 0.5)
-    passages = lambda rows, scale: rows.select("text").mapInArrow(_rows(weight, common), "terms array<int>, times array<int>").withColumn("scale", F.lit(scale))
-    space = latent_space(C.staged(passages(texts, whole).unionByName(passages(items, fitted)), "tfidf"), weight)
+    sketch = Sketch(RANK + SPARE)
+    whole, fitted = 0.09 * min(1.0, sample_docs / max(n, 1)), min(1.0, block / max(n_items, 1))  # how much a passage of either counts
+    product = whole * gram(texts, sketch, weight, common)[0] + fitted * gram(items, sketch, weight, common)[0]
+    space = latent_space(product, sketch)
     projected = space * weight[:, None]
     out = None
     blocks = max(1, int(-(-n_vectors // block)))
