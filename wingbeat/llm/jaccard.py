@@ -183,7 +183,9 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     ids = C.staged(held.select("doc_id").distinct(), "ids")
     some = C.staged(C.join_sized(texts, ids, "doc_id", "left_semi", F.lit(16)), "texts")
     docs = held.join(some, "doc_id").select("b", F.col("doc_id").alias("doc"), "text")
-    return C.staged(pairs.groupBy("b").cogroup(docs.groupBy("b")).applyInArrow(_forest(k, percent), "x long, y long"), "verified")
+    out = C.staged(pairs.groupBy("b").cogroup(docs.groupBy("b")).applyInArrow(_forest(k, percent), "x long, y long"), "verified")
+    C.dropped(held, ids, some)
+    return out
 
 
 def _blocks(found: DataFrame) -> DataFrame:
@@ -215,7 +217,7 @@ def _places(listed: DataFrame, percent: int) -> DataFrame:
 def _labelled(places: DataFrame, label: DataFrame | None) -> DataFrame:
     if label is None:
         return places.withColumn("component", F.col("doc"))
-    return places.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    return C.join_sized(places, label.withColumnRenamed("node", "doc"), "doc", "left", F.lit(16)).withColumn("component", F.coalesce("component", "doc"))
 
 
 def _open(places: DataFrame) -> DataFrame:
@@ -312,8 +314,9 @@ def _tile(percent: int) -> Callable:
 def _in_tiles(now: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """(b, x, y): the pairs of different components that meet in large groups; now: the open places, tokens: (token, rows, size)."""
     large = tokens.where(f"rows > {MANY}").select("token", "rows", F.greatest(F.ceil(F.col("rows") / TILE_ROWS), F.ceil(F.col("size") / TILE_SHINGLES)).cast("int").alias("parts"))
-    rows = C.staged(now.join(large, "token"), "large")
-    lists = now.join(rows.select("doc", "up").distinct(), ["doc", "up"], "left_semi").join(tokens.select("token", "rows"), "token")
+    rows = C.staged(C.join_sized(now, large, "token", "inner", F.lit(32)), "large")
+    asked = C.staged(rows.select("doc", "up").distinct(), "asked")
+    lists = C.join_sized(C.join_sized(now, asked, ["doc", "up"], "left_semi", F.lit(16)), tokens.select("token", "rows"), "token", "inner", F.lit(24))
     lists = lists.groupBy("doc", "up").agg(F.sort_array(F.collect_list(F.struct((-F.col("rows")).alias("r"), "token", "pos"))).alias("x"))
     lists = C.staged(lists.select("doc", "up", F.col("x.token").alias("tokens"), F.col("x.pos").alias("places")), "lists")
     part = F.pmod(F.xxhash64(F.lit("part"), "doc"), F.col("parts")).cast("int")
@@ -350,6 +353,7 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     meet = [F.count_if(~F.col("up")).alias("c"), F.count_if("short").alias("s"), F.count_if(F.col("short") & ~F.col("up")).alias("own")]
     meeting = C.staged(flat.groupBy("token").agg(*meet).where("c * s > own").select("token"), "meeting")
     shared = C.staged(C.join_sized(flat, meeting, "token", "left_semi", F.lit(16)), "shared")
+    C.dropped(listed, meeting)
 
     found = _labelled(shared, None)
     found = found.join(found.groupBy("token").agg(_pivot("0").alias("p")), "token")
@@ -357,8 +361,8 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     links, seen = verify(C.staged(_blocks(seen), "blocks"), texts, k, percent), seen.select("x", "y")
     label = components(links, LABEL_ROUNDS)
 
-    many = shared.join(_open(_labelled(shared, label)).where(f"rows > {MANY}").select("token"), "token", "left_semi")
-    many, most = C.staged(many, "many"), PAIRS_A_ROW * shared.count()
+    large = _open(_labelled(shared, label)).where(f"rows > {MANY}").select("token")
+    many, most = C.staged(C.join_sized(shared, large, "token", "left_semi", F.lit(16)), "many"), PAIRS_A_ROW * shared.count()
     before = None
     for turn in range(MOST_ROUNDS + 1):
         last = turn == MOST_ROUNDS
@@ -368,15 +372,15 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
             left = tokens.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
             last, before = left <= most or before is not None and 2 * left > before, left
             if not last:
-                own = now.join(tokens.select("token", "rows"), "token").groupBy("doc").agg(F.max_by(F.struct("token", "n", "component"), F.struct("rows", "token")).alias("m"))
+                own = C.join_sized(now, tokens.select("token", "rows"), "token", "inner", F.lit(24)).groupBy("doc").agg(F.max_by(F.struct("token", "n", "component"), F.struct("rows", "token")).alias("m"))
                 own = C.staged(own.select("doc", "m.*", F.lit(0).alias("pos"), F.lit(1).alias("l")), "own")
                 best = own.groupBy("token").agg(F.array(*[_pivot(f"{turn}-{i}") for i in range(PIVOTS)]).alias("ps"))
                 met = own.join(best.select("token", F.explode("ps").alias("p")), "token")
         if last:  # the first of a pair is the smaller set
             now = _labelled(shared, label)
             tokens = _open(now)
-            now = C.staged(now.join(tokens.select("token"), "token", "left_semi"), "open")
-            few = now.join(tokens.where(f"rows <= {MANY}").select("token"), "token", "left_semi")
+            now = C.staged(C.join_sized(now, tokens.select("token"), "token", "left_semi", F.lit(16)), "open")
+            few = C.join_sized(now, tokens.where(f"rows <= {MANY}").select("token"), "token", "left_semi", F.lit(16))
             met = few.where("short").join(few.where("not up").select("token", _partner().alias("p")), "token").where("n < p.n or n = p.n and doc < p.doc")
         found = C.staged(_candidates(met, percent).join(seen, ["x", "y"], "left_anti"), "found")
         pairs = C.staged(_blocks(found), "blocks")

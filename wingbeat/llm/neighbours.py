@@ -164,7 +164,7 @@ def _ranked(k: int) -> Callable:
 
 def nearest(table: DataFrame, every: int, k: int = K_BEST) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every vector whose id is divisible by `every`."""
-    C.arrow_rows(table.sparkSession, 4000)
+    C.arrow_rows(table.sparkSession)
     rows = C.staged(vectors(table), "vectors")
     sample = C.sample_by_hash(rows, "vec_id", SAMPLE, SEED).select("v").toArrow()
     flat = sample["v"].combine_chunks()
