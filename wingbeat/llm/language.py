@@ -3,7 +3,7 @@
 A text is the mean of the embeddings of its subwords (whole words and byte n-grams of 2 to 4 inside
 words, hashed); a softmax layer on the mean gives the languages (Joulin et al. 2017). Embeddings and
 layer are trained together by mini-batch stochastic gradient descent in numpy on a bounded sample
-(`max_rows` documents of smallest id hash). On a part of the sample left out of training, a
+(of each language the `max_rows` documents of smallest id hash, so rare languages are learnt too). On a part of the sample left out of training, a
 temperature is fitted to the scores and the rejection threshold is set to the score that
 `reject_share` of correctly predicted rows fall under; rows below it are marked `rejected`, their
 prediction stays. Scoring is one scan of all whole texts without a shuffle.
@@ -21,13 +21,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
 from . import tokens as K
 
 BUCKETS, DIM = 1 << 15, 16
-MAX_ROWS = 2000
+MAX_ROWS = 500
 SEED = 31
 NONE = "und"
 
@@ -36,14 +37,14 @@ def subwords(chunk: K.Chunk) -> list[tuple[np.ndarray, np.ndarray]]:
     """Pairs (position, bucket): subwords starting at byte positions, in lower case for A-Z; n-grams don't cross white space."""
     low = K.LOWER[chunk.data]
     solid = ~K.SPACE[low]
-    for at in chunk.byte_offsets[1:-1]:
-        if 0 < at < len(low):
-            solid[at - 1] = False  # an n-gram doesn't run into the next document
+    edges = chunk.byte_offsets[1:-1]
     code, inside = low.astype(np.uint32), solid.copy()
     out, key = [], code.copy()
     for n in (2, 3, 4):
         key = key[:-1] * np.uint32(0x01000193) ^ code[n - 1 :]
         inside = inside[:-1] & solid[n - 1 :]
+        across = edges - (n - 1)  # an n-gram from there would run into the next document
+        inside[across[(across >= 0) & (across < len(inside))]] = False
         at = np.flatnonzero(inside)
         out.append((at, ((key[at] * np.uint32(0x9E3779B1) + np.uint32(n)) >> np.uint32(17)).astype(np.int32)))
     if len(chunk.starts):
@@ -127,7 +128,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 6, rate: f
             h = np.add.reduceat(e[idx] * part[:, None], np.cumsum(size) - size, axis=0)
             g = softmax(h @ w + b)
             g[np.arange(len(ids)), y[ids]] -= 1
-            g *= np.minimum(4.0, 1 / (len(langs) * share[y[ids]]))[:, None] / len(ids)  # rare languages count more
+            g *= np.minimum(20.0, 1 / (len(langs) * share[y[ids]]))[:, None] / len(ids)  # rare languages count more
             back = g @ w.T
             w -= step * 0.1 * (h.T @ g)
             b -= step * 0.01 * g.sum(axis=0)
@@ -147,8 +148,9 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS, seed: int = SEED) -> Model:
     C.arrow_rows(docs.sparkSession)
     texts = C.rows_of(docs, {"doc_id": "long", "text": "string", "lang": "string"})
     known = texts.where(F.col("lang").isNotNull() & ~C.held_out("doc_id", 3, 1))
-    ids = C.sample_by_hash(known.select("doc_id"), "doc_id", max_rows, seed).distinct()
-    found = known.where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").select("lang", "text")
+    order = W.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")  # a top-k: Spark cuts each task's rows before the shuffle
+    ids = known.where("text is not null").select("lang", "doc_id").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= max_rows)
+    found = known.where("text is not null").join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"]).select("lang", "text")
     table = found.mapInArrow(gather, "lang string, buckets array<int>, counts array<int>").toArrow()
     return fit([(a, np.asarray(b, np.int64), np.asarray(c, float)) for a, b, c in zip(table["lang"].to_pylist(), (x.values.to_numpy() for x in table["buckets"]), (x.values.to_numpy() for x in table["counts"]), strict=True)])
 
