@@ -8,15 +8,17 @@ goes its context, the stretch of words that decides that the symbol stands there
 the context, every equal window of any document has the same symbol at the same place.
 
 1. One scan parses all documents. The root name of the whole sequence finds equal documents; all but
-   the first are gone as a whole. Every window is represented by one symbol whose context it covers;
-   these are exploded (one row for each of a document's symbols, not of its windows) and counted over
-   documents: windows whose symbol stands in one document alone are ruled out.
+   the first are gone as a whole. Every window is represented by its highest-level symbol, the one that stands for
+   most words of those whose context it covers (ties: the least name); these are exploded (one row for each of a
+   document's symbols, not of its windows) and counted over documents: windows whose symbol stands in one
+   document alone are ruled out, only shared symbols can belong to a repeat.
 2. Documents with windows left are parsed again; these windows are verified by a 128-bit hash of all their
    words: a count of hashes finds those that start in two documents, a join brings back where.
 3. The covered words are cut out.
 
 Windows that cover no context (in very long runs of one word) are all verified, so nothing is missed.
-Hot passages are counted by partial aggregation and joined to one row each.
+Hot passages are counted by partial aggregation; the counts are written, then joined by broadcast where they measure
+little, else by a shuffle whose hot keys Spark may split.
 
 Defined results: null and empty texts have no words, and nothing is removed from fewer words than the
 window; rows that repeat a doc_id don't remove each other; a null doc_id neither removes nor is removed.
@@ -40,14 +42,14 @@ WINDOW = 50
 ROUNDS = 4
 
 
-def parse(word: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols after the last round, with the first word of each one's context and the word after its last.
+def parse(word: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols after the last round, with the first word of each one's context, the word after its last, and its number of words.
 
     A context that reaches over the document's edge isn't decided by words alone: it goes one beyond.
     """
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     low_edge, high_edge = bounds[:-1] - 1, bounds[1:] + 1
-    symbol, low, high = word, np.arange(len(word)), np.arange(1, len(word) + 1)
+    symbol, low, high, size = word, np.arange(len(word)), np.arange(1, len(word) + 1), np.ones(len(word), np.int64)
 
     def around() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Context begin of the symbol before, context end of the symbol after; whether the next is in the same document."""
@@ -66,7 +68,7 @@ def parse(word: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS) -> tuple[n
         length = (last - first + 1).astype(K.U64)
         low, high = np.minimum(low[first], before[first]), np.maximum(high[last], after[last])
         symbol = np.where(length == 1, symbol[first], K.mix(symbol[first] * K.U64(0x9FB21C651E98DF25) + length + K.U64(r)))
-        doc = doc[first]
+        doc, size = doc[first], np.add.reduceat(size, first)
         before, after, same = around()
         left = (K.mix(symbol + K.U64(1000 + r)) & K.U64(1)).astype(bool)
         paired = np.append(left[:-1] & ~left[1:] & same, False)
@@ -79,28 +81,31 @@ def parse(word: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS) -> tuple[n
         low_new[at], high_new[at] = np.minimum(low[at], low[at + 1]), np.maximum(high[at], high[at + 1])
         name = symbol.copy()
         name[at] = K.mix(symbol[at] * K.U64(0xC2B2AE3D27D4EB4F) + symbol[at + 1] * K.U64(0x165667B19E3779F9) + K.U64(r))
+        size = size.copy()
+        size[at] += size[at + 1]
         keep = ~second
-        symbol, low, high, doc = name[keep], low_new[keep], high_new[keep], doc[keep]
-    return symbol, low, high
+        symbol, low, high, doc, size = name[keep], low_new[keep], high_new[keep], doc[keep], size[keep]
+    return symbol, low, high, size
 
 
 def window_keys(word: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of all windows, each one's key, and whether it has one.
 
-    A symbol is known by the hash of its context's words. The key of a window is the least of the symbols
-    whose context it covers: equal windows have equal keys, and neighbouring windows mostly share theirs.
+    The key of a window is the symbol of most words among those whose context it covers (ties: the least name): equal
+    windows have equal keys, and neighbouring windows mostly share theirs.
     """
     starts = np.flatnonzero(np.arange(len(word)) + window <= np.repeat(bounds[1:], np.diff(bounds)))
-    _, low, high = parse(word, bounds)
+    symbol, low, high, size = parse(word, bounds)
     inside = (low >= 0) & (high <= len(word))
     doc = np.searchsorted(bounds, np.clip(low, 0, None), "right") - 1
     inside &= high <= bounds[np.minimum(doc + 1, len(bounds) - 1)]
     low, high = low[inside], high[inside]
+    ranked = (K.U64(255) - np.minimum(size[inside], 255).astype(K.U64)) << K.U64(56) | symbol[inside] >> K.U64(8)  # most words first
     first, last = np.searchsorted(low, starts), np.searchsorted(high, starts + window, "right")
     has = last > first
     key = np.zeros(len(starts), K.U64)
     if has.any():
-        table = [K.spans_hash(word, low, high, K._word_powers[1])]
+        table = [ranked]
         for k in range(int(np.log2((last - first).max()))):  # least of 2, 4, 8, ... symbols from each one
             row = table[-1].copy()
             row[: -(1 << k)] = np.minimum(row[: -(1 << k)], row[1 << k :])
@@ -190,13 +195,15 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     gone = C.staged(C.join_sized(long.select("root_a", "root_b", "n", "doc"), C.staged(classes, "classes"), ["root_a", "root_b", "n"], "inner", F.lit(40)).where("doc > first").select("doc").distinct(), "gone")
     left = C.join_sized(long, gone, "doc", "left_anti", F.lit(8))
     flat = left.select(F.explode("keys").alias("key"), "doc")
-    common = flat.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    told = flat.join(common, "key").groupBy("doc").agg(F.collect_list(F.struct("key", (F.col("first") < F.col("doc")).alias("less"), (F.col("last") > F.col("doc")).alias("more"))).alias("told"))
+    common = C.staged(flat.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last"), "common")
+    told = C.join_sized(flat, common, "key", "inner", F.lit(32)).groupBy("doc").agg(F.collect_list(F.struct("key", (F.col("first") < F.col("doc")).alias("less"), (F.col("last") > F.col("doc")).alias("more"))).alias("told"))
     told = C.staged(left.where("free").select("doc").distinct().join(told, "doc", "full"), "told")
     windows = C.staged(texts.join(told, "doc").select("doc", "text", "told").mapInArrow(_windows(window), "a long, b long, doc long, at int, probe boolean"), "windows")
-    firsts = windows.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("a", "b", "first")
-    hits = windows.where("probe").join(firsts, ["a", "b"]).where("doc > first")
-    return C.staged(hits.groupBy("doc").agg(F.array_distinct(F.collect_list("at")).alias("starts")), "hits"), gone
+    firsts = C.staged(windows.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("a", "b", "first"), "firsts")
+    hits = C.join_sized(windows.where("probe"), firsts, ["a", "b"], "inner", F.lit(40)).where("doc > first")
+    hits = C.staged(hits.groupBy("doc").agg(F.array_distinct(F.collect_list("at")).alias("starts")), "hits")
+    C.dropped(parsed, common, told, windows, firsts)
+    return hits, gone
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFrame:
