@@ -105,11 +105,20 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 
 def take(docs: DataFrame) -> DataFrame:
-    """The documents with `taken`: how many of its words the mix takes, repeats counted."""
-    out = mixed(sizes(docs)).groupBy("doc_id", "place").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("__copies"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"].cast("string")).alias("place"))
-    both = rows.join(out.withColumnsRenamed({"doc_id": "__id", "place": "__place"}), F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("place").eqNullSafe(F.col("__place")), "left")
-    return both.select("row.*", F.floor(F.col("taken") / F.col("__copies")).cast("long").alias("taken"))
+    """The documents with `taken`: how many of its words the mix takes, repeats counted (a column of that name is replaced).
+
+    Rows equal in id, source and text share what is taken of them: each gets an equal part, some one word more.
+    """
+    key = ["doc_id", "source", "place"]
+    out = mixed(sizes(docs)).groupBy(*key).agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("copies"))
+    mine = [docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), F.xxhash64(docs["text"].cast("string")).alias("place")]
+    kept = [c for c in docs.columns if c != "taken"]
+    rows = docs.select(F.struct(*[docs[c] for c in kept]).alias("row"), *mine)
+    both = rows.join(out.withColumnsRenamed({c: f"__{c}" for c in key}), [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key], "left")
+    once = both.where("copies = 1").withColumn("__no", F.lit(1))
+    again = both.where("copies > 1").withColumn("__no", F.row_number().over(W.partitionBy(*key).orderBy(F.lit(0))))
+    part = F.floor(F.col("taken") / F.col("copies")) + (F.col("__no") <= F.col("taken") % F.col("copies")).cast("long")
+    return once.unionByName(again).select("row.*", part.cast("long").alias("taken"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
