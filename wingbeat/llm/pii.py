@@ -9,7 +9,8 @@ the strict rule holds (such spans always stay) or the classifier gives it 0.5 or
 overlap a strict one.
 
 Only counts by (kind, votes, features) reach the driver: at most 4 * 2^5 * 2^5 rows, whatever the
-input. Texts are read once for the query; candidates are staged, not texts.
+input. Texts are read once; candidates are staged, for mask() with the rows that it returns. Folds over a text's spans
+run in runs of at most RUN, so the work on a text follows its length and its number of spans.
 
 Defined results: null and empty texts have no span; offsets are code points, end exclusive; a
 repeated doc_id is treated row by row; an empty table trains a classifier that adds nothing. Extra
@@ -60,30 +61,67 @@ CONTEXT = {
     "card": r"(?i)\b(card|visa|karte|carte|tarjeta|credit|amex|number|nr|no)\W*$",
     "phone": r"(?i)\b(phone|tel|call|mobile|fax|telefon|t[eé]l[eé]phone|tel[eé]fono)\W*$",
 }
-#: Characters before a span that a context labeler sees.
-AROUND = 24
+#: Characters before a span that a context labeler sees; spans of a text that one fold takes.
+AROUND, RUN = 24, 64
 THRESHOLD = 0.5
-_SPAN = "struct<start:int,end:int,value:string>"
+_SPAN = "struct<start:int,end:int,value:string,before:string,after:string>"
 _FOUND = "array<struct<kind:string,start:int,end:int,strict:boolean,votes:int,features:int>>"
 LABELERS, FEATURES = 5, 5
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once: what stands inside a lambda is computed anew for every element."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _parts(a: Column) -> Column:
+    """An array cut into runs of at most RUN elements: folds that append copy what they have, so they're kept short."""
+    return _let(a, lambda v: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int"))), lambda i: F.slice(v, i * RUN + 1, F.lit(RUN))))
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """array<start, end, value> of a pattern's leftmost non-overlapping matches, in code points."""
+    """array<start, end, value, before, after> of a pattern's leftmost non-overlapping matches, in code points.
+
+    before and after are the text around as far as the matches on either side, AROUND characters and one at most. All
+    come from one split of the text: finding a place in a text by its number costs as much as the text is long.
+    """
     state = f"struct<at:int,out:array<{_SPAN}>>"
-    parts = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("value")))
+    gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    nothing = F.array(F.lit(""))
+    around = F.zip_with(F.concat(nothing, values), gaps, lambda v, gap: F.struct(F.length(gap).alias("gap"), F.right(F.concat(v, F.right(gap, F.lit(AROUND))), F.lit(AROUND)).alias("before"), F.substring(gap, 1, 1).alias("first")))
+    parts = _let(around, lambda a: F.zip_with(a, F.slice(a, F.lit(2), F.size(a)), lambda g, h: F.struct(g["gap"].alias("gap"), g["before"].alias("before"), h["first"].alias("after"))))
+    parts = F.zip_with(parts, values, lambda g, v: F.struct(g["gap"].alias("gap"), g["before"].alias("before"), v.alias("value"), g["after"].alias("after")))
+    parts = F.filter(parts, lambda x: x["value"].isNotNull())
     begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out")).cast(state)
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.coalesce(x["gap"], F.lit(0))
-        end = start + F.coalesce(F.length(x["value"]), F.lit(0))
-        out = F.when(x["value"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))))
-        return F.struct(end.alias("at"), out.alias("out")).cast(state)
-
-    found = F.aggregate(parts, begin, step, lambda acc: acc["out"])
+        start = acc["at"] + x["gap"]
+        end = start + F.length(x["value"])
+        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), x["before"].alias("before"), F.coalesce(x["after"], F.lit("")).alias("after"))).alias("out")).cast(state)
+
+    def joined(acc: Column, run: Column) -> Column:
+        """Runs one after another, each moved to where it begins."""
+        moved = F.transform(run["out"], lambda x: F.struct((x["start"] + acc["at"]).alias("start"), (x["end"] + acc["at"]).alias("end"), x["value"].alias("value"), x["before"].alias("before"), x["after"].alias("after")))
+        return F.struct((acc["at"] + run["at"]).alias("at"), F.array_append(acc["out"], moved).alias("out")).cast(f"struct<at:int,out:array<array<{_SPAN}>>>")
+
+    runs = F.transform(_parts(parts), lambda run: F.aggregate(run, begin, step))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{_SPAN}>>").alias("out")).cast(f"struct<at:int,out:array<array<{_SPAN}>>>")
+    found = F.aggregate(runs, none, joined, lambda acc: F.flatten(acc["out"]))
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
+def running_max(a: Column) -> Column:
+    """The largest element up to and with each one, of an array of int."""
+    inside = F.transform(_parts(a), lambda run: F.aggregate(run, F.array().cast("array<int>"), lambda acc, x: F.array_append(acc, F.greatest(x, F.coalesce(F.try_element_at(acc, F.lit(-1)), x)))))
+    state = "struct<top:int,out:array<array<int>>>"
+    begin = F.struct(F.lit(-(1 << 31)).alias("top"), F.array().cast("array<array<int>>").alias("out")).cast(state)
+
+    def joined(acc: Column, run: Column) -> Column:
+        return F.struct(F.greatest(acc["top"], F.coalesce(F.try_element_at(run, F.lit(-1)), acc["top"])).alias("top"), F.array_append(acc["out"], F.transform(run, lambda x: F.greatest(x, acc["top"]))).alias("out")).cast(state)
+
+    return F.aggregate(inside, begin, joined, lambda acc: F.flatten(acc["out"]))
+
+
 def holds(kind: str, value: Column) -> Column:
     """The strict rule beyond the pattern."""
     digits = F.regexp_replace(value, "[^0-9]", "")
@@ -104,11 +142,11 @@ def _bits(*flags: Column) -> Column:
     return out.cast("int")
 
 
-def _told(text: Column, kind: str, x: Column, strict: Column) -> Column:
+def _told(kind: str, x: Column, strict: Column) -> Column:
     """A candidate with its votes and features."""
-    v, kind_no = x["value"], KINDS.index(kind)
-    before = F.substring(text, F.greatest(x["start"] - AROUND, F.lit(0)) + 1, F.least(x["start"], F.lit(AROUND)))
-    after = F.substring(text, x["end"] + 1, F.lit(1))
+    v, before, after, kind_no = x["value"], x["before"], x["after"], KINDS.index(kind)
+    if kind == "email":  # written-out forms are judged as what they stand for
+        v = F.regexp_replace(F.regexp_replace(v, r" at | ?\(at\) ?| ?\[at\] ?", "@"), r" dot | ?\(dot\) ?| ?\[dot\] ?", ".")
     digits = F.length(F.regexp_replace(v, "[^0-9]", ""))
     borders = ~before.rlike(r"[\p{L}\p{N}_]$") & ~after.rlike(r"[\p{L}\p{N}_]")
     votes = _bits(strict, v.rlike(FORMAT[kind]), F.regexp_replace(v, "^[ (]+", "").rlike(GAZETTEER[kind]), before.rlike(CONTEXT[kind]), borders)
@@ -124,7 +162,7 @@ def candidates(text: Column) -> Column:
         found = matches(text, pattern)
         if strict and kind == "card":  # shorter numbers are no candidates
             found = F.filter(found, lambda x: F.length(F.regexp_replace(x["value"], "[^0-9]", "")) >= 12)
-        return F.transform(found, lambda x: _told(text, kind, x, holds(kind, x["value"]) if strict else F.lit(False))).cast(_FOUND)
+        return F.transform(found, lambda x: _told(kind, x, holds(kind, x["value"]) if strict else F.lit(False))).cast(_FOUND)
 
     out = [told(k, p, True) for k, p in STRICT.items()] + [told(k, p, False) for k, p in LOOSE.items()]
     return F.when(text.rlike("[0-9@]| at |[(\\[]at[)\\]]"), F.concat(*out)).otherwise(empty)
@@ -196,8 +234,18 @@ def accepted(found: Column, weights: dict[str, list[float]]) -> Column:
         return 1 / (1 + F.exp(-z))
 
     base = F.filter(found, lambda x: x["strict"])
-    free = lambda x: ~F.exists(F.filter(found, lambda y: y["strict"]), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-    return F.concat(base, F.filter(found, lambda x: ~x["strict"] & (score(x) >= THRESHOLD) & free(x)))
+    more = F.filter(found, lambda x: ~x["strict"] & (score(x) >= THRESHOLD))
+    far = 1 << 30
+
+    def free(order: Column) -> Column:
+        """Those of `more`: in order of start, no strict span before one ends beyond its start, none after it starts before its end."""
+        reach = running_max(F.transform(order, lambda t: F.when(t["x"]["strict"], t["end"]).otherwise(-1)))
+        begin = F.reverse(running_max(F.reverse(F.transform(order, lambda t: F.when(t["x"]["strict"], -t["start"]).otherwise(-far)))))
+        placed = F.zip_with(F.zip_with(order, reach, lambda t, r: F.struct(t["x"].alias("x"), r.alias("reach"))), begin, lambda z, b: F.struct(z["x"].alias("x"), z["reach"].alias("reach"), b.alias("begin")))
+        return F.transform(F.filter(placed, lambda z: ~z["x"]["strict"] & (z["reach"] <= z["x"]["start"]) & (-z["begin"] >= z["x"]["end"])), lambda z: z["x"])
+
+    order = F.array_sort(F.transform(F.concat(base, more), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x.alias("x"))))
+    return F.when(F.exists(found, lambda x: ~x["strict"] & (score(x) >= THRESHOLD)), F.concat(base, _let(order, free))).otherwise(base)
 
 
 def learn(found: DataFrame) -> dict[str, list[float]]:
@@ -222,17 +270,27 @@ def spans(docs: DataFrame) -> DataFrame:
 def mask(docs: DataFrame) -> DataFrame:
     """The documents with every reported span replaced by its kind in brackets; n_chars follows where there is one."""
     text = docs["text"].cast("string")
-    told = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), candidates(F.coalesce(text, F.lit(""))).alias("found"))
+    told = C.staged(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), candidates(F.coalesce(text, F.lit(""))).alias("found")), "told")
     weights = learn(told)
     order = F.array_sort(F.transform(accepted(F.col("found"), weights), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    t, state = F.col("row.text").cast("string"), "struct<at:int,out:array<string>>"
+    t = F.col("row.text").cast("string")
+    state = "struct<at:int,out:array<string>>"
+    begin = lambda at: F.struct(at.alias("at"), F.array().cast("array<string>").alias("out")).cast(state)
 
-    def step(acc: Column, x: Column) -> Column:
-        out = F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.array(F.substring(t, acc["at"] + 1, x["start"] - acc["at"]), F.concat(F.lit("["), x["kind"], F.lit("]"))))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out")).cast(state)
+    def one(run: Column, base: Column) -> Column:
+        """The text from `base` to the end of a run of spans, masked; spans within one before go with it."""
+        piece = F.substring(t, base + 1, F.greatest(F.lit(0), F.array_max(F.transform(run, lambda x: x["end"])) - base))
+
+        def step(acc: Column, x: Column) -> Column:
+            out = F.when(x["start"] >= acc["at"], F.array_append(acc["out"], F.concat(F.substring(piece, acc["at"] - base + 1, x["start"] - acc["at"]), F.lit("["), x["kind"], F.lit("]")))).otherwise(acc["out"])
+            return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out")).cast(state)
+
+        return F.aggregate(run, begin(base), step)
+
+    def done(acc: Column, run: Column) -> Column:
+        return F.transform(F.array(one(run, acc["at"])), lambda r: F.struct(r["at"].alias("at"), F.array_append(acc["out"], F.array_join(r["out"], "")).alias("out")).cast(state))[0]
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(state)
-    masked = F.aggregate(order, begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, acc["at"] + 1, F.length(t))))
+    masked = F.aggregate(_parts(order), begin(F.lit(0)), done, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, acc["at"] + 1, F.length(t))))
     new = F.when(F.size(order) > 0, masked).otherwise(t)
     out = told.select("row", new.alias("new"))
     kind = dict(docs.dtypes)
