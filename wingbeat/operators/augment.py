@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import order_key, uniform
 
-BUCKET_DIGITS = 2
+BUCKET_DIGITS = 3
 
 
 def _rms(a: Column) -> Column:
@@ -20,10 +20,17 @@ def rms_normalised(a: Column) -> Column:
 
 
 def plan_pairs(df: DataFrame, key: str = "row_id", seed: int = 0) -> DataFrame:
-    """(key, partner): the next row in hash order inside a bucket of the hash, the first after the last; a row alone has itself."""
+    """(key, partner): the next row in hash order, the first after the last; a row alone has itself.
+
+    Rows are ordered inside buckets of the hash; a bucket's last row gets the first of the next bucket, from a table of
+    at most 16 ** BUCKET_DIGITS rows.
+    """
     ids = df.select(key).withColumn("_o", order_key(seed, key)).withColumn("_b", F.substring("_o", 1, BUCKET_DIGITS))
-    w = W.partitionBy("_b").orderBy("_o", key)
-    return ids.withColumn("partner", F.coalesce(F.lead(key).over(w), F.first(key).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))).select(key, "partner")
+    firsts = ids.groupBy("_b").agg(F.min_by(key, F.struct("_o", key)).alias("_f"))
+    w = W.orderBy("_b")
+    after = firsts.select("_b", F.coalesce(F.lead("_f").over(w), F.first("_f").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("_f"))
+    inside = F.lead(key).over(W.partitionBy("_b").orderBy("_o", key))
+    return ids.withColumn("partner", inside).join(F.broadcast(after), "_b").select(key, F.coalesce("partner", "_f").alias("partner"))
 
 
 def mix_pairs(df: DataFrame, p: float = 0.7, snr_min: float = 3.0, snr_max: float = 30.0, mix: str = "union", key: str = "row_id", seed: int = 0) -> DataFrame:

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashing import order_key, uniform
+from ..functions.hashing import order_key, uniform_fine
 from .prefix import hash_bucket, running
 
 SALTS = 64
+#: Parts of the largest weight that sampling tells apart; running sums of 2^39 rows still fit.
+WEIGHT_PARTS = 1 << 24
 
 
 def limit_classes(df: DataFrame, label: str, key: str, limit: int, seed: int = 0) -> DataFrame:
@@ -51,18 +53,19 @@ def balance(df: DataFrame, class_limit: int | None, event_limit: int | None, tas
 
 
 def weighted_sample(df: DataFrame, weight: str, n: int, key: str, seed: int = 0) -> DataFrame:
-    """n draws with replacement, by weight: (draw, key). Both sides of the range join are cut into the same buckets of
-    cumulative weight; a row that reaches over several buckets stands in each."""
-    rows = running(df.where(F.col(weight) > 0).withColumn("_o", order_key(seed, key)), hash_bucket(F.col("_o")), [F.col("_o"), F.col(key)], {"_high": F.col(weight)})
-    rows = rows.withColumn("_low", F.col("_high") - F.col(weight))
-    total = rows.agg(F.max("_high").alias("t"))
-    cells = max(1, n // 4)
-    rows = rows.crossJoin(F.broadcast(total)).where("t > 0")
-    cell = lambda x: F.floor(x / F.col("t") * cells).cast("long")
-    rows = rows.withColumn("_cell", F.explode(F.sequence(cell(F.col("_low")), cell(F.col("_high")))))
-    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), uniform(f"{seed}-draw", "id").alias("_u"))
-    draws = draws.withColumn("_cell", F.floor(F.col("_u") * cells).cast("long"))
-    return draws.join(rows, "_cell").where(F.col("_u") * F.col("t") >= F.col("_low")).where(F.col("_u") * F.col("t") < F.col("_high")).select("draw", key)
+    """n draws with replacement, by weight: (draw, key). Weights are whole parts of the largest, WEIGHT_PARTS of it at
+    most and one at least, so that running sums are exact and each draw meets one row. Both sides of the range join are
+    cut into the same cells of cumulative weight; a row that reaches over several cells stands in each."""
+    rows = df.where(F.col(weight) > 0)
+    most = rows.agg(F.max(weight).alias("_most"))
+    rows = rows.crossJoin(F.broadcast(most)).withColumn("_w", F.greatest(F.lit(1), F.round(F.col(weight) / F.col("_most") * WEIGHT_PARTS)).cast("long")).select(key, "_w").withColumn("_o", order_key(seed, key))
+    total = rows.agg(F.sum("_w").alias("_t")).where("_t > 0").withColumn("_cell_size", F.ceil(F.col("_t") / max(1, n // 4)))
+    rows = running(rows, hash_bucket(F.col("_o")), [F.col("_o"), F.col(key)], {"_high": F.col("_w")}).crossJoin(F.broadcast(total))
+    cell = lambda x: F.floor(x / F.col("_cell_size")).cast("long")
+    rows = rows.withColumn("_low", F.col("_high") - F.col("_w")).withColumn("_cell", F.explode(F.sequence(cell(F.col("_low")), cell(F.col("_high") - 1))))
+    draws = df.sparkSession.range(n).crossJoin(F.broadcast(total)).select(F.col("id").alias("draw"), "_cell_size", F.least(F.floor(uniform_fine(f"{seed}-draw", "id") * F.col("_t")), F.col("_t") - 1).alias("_at"))
+    draws = draws.select("draw", "_at", cell(F.col("_at")).alias("_cell"))
+    return draws.join(rows.select(key, "_low", "_high", "_cell"), "_cell").where("_at >= _low and _at < _high").select("draw", key)
 
 
 def random_subset(df: DataFrame, size: int, key: str, seed: int = 0) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Clustering of a recording's regions: scaling in windows, density clustering in numpy for each recording."""
+"""Clustering of a recording's regions: scaling by counts of each recording, density clustering in numpy for each recording."""
 
 from __future__ import annotations
 
@@ -6,8 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a distance matrix that are held at once.
@@ -15,26 +14,26 @@ ROWS = 1024
 
 
 def scale_features(df: DataFrame, shape: list[str], others: list[str], scaler: str = "standard") -> DataFrame:
-    """Scale inside each recording: the shape columns together as if one, every other column by itself."""
-    w = W.partitionBy("recording")
-    n = F.count(F.lit(1)).over(w)
-
-    def one(column: Column, stats: list[Column]) -> Column:
-        if scaler == "min-max":
-            low, high = F.least(*[F.min(c).over(w) for c in stats], F.lit(None)), F.greatest(*[F.max(c).over(w) for c in stats], F.lit(None))
-            return F.try_divide(column - low, high - low)
-        if scaler == "robust":
-            flat = F.flatten(F.collect_list(F.array(*stats)).over(w))
-            q = [F.element_at(F.array_sort(flat), F.ceil(F.size(flat) * x).cast("int")) for x in (0.25, 0.5, 0.75)]
-            return F.try_divide(column - q[1], q[2] - q[0])
-        total = sum((F.sum(c).over(w) for c in stats[1:]), F.sum(stats[0]).over(w))
-        mean = total / (n * len(stats))
-        square = sum((F.sum(c * c).over(w) for c in stats[1:]), F.sum(stats[0] * stats[0]).over(w)) / (n * len(stats))
-        return F.try_divide(column - mean, F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))))
-
-    shapes = [F.col(c) for c in shape]
-    out = {c: F.coalesce(one(F.col(c), shapes), F.lit(0.0)) for c in shape} | {c: F.coalesce(one(F.col(c), [F.col(c)]), F.lit(0.0)) for c in others}
-    return df.withColumns({f"{c}_scaled": x for c, x in out.items()})
+    """Scale inside each recording: the shape columns together as if one, every other column by itself.
+
+    scaler: min-max, robust (median and the interpolated quartiles), any other name: mean and deviation. One pass counts
+    by recording and column, with partial sums, so that a frequent recording isn't brought to one task as rows.
+    """
+    group = {c: "shape" for c in shape} | {c: c for c in others}
+    values = F.explode(F.array(*[F.struct(F.lit(g).alias("g"), F.col(c).cast("double").alias("x")) for c, g in group.items()]))
+    flat = df.select("recording", values.alias("v")).select("recording", "v.g", "v.x").where("x is not null")
+    if scaler == "min-max":
+        centre, width = F.min("x"), F.max("x") - F.min("x")
+    elif scaler == "robust":
+        q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        centre, width = q[1], q[2] - q[0]
+    else:
+        centre, width = F.avg("x"), F.stddev_pop("x")
+    stats = flat.groupBy("recording", "g").agg(F.struct(centre.alias("centre"), width.alias("width")).alias("s"))
+    stats = stats.groupBy("recording").agg(F.map_from_entries(F.collect_list(F.struct("g", "s"))).alias("_s"))
+    rows = df.join(stats, "recording", "left")
+    scaled = lambda c, g: F.coalesce(F.try_divide(F.col(c) - F.col("_s")[g]["centre"], F.col("_s")[g]["width"]), F.lit(0.0))
+    return rows.withColumns({f"{c}_scaled": scaled(c, g) for c, g in group.items()}).drop("_s")
 
 
 def knee(y: np.ndarray) -> float:

@@ -6,7 +6,6 @@ Curve metrics first count by (class, score): that settles ties and shrinks what
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import arrays
@@ -22,10 +21,15 @@ def by_score(long: DataFrame) -> DataFrame:
     return long.groupBy("class", "score").agg(F.sum("target").cast("double").alias("p"), F.count(F.lit(1)).cast("double").alias("n"))
 
 
+def _curve(long: DataFrame) -> DataFrame:
+    """(class, score, p, n, tp, seen): counts at each score, and of this and all higher ones; summed in ranges of the score, so that no task gets a whole class."""
+    c = by_score(long)
+    return running(c, number_bucket(c, "score", descending=True), [F.desc("score")], {"tp": F.col("p"), "seen": F.col("n")}, by=["class"])
+
+
 def average_precision(long: DataFrame) -> DataFrame:
     """(class, positives, ap); ap is null for classes without positives."""
-    w = W.partitionBy("class").orderBy(F.desc("score"))
-    c = by_score(long).withColumn("tp", F.sum("p").over(w)).withColumn("seen", F.sum("n").over(w))
+    c = _curve(long)
     return c.groupBy("class").agg(F.sum("p").alias("positives"), F.try_divide(F.sum(F.col("p") * F.col("tp") / F.col("seen")), F.sum("p")).alias("ap"))
 
 
@@ -52,8 +56,8 @@ def map_micro(long: DataFrame) -> DataFrame:
 
 def auroc(long: DataFrame) -> DataFrame:
     """(class, auroc), ties half; null without positives or negatives."""
-    w = W.partitionBy("class").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    c = by_score(long).withColumn("below", F.coalesce(F.sum(F.col("n") - F.col("p")).over(w), F.lit(0.0)))
+    c = by_score(long)
+    c = running(c, number_bucket(c, "score"), [F.col("score")], {"upto": F.col("n") - F.col("p")}, by=["class"]).withColumn("below", F.col("upto") - F.col("n") + F.col("p"))
     return c.groupBy("class").agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + (F.col("n") - F.col("p")) / 2)), F.sum("p") * F.sum(F.col("n") - F.col("p"))).alias("auroc"))
 
 
@@ -150,10 +154,10 @@ def asymmetric_loss_single(wide: DataFrame, gamma_neg: float = 4.0, gamma_pos: f
     return wide.agg(F.avg(F.aggregate(F.transform(shift, term), F.lit(0.0), lambda a, x: a + x)).alias("loss"))
 
 
-def metric_set(long: DataFrame) -> DataFrame:
+def metric_set(long: DataFrame, support: int = 5) -> DataFrame:
     """Named curve metrics from one table of (class, score) counts: (name, value)."""
-    w_down, w_up = W.partitionBy("class").orderBy(F.desc("score")), W.partitionBy("class").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    c = by_score(long).withColumn("tp", F.sum("p").over(w_down)).withColumn("seen", F.sum("n").over(w_down)).withColumn("below", F.coalesce(F.sum(F.col("n") - F.col("p")).over(w_up), F.lit(0.0)))
+    all_of = by_score(long).groupBy("class").agg(F.sum("n").alias("all_n"), F.sum("p").alias("all_p"))
+    c = _curve(long).join(F.broadcast(all_of), "class").withColumn("below", F.col("all_n") - F.col("all_p") - F.col("seen") + F.col("tp"))
     per = c.groupBy("class").agg(F.sum("p").alias("positives"), F.try_divide(F.sum(F.col("p") * F.col("tp") / F.col("seen")), F.sum("p")).alias("ap"), F.try_divide(F.sum(F.col("p") * (F.col("below") + (F.col("n") - F.col("p")) / 2)), F.sum("p") * F.sum(F.col("n") - F.col("p"))).alias("auroc"))
-    one = per.agg(F.avg("ap").alias("cmap"), F.avg(F.when(F.col("positives") >= 5, F.col("ap"))).alias("cmap5"), F.avg("auroc").alias("auroc"))
+    one = per.agg(F.avg("ap").alias("cmap"), F.avg(F.when(F.col("positives") >= support, F.col("ap"))).alias(f"cmap{support}"), F.avg("auroc").alias("auroc"))
     return one.select(F.explode(F.map_from_arrays(F.array(*[F.lit(n) for n in one.columns]), F.array(*one.columns))).alias("name", "value"))

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 PREPARED = ["filepath", "labels", "detected_events", "start_time", "end_time"]
 
 
-def select_task_splits(splits: dict[str, DataFrame], task: str) -> dict[str, DataFrame]:
-    """multiclass: train and test with ebird_code; multilabel: train and test_5s (as test) with ebird_code_multilabel."""
+def select_task_splits(splits: dict[str, DataFrame], task: str, keep: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """multiclass: train and test with ebird_code; multilabel: train and test_5s (as test) with ebird_code_multilabel.
+    keep: columns that a later step needs beside the prepared ones."""
     names, label = {"multiclass": ({"train": "train", "test": "test"}, "ebird_code"), "multilabel": ({"train": "train", "test_5s": "test"}, "ebird_code_multilabel")}[task]
-    return {new: splits[old].drop("labels").withColumnRenamed(label, "labels").select(*[c if c in splits[old].columns or c == "labels" else F.lit(None).alias(c) for c in PREPARED]) for old, new in names.items() if old in splits}
+    return {new: splits[old].drop("labels").withColumnRenamed(label, "labels").select(*[c if c in splits[old].columns or c == "labels" else F.lit(None).alias(c) for c in [*PREPARED, *keep]]) for old, new in names.items() if old in splits}
 
 
 def select_inference(df: DataFrame, num_classes: int) -> DataFrame:

@@ -7,13 +7,15 @@ file, and are joined back by file.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..functions.hashing import order_key
 from .prefix import hash_bucket, running
 
+#: Characters of a file's name whose ranges are summed apart.
+NAME_START = 16
+
 
 def ranked(df: DataFrame, key: str, seed: int) -> DataFrame:
     """Adds _rank (from 1, in hash order) and _n."""
@@ -53,9 +55,11 @@ def split_sites(df: DataFrame) -> DataFrame:
 def _files(df: DataFrame, by: list[str]) -> DataFrame:
     """(by, file, s, e, n): each file's run [s, e) of the n rows, in order of file."""
     counts = df.groupBy(*by, "file").agg(F.count(F.lit(1)).alias("c"))
-    # one row for each file; inside a site, or over all files when there is no site
-    group = W.partitionBy(*[F.col(b) for b in by]) if by else W.partitionBy(F.lit(0))
-    return counts.withColumn("e", F.sum("c").over(group.orderBy("file"))).withColumn("n", F.sum("c").over(group)).withColumn("s", F.col("e") - F.col("c")).drop("c")
+    # running sums inside beginnings of names (site and day), which follow the order of names
+    files = running(counts, F.substring("file", 1, NAME_START), [F.col("file")], {"e": F.col("c")}, by=by)
+    total = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    files = files.join(F.broadcast(total), by) if by else files.crossJoin(F.broadcast(total))
+    return files.withColumn("s", F.col("e") - F.col("c")).drop("c")
 
 
 def _bounds(files: DataFrame, by: list[str], starts: DataFrame, frac: float) -> DataFrame:

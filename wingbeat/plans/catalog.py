@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, keys
 from ..operators import augment, balance, batches, cluster, events, labels, metrics, project, splits, stats
+from ..sources import io
+from ..streaming import streams
 from . import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,12 +55,44 @@ def event_list(df: DataFrame) -> DataFrame:
 # ---- events ----
 
 
-@query("prepare_training_set", f"WITH {_ROWS}, n AS (SELECT label, count(*) AS n FROM x GROUP BY label) SELECT CAST(g.i AS INT) AS label, coalesce(n.n, 0)::BIGINT AS n FROM (SELECT unnest(range((SELECT max(label) + 1 FROM x)::BIGINT)) AS i) g LEFT JOIN n ON n.label = g.i")
-def prepare_training_set(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.count_labels(events.explode_events(X.recordings(spark, sf)))
+_PREPARED = f"""WITH {_ROWS}, k0 AS (SELECT *, filepath || '_' || CAST(s AS INT) AS k FROM x), g AS (SELECT label, filepath, count(*) AS c FROM k0 GROUP BY 1, 2), v AS (SELECT DISTINCT label, c AS v FROM g),
+ t AS (SELECT v.label, v.v, sum(least(g.c, v.v)) AS total FROM v JOIN g ON v.label = g.label GROUP BY 1, 2), n AS (SELECT *, lead(total) OVER (PARTITION BY label ORDER BY v DESC) AS next FROM t),
+ cap AS (SELECT label, max(v) AS cap FROM n WHERE v = 2 OR v = 1 OR next IS NULL OR next < 500 GROUP BY 1),
+ r AS (SELECT *, row_number() OVER (PARTITION BY label, filepath ORDER BY md5('0|' || k), k) AS r FROM k0), kept AS (SELECT r.* FROM r JOIN cap ON r.label = cap.label WHERE r.r <= cap),
+ w AS (SELECT label, count(*) AS n FROM kept GROUP BY 1), z AS (SELECT *, row_number() OVER (ORDER BY md5('0|' || k), k) AS place, count(*) OVER () AS rows FROM kept)
+ SELECT k AS event_id, z.label::BIGINT AS hot, round(s, 6) AS s, round(e, 6) AS e, CASE WHEN place <= ceil(rows * 0.2) THEN 'valid' ELSE 'train' END AS split, round(pow(w.n / (SELECT sum(n) FROM w), -0.5), 6) AS row_weight FROM z JOIN w ON z.label = w.label"""
 
 
-QUERIES["count_labels"], ORACLES["count_labels"] = prepare_training_set, ORACLES["prepare_training_set"]
+@query("prepare_training_set", _PREPARED)
+def prepare_training_set(spark: SparkSession, sf: str) -> DataFrame:
+    """Recordings to training rows: task columns, events, levelling, weights, a validation split, one-hot labels."""
+    known = X.recordings(spark, sf).withColumnsRenamed({"label": "ebird_code"})
+    rows = project.select_task_splits({"train": known}, "multiclass", keep=("event_cluster",))["train"]
+    rows = events.explode_events(rows).withColumnRenamed("labels", "label")
+    rows = rows.withColumn("event_id", F.concat_ws("_", "filepath", F.col("detected_events")[0].cast("int").cast("string")))
+    rows = balance.balance(rows, 500, 2, "multilabel")
+    rows = stats.row_weights(rows, stats.class_weights(stats.count_labels(rows)), "event_id")
+    parts = splits.ensure_splits({"train": rows, "test": rows.limit(0)}, "event_id", 0.2)
+    out = parts["train"].withColumn("split", F.lit("train")).unionByName(parts["valid"].withColumn("split", F.lit("valid")))
+    hot = F.array_position(arrays.one_hot(F.array("label"), 10), F.lit(1.0).cast("float")) - 1
+    return out.select("event_id", hot.alias("hot"), R(F.col("detected_events")[0]).alias("s"), R(F.col("detected_events")[1]).alias("e"), "split", R(F.col("row_weight")).alias("row_weight"))
+
+
+@query("count_labels", f"WITH {_EV}, n AS (SELECT label * 2 AS label, count(*) AS n FROM ev GROUP BY 1) SELECT CAST(g.i AS INT) AS label, coalesce(n.n, 0)::BIGINT AS n FROM (SELECT unnest(range((SELECT max(label) + 1 FROM n)::BIGINT)) AS i) g LEFT JOIN n ON n.label = g.i")
+def count_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.count_labels(X.ev(spark, sf).select((F.col("label") * 2).alias("label")))
+
+
+@query("select_task_splits", f"WITH {_EV}, r AS (SELECT filepath, label, count(*) AS n FROM ev GROUP BY 1, 2) SELECT filepath, CASE k WHEN 0 THEN 'multiclass train' WHEN 1 THEN 'multiclass test' WHEN 2 THEN 'multilabel train' ELSE 'multilabel test' END AS part, CASE k WHEN 0 THEN label WHEN 1 THEN label WHEN 2 THEN -label ELSE -label - 1 END AS labels, CASE WHEN k < 3 THEN n ELSE NULL END AS n FROM r, range(4) t(k)")
+def select_task_splits(spark: SparkSession, sf: str) -> DataFrame:
+    rows = X.recordings(spark, sf).withColumn("ebird_code_multilabel", -F.col("label")).withColumnRenamed("label", "ebird_code")
+    segments = rows.drop("detected_events").withColumn("ebird_code_multilabel", F.col("ebird_code_multilabel") - 1)
+    out = None
+    for task in ("multiclass", "multilabel"):
+        for name, part in project.select_task_splits({"train": rows, "test": rows, "test_5s": segments}, task).items():
+            part = part.select("filepath", F.lit(f"{task} {name}").alias("part"), "labels", (F.size("detected_events").cast("long") if part.schema["detected_events"].dataType.typeName() == "array" else F.lit(None).cast("long")).alias("n"))
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("drop_noise_events", f"WITH {_KEPT} SELECT filepath, round(s, 6) AS s, cl FROM d")
@@ -182,26 +216,26 @@ def one_hot(spark: SparkSession, sf: str) -> DataFrame:
     return X.waveforms(spark, sf).select("row_id", F.posexplode("labels").alias("i", "x")).select("row_id", F.col("i").cast("long").alias("i"), "x")
 
 
-def _names(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    part = X.table(spark, sf, "part")
-    return part.select(F.col("p_partkey").alias("pos"), F.col("p_brand").alias("name")), part.where("p_partkey % 7 = 0").select(F.col("p_brand").alias("name"), F.col("p_partkey").cast("string").alias("code"), F.col("p_partkey").alias("pos"))
+def _codes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Customers by name, and a code for each order of one: many names have several, some none."""
+    names = X.table(spark, sf, "customer").select(F.col("c_custkey").alias("pos"), F.concat(F.lit("c"), "c_custkey").alias("name"))
+    return names, X.table(spark, sf, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("name"), F.col("o_orderkey").cast("string").alias("code"), F.col("o_orderkey").alias("pos"))
 
 
-@query("map_codes", "WITH t AS (SELECT p_brand AS name, max_by(CAST(p_partkey AS VARCHAR), p_partkey) AS code FROM part WHERE p_partkey % 7 = 0 GROUP BY 1) SELECT p_partkey AS pos, p_brand AS name, code FROM part JOIN t ON p_brand = name")
+@query("map_codes", "WITH t AS (SELECT o_custkey, max_by(CAST(o_orderkey AS VARCHAR), o_orderkey) AS code FROM orders GROUP BY 1) SELECT c_custkey AS pos, 'c' || c_custkey AS name, code FROM customer JOIN t ON c_custkey = o_custkey")
 def map_codes(spark: SparkSession, sf: str) -> DataFrame:
-    return labels.map_codes(*_names(spark, sf))
+    return labels.map_codes(*_codes(spark, sf))
 
 
-@query("unmatched_codes", "SELECT p_partkey AS pos, p_brand AS name FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_partkey % 97 = 0)")
+@query("unmatched_codes", "SELECT c_custkey AS pos, 'c' || c_custkey AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def unmatched_codes(spark: SparkSession, sf: str) -> DataFrame:
-    names, _ = _names(spark, sf)
-    return labels.unmatched_codes(names, names.where("pos % 97 = 0")).select("pos", "name")
+    return labels.unmatched_codes(*_codes(spark, sf)).select("pos", "name")
 
 
-@query("known_codes", "SELECT p_partkey AS label_id, p_brand AS code FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_partkey % 97 = 0)")
+@query("known_codes", "SELECT c_custkey AS label_id, 'c' || c_custkey AS code FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def known_codes(spark: SparkSession, sf: str) -> DataFrame:
-    names = _names(spark, sf)[0].withColumnsRenamed({"pos": "label_id", "name": "code"})
-    return labels.known_codes(names, names.where("label_id % 97 = 0")).select("label_id", "code")
+    names, orders = _codes(spark, sf)
+    return labels.known_codes(names.withColumnsRenamed({"pos": "label_id", "name": "code"}), orders.select(F.col("name").alias("code"))).select("label_id", "code")
 
 
 def _vocabularies(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -249,6 +283,13 @@ def row_weights(spark: SparkSession, sf: str) -> DataFrame:
     return stats.row_weights(rows, stats.class_weights(stats.count_labels(rows)), "event_id").select("event_id", R(F.col("row_weight")).alias("row_weight"))
 
 
+@query("row_weights_multilabel", f"WITH {_EV}, n AS (SELECT cl AS label, count(*) AS n FROM ev WHERE cl >= 0 GROUP BY cl), w AS (SELECT label, pow(n / (SELECT sum(n) FROM n), -0.5) AS weight FROM n) SELECT filepath, round(sum(coalesce(weight, 0)), 6) AS row_weight FROM ev LEFT JOIN w ON ev.cl = w.label GROUP BY filepath")
+def row_weights_multilabel(spark: SparkSession, sf: str) -> DataFrame:
+    weights = stats.class_weights(stats.count_labels(X.ev(spark, sf).where("cl >= 0"), "cl"))
+    rows = X.recordings(spark, sf).select("filepath", F.col("event_cluster").alias("labels"))
+    return stats.row_weights(rows, weights, "filepath", multilabel=True).select("filepath", R(F.col("row_weight")).alias("row_weight"))
+
+
 def _split_labels(spark: SparkSession, sf: str) -> DataFrame:
     return X.recordings(spark, sf).select(F.when(F.crc32(F.col("filepath").cast("binary")) >= 0, F.when(F.col("label") % 3 == 0, "test").otherwise("train")).alias("split"), F.col("event_cluster").alias("labels"))
 
@@ -292,6 +333,11 @@ def keep_label(spark: SparkSession, sf: str) -> DataFrame:
     return stats.keep_label(X.ev(spark, sf).select("event_id", F.col("filepath").alias("recording"), F.col("cl").alias("cluster"))).select("event_id", "keep_label")
 
 
+@query("keep_label_all", f"WITH {_EV} SELECT event_id, (cl >= 0)::INT AS keep_label FROM ev")
+def keep_label_all(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.keep_label(X.ev(spark, sf).select("event_id", F.col("filepath").alias("recording"), F.col("cl").alias("cluster")), "ALL").select("event_id", "keep_label")
+
+
 # ---- balancing ----
 
 
@@ -311,15 +357,30 @@ def level_events(spark: SparkSession, sf: str) -> DataFrame:
     return balance.level_events(X.ev(spark, sf), 3000, 4, "event_id", 2).select("event_id", "label")
 
 
-@query("balance", _LEVEL)
+_LIMITED = f"WITH {_EV} SELECT event_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('2|' || event_id), event_id) AS r FROM ev) WHERE r <= 300"
+
+
+@query("balance", f"SELECT event_id, label, 'levelled' AS how FROM ({_LEVEL}) a UNION ALL SELECT event_id, label, 'limited' FROM ({_LIMITED}) b UNION ALL (WITH {_EV} SELECT event_id, label, 'whole' FROM ev)")
 def balanced(spark: SparkSession, sf: str) -> DataFrame:
-    return balance.balance(X.ev(spark, sf), 3000, 4, "multilabel", "event_id", 2).select("event_id", "label")
+    rows = X.ev(spark, sf)
+    cases = {"levelled": (3000, 4, "multilabel"), "limited": (300, None, "multiclass"), "whole": (None, None, "multiclass")}
+    out = None
+    for how, limits in cases.items():
+        part = balance.balance(rows, *limits, "event_id", 2).select("event_id", "label", F.lit(how).alias("how"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_SAMPLE = f"""WITH {_EV}, w AS (SELECT event_id, greatest(1, round((label + 1)::DOUBLE / (SELECT max(label) + 1 FROM ev) * 16777216))::BIGINT AS w FROM ev),
+ r AS (SELECT event_id, w, sum(w) OVER (ORDER BY md5('5|' || event_id), event_id)::BIGINT AS high FROM w), t AS (SELECT sum(w)::DOUBLE AS t, count(*) AS n FROM w), l AS (SELECT event_id, high - w AS low FROM r),
+ d AS (SELECT range AS draw, least(floor(('0x' || substr(md5('5-draw|' || range), 1, 13))::BIGINT::DOUBLE / 4503599627370496 * (SELECT t FROM t)), (SELECT t FROM t) - 1)::BIGINT AS pos FROM range((SELECT n FROM t)::BIGINT))
+ SELECT draw, event_id FROM d ASOF JOIN l ON d.pos >= l.low"""
 
 
-@query("weighted_sample", f"WITH {_EV}, n AS (SELECT count(*) AS n FROM ev) SELECT CAST(range AS BIGINT) AS draw FROM range((SELECT n FROM n)::BIGINT)")
+@query("weighted_sample", _SAMPLE)
 def weighted_sample(spark: SparkSession, sf: str) -> DataFrame:
     rows = X.ev(spark, sf).withColumn("w", (F.col("label") + 1).cast("double"))
-    return balance.weighted_sample(rows, "w", rows.count(), "event_id", 5).select("draw")
+    return balance.weighted_sample(rows, "w", X.table(spark, sf, "lineitem").count(), "event_id", 5)
 
 
 @query("random_subset", f"WITH {_EV} SELECT event_id FROM ev ORDER BY md5('4|' || event_id), event_id LIMIT 500")
@@ -355,6 +416,17 @@ def ensure_splits(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+@query("ensure_splits_others", f"{_RANK} SELECT event_id, CASE WHEN r <= ceil(n * 0.25) THEN 'valid' ELSE 'train' END AS split, 'cut' AS how FROM r UNION ALL SELECT event_id, 'test', 'cut' FROM r UNION ALL SELECT event_id, unnest(['train', 'valid']), 'kept' FROM r")
+def ensure_splits_others(spark: SparkSession, sf: str) -> DataFrame:
+    rows = X.ev(spark, sf).select("event_id")
+    out = None
+    for how, given in {"cut": {"train": rows, "test": rows}, "kept": {"train": rows, "valid": rows}}.items():
+        for name, part in splits.ensure_splits(given, "event_id", 0.25, 0.25, 6).items():
+            part = part.select("event_id", F.lit(name).alias("split"), F.lit(how).alias("how"))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("split_sites", f"WITH {_SEG} SELECT filepath, right(regexp_replace(filepath, '(_[^_]*){{4}}$', ''), 3) AS site FROM seg")
 def split_sites(spark: SparkSession, sf: str) -> DataFrame:
     return splits.split_sites(X.seg(spark, sf)).select("filepath", "site")
@@ -395,6 +467,13 @@ def tail_split(spark: SparkSession, sf: str) -> DataFrame:
     return splits.tail_split(X.seg(spark, sf), 0.2).select("filepath", "split")
 
 
+@query("tail_split_by_site", f"""WITH {_SEG}, a AS (SELECT filepath, right(regexp_replace(filepath, '(_[^_]*){{4}}$', ''), 3) AS site, regexp_replace(filepath, '(_[^_]*){{2}}$', '') AS file FROM seg), c AS (SELECT site, file, count(*) AS c FROM a GROUP BY 1, 2),
+ r AS (SELECT site, file, sum(c) OVER (PARTITION BY site ORDER BY file) - c AS s, sum(c) OVER (PARTITION BY site) AS n FROM c), p AS (SELECT site, arg_min(s, abs(s - (n - floor(n * 0.2::DOUBLE))) * 1e9 + s) AS s FROM r GROUP BY site)
+ SELECT filepath, CASE WHEN r.s >= p.s THEN 'test' ELSE 'train' END AS split FROM a JOIN r ON a.site = r.site AND a.file = r.file JOIN p ON r.site = p.site""")
+def tail_split_by_site(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.tail_split(X.seg(spark, sf), 0.2, by_site=True).select("filepath", "split")
+
+
 @query("last_days_split", f"WITH {_SEG}, a AS (SELECT filepath, right(regexp_replace(filepath, '(_[^_]*){{3}}$', ''), 8) AS day FROM seg) SELECT filepath, CASE WHEN dense_rank() OVER (ORDER BY day DESC) <= 2 THEN 'test' ELSE 'train' END AS split FROM a")
 def last_days_split(spark: SparkSession, sf: str) -> DataFrame:
     return splits.last_days_split(X.seg(spark, sf), 2).select("filepath", "split")
@@ -472,6 +551,17 @@ for _axis, _col in (("pred", "class"), ("true", "label")):
         return metrics.balanced_accuracy(rows, 10, axis=axis).select(R(F.col("accuracy")).alias("accuracy"))
 
 
+@query("balanced_accuracy_adjusted", f"{_TOP}, s AS (SELECT label AS c, avg((class = label)::INT) AS a FROM r JOIN embeddings ON row_id = vec_id WHERE r = 1 GROUP BY 1) SELECT round((avg(a) - 0.1) / 0.9, 6) AS accuracy FROM s")
+def balanced_accuracy_adjusted(spark: SparkSession, sf: str) -> DataFrame:
+    rows = X.wide(spark, sf).select(metrics.top_classes(F.col("scores"), 1)[0].alias("pred"), "true")
+    return metrics.balanced_accuracy(rows, 10, adjusted=True, axis="true").select(R(F.col("accuracy")).alias("accuracy"))
+
+
+@query("asymmetric_loss_single", f"WITH {_PRED}, a AS (SELECT row_id, class, (class = label)::INT AS hit, score - ln(sum(exp(score)) OVER (PARTITION BY row_id)) AS lp FROM pred JOIN embeddings ON row_id = vec_id), b AS (SELECT row_id, sum(-(hit * 0.9 + 0.01) * lp * CASE WHEN hit = 1 THEN 1 - exp(lp) ELSE pow(exp(lp), 4) END) AS loss FROM a GROUP BY 1) SELECT round(avg(loss), 6) AS loss FROM b")
+def asymmetric_loss_single(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.asymmetric_loss_single(X.wide(spark, sf).select(F.col("scores").alias("logits"), "true")).select(R(F.col("loss")).alias("loss"))
+
+
 @query("prediction_table", f"{_TOP} SELECT row_id, string_agg(class::VARCHAR, ', ' ORDER BY r) FILTER (r <= 5) AS predicted, coalesce(string_agg(class::VARCHAR, ', ' ORDER BY class) FILTER (target = 1), '') AS positive FROM r GROUP BY row_id")
 def prediction_table(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.prediction_table(X.wide(spark, sf))
@@ -526,7 +616,19 @@ _array_query("standardize", "SELECT row_id, i, round((x + 4.268) / 4.569, 6) AS
 _array_query("power_to_db", ", d AS (SELECT row_id, i, 10 * log10(greatest(x * x, 1e-10)) AS d FROM f) SELECT row_id, i, round(greatest(d, max(d) OVER (PARTITION BY row_id) - 20), 6) AS x FROM d", lambda a: arrays.power_to_db(F.transform(a, lambda x: x * x), top_db=20.0))
 _array_query("center_pad", "SELECT row_id, i + 8 AS i, round(x, 6) AS x FROM f UNION ALL SELECT vec_id, CASE WHEN i < 8 THEN i ELSE i + 64 END, 0.0 FROM embeddings, range(17) t(i)", lambda a: arrays.center_pad(a, 81))
 _array_query("resize_2d", "SELECT row_id, i, round(x, 6) AS x FROM f WHERE i < 50 UNION ALL SELECT vec_id, i, -80.0 FROM embeddings, range(50, 100) t(i)", lambda a: F.flatten(arrays.resize_2d(F.array(a), 2, 50)))
-_array_query("map_rows", "SELECT row_id, i, round(x * 2, 6) AS x FROM f", lambda a: F.transform(a, lambda x: x * 2))
+QUERIES["map_rows"] = lambda spark, sf: _values(batches.map_rows(X.waveforms(spark, sf), "v", F.transform("samples", lambda x: x * 2)), "v")
+ORACLES["map_rows"] = f"WITH {_FLAT} SELECT row_id, i, round(x * 2, 6) AS x FROM f"
+
+
+@query("mono", "SELECT vec_id AS row_id, i, round((embedding[i + 1]::DOUBLE + embedding[64 - i]::DOUBLE) / 2, 6) AS x FROM embeddings, range(64) t(i)")
+def mono(spark: SparkSession, sf: str) -> DataFrame:
+    return _values(X.waveforms(spark, sf).select("row_id", arrays.mono(F.array("samples", F.reverse("samples"))).alias("v")), "v")
+
+
+@query("merge_windows_embedding", f"WITH {_FLAT} SELECT row_id % 50 AS row_id, i, round(avg(x), 6) AS x FROM f GROUP BY 1, 2")
+def merge_windows_embedding(spark: SparkSession, sf: str) -> DataFrame:
+    rows = X.waveforms(spark, sf).select((F.col("row_id") % 50).alias("row_id"), "samples")
+    return _values(events.merge_windows(rows, "row_id", logits=None, embedding="samples"), "samples")
 
 
 @query("band_features", f"WITH {_FLAT}, o AS (SELECT row_id, arg_max(i, x) AS peak, max(x) AS top FROM f GROUP BY 1), b AS (SELECT f.row_id, min(i) AS lo, max(i) AS hi FROM f JOIN o ON f.row_id = o.row_id WHERE x > top - 0.1 GROUP BY 1) SELECT o.row_id, peak * 10.0::DOUBLE AS peak_f, (lo + hi) * 5.0::DOUBLE AS centroid_f, (hi - lo) * 10.0::DOUBLE AS bandwidth_f FROM o JOIN b ON o.row_id = b.row_id")
@@ -535,9 +637,22 @@ def band_features(spark: SparkSession, sf: str) -> DataFrame:
     return X.waveforms(spark, sf).select("row_id", arrays.band_features(F.col("samples"), f, 0.1).alias("b")).select("row_id", "b.peak_f", "b.centroid_f", "b.bandwidth_f")
 
 
-@query("mel_features")
+def _mel_sql(sr: int, n_fft: int, hop: int, n_mels: int, length: int) -> str:
+    """Centred frames with reflected ends, Hann window, power of the discrete Fourier transform, mel triangles: all as sums."""
+    half, mel = n_fft // 2, f"(2595 * log10(1 + {sr / 2} / 700.0))"
+    edge = lambda k: f"(700 * (pow(10, {mel} * ({k}) / {n_mels + 1} / 2595) - 1))"
+    at = f"abs(t * {hop} + k - {half})"
+    return f"""SELECT row_id, t, m, round((sum(p * greatest(0, least((f * {sr / n_fft} - {edge("m")}) / ({edge("m + 1")} - {edge("m")}), ({edge("m + 2")} - f * {sr / n_fft}) / ({edge("m + 2")} - {edge("m + 1")})))))::FLOAT::DOUBLE, 5) AS x
+ FROM (SELECT row_id, t, f, pow(sum(w * cos(2 * pi() * f * k / {n_fft})), 2) + pow(sum(w * sin(2 * pi() * f * k / {n_fft})), 2) AS p
+  FROM (SELECT vec_id AS row_id, t, k, embedding[CASE WHEN {at} < {length} THEN {at} ELSE {2 * (length - 1)} - {at} END + 1]::DOUBLE * (0.5 - 0.5 * cos(2 * pi() * k / {n_fft})) AS w
+   FROM embeddings, range({length // hop + 1}) a(t), range({n_fft}) b(k)) x, range({half + 1}) c(f) GROUP BY 1, 2, 3) y, range({n_mels}) d(m) GROUP BY 1, 2, 3"""
+
+
+@query("mel_features", _mel_sql(64, 32, 16, 8, 64))
 def mel_features(spark: SparkSession, sf: str) -> DataFrame:
-    return batches.mel_features(X.waveforms(spark, sf), sr=64, n_fft=32, hop=16, n_mels=8)
+    out = batches.mel_features(X.waveforms(spark, sf), sr=64, n_fft=32, hop=16, n_mels=8)
+    out = out.select("row_id", F.posexplode("mel").alias("m", "frames")).select("row_id", "m", F.posexplode("frames").alias("t", "x"))
+    return out.select("row_id", F.col("t").cast("long").alias("t"), F.col("m").cast("long").alias("m"), F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
 @query("map_batches", "SELECT vec_id AS row_id, label + 1 AS y FROM embeddings")
@@ -550,23 +665,37 @@ def map_batches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _noise(spark: SparkSession, sf: str) -> DataFrame:
-    return X.waveforms(spark, sf).where("row_id % 50 = 0").select((F.col("row_id") / 50).cast("long").alias("noise_no"), "samples")
+    """The whole table of waveforms, numbered as noise clips."""
+    return X.waveforms(spark, sf).select(F.col("row_id").alias("noise_no"), "samples")
 
 
-@query("mix_pairs")
+_RMS = "sqrt(list_sum(list_transform({a}, lambda v: v::DOUBLE * v::DOUBLE)) / 64)"
+_U1 = lambda what: _U.format(f"'1-{what}|' || vec_id") + "::DOUBLE"
+_SNR = f"(3.0 + 27.0 * {_U1('snr')})"
+
+
+@query("mix_pairs", f"""WITH n AS (SELECT *, coalesce(lead(vec_id) OVER w, first_value(vec_id) OVER w) AS other FROM embeddings WINDOW w AS (ORDER BY md5('1|' || vec_id), vec_id)),
+ p AS (SELECT vec_id, embedding AS a, label, CASE WHEN other <> vec_id AND {_U1("p")} < 0.7 THEN other END AS partner, floor({_U1("o")} * 64)::INT AS off, {_SNR} AS snr FROM n),
+ j AS (SELECT p.*, e.embedding AS b, e.label AS l2 FROM p LEFT JOIN embeddings e ON p.partner = e.vec_id)
+ SELECT vec_id AS row_id, partner, i, round(a[i + 1]::DOUBLE + coalesce(b[(i - off + 64) % 64 + 1]::DOUBLE / {_RMS.format(a="b")} * ({_RMS.format(a="a")} / pow(10, snr / 20)), 0), 6) AS x, CASE WHEN l2 IS NULL OR l2 = label THEN 1.0 ELSE 2.0 END AS positives FROM j, range(64) t(i)""")
 def mix_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return augment.mix_pairs(X.waveforms(spark, sf), seed=1).select("row_id", "partner", "samples", "labels")
+    out = augment.mix_pairs(X.waveforms(spark, sf), seed=1).withColumn("positives", F.aggregate("labels", F.lit(0.0), lambda a, x: a + x))
+    return out.select("row_id", "partner", "positives", F.posexplode("samples").alias("i", "x")).select("row_id", "partner", "positives", F.col("i").cast("long").alias("i"), R(F.col("x")).alias("x"))
+
+
+_WITH_NOISE = f"n AS (SELECT count(*) AS n FROM embeddings), p AS (SELECT vec_id, embedding AS a, {_U1('p')} AS u, floor({_U1('no')} * n)::BIGINT AS no, {_SNR} AS snr FROM embeddings, n)"
 
 
-@query("inject_nocall", f"SELECT vec_id AS row_id, CASE WHEN {_U.format(chr(39) + '1-p|' + chr(39) + ' || vec_id')} < 0.2 THEN 0.0 ELSE 1.0 END AS positives FROM embeddings")
+@query("inject_nocall", f"WITH {_WITH_NOISE} SELECT p.vec_id AS row_id, i, round(CASE WHEN u < 0.2 THEN e.embedding[i + 1] ELSE a[i + 1] END::DOUBLE, 6) AS x, CASE WHEN u < 0.2 THEN 0.0 ELSE 1.0 END AS positives FROM p JOIN embeddings e ON no = e.vec_id, range(64) t(i)")
 def inject_nocall(spark: SparkSession, sf: str) -> DataFrame:
     out = augment.inject_nocall(X.waveforms(spark, sf), _noise(spark, sf), 0.2, seed=1)
-    return out.select("row_id", F.aggregate("labels", F.lit(0.0), lambda a, x: a + x).alias("positives"))
+    out = out.select("row_id", F.aggregate("labels", F.lit(0.0), lambda a, x: a + x).alias("positives"), F.posexplode("samples").alias("i", "x"))
+    return out.select("row_id", "positives", F.col("i").cast("long").alias("i"), R(F.col("x").cast("double")).alias("x"))
 
 
-@query("add_noise")
+@query("add_noise", f"WITH {_WITH_NOISE} SELECT p.vec_id AS row_id, i, round(a[i + 1]::DOUBLE + CASE WHEN u < 0.5 THEN e.embedding[i + 1]::DOUBLE / {_RMS.format(a='e.embedding')} * ({_RMS.format(a='a')} / pow(10, snr / 20)) ELSE 0 END, 6) AS x FROM p JOIN embeddings e ON no = e.vec_id, range(64) t(i)")
 def add_noise(spark: SparkSession, sf: str) -> DataFrame:
-    return augment.add_noise(X.waveforms(spark, sf), _noise(spark, sf), seed=1).select("row_id", "samples")
+    return _values(augment.add_noise(X.waveforms(spark, sf), _noise(spark, sf), seed=1), "samples")
 
 
 def _features(spark: SparkSession, sf: str) -> DataFrame:
@@ -578,7 +707,104 @@ def scale_features(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.scale_features(_features(spark, sf), [], ["s"]).select("event_id", F.round("s_scaled", 5).alias("s_scaled"))
 
 
+@query("scale_features_robust", f"WITH {_EV}, r AS (SELECT event_id, 'r' || (CAST(substr(filepath, 2) AS BIGINT) % 40) AS recording, s, e FROM ev), b AS (SELECT recording, unnest([s, e]) AS x FROM r), q AS (SELECT recording, quantile_cont(x, [0.25, 0.5, 0.75]) AS q FROM b GROUP BY 1), o AS (SELECT recording, min(s) AS lo, max(s) AS hi FROM r GROUP BY 1) SELECT event_id, round((s - q[2]) / (q[3] - q[1]), 5) AS s_scaled, round((e - q[2]) / (q[3] - q[1]), 5) AS e_scaled, round((s - lo) / (hi - lo), 5) AS t_scaled FROM r JOIN q ON r.recording = q.recording JOIN o ON r.recording = o.recording")
+def scale_features_robust(spark: SparkSession, sf: str) -> DataFrame:
+    out = cluster.scale_features(_features(spark, sf), ["s", "e"], [], "robust").withColumn("t", F.col("s"))
+    out = cluster.scale_features(out, [], ["t"], "min-max")
+    return out.select("event_id", *[F.round(c, 5).alias(c) for c in ("s_scaled", "e_scaled", "t_scaled")])
+
+
 @query("cluster_events")
 def cluster_events(spark: SparkSession, sf: str) -> DataFrame:
     rows = X.ev(spark, sf).select(F.col("filepath").alias("recording"), F.col("pos").alias("roi_no"), "s", "e")
     return cluster.cluster_events(rows, ["s", "e"])
+
+
+# ---- sources, sinks, streams: written to the shared folder and read again ----
+
+
+@query("read_table", "SELECT p_partkey, p_name FROM part")
+def read_table(spark: SparkSession, sf: str) -> DataFrame:
+    return io.read_table(spark, f"{sf}/part.parquet", X.table(spark, sf, "part").select("p_partkey", "p_name").schema)
+
+
+def _metadata(spark: SparkSession, sf: str) -> str:
+    """A metadata file with the event types as class names."""
+    path = io.scratch(spark, "metadata")
+    names = X.vocabulary(spark, sf).agg(F.transform(F.sort_array(F.collect_list(F.struct("label_id", "code"))), lambda x: x["code"]).alias("names"))
+    names.select(F.struct(F.struct("names", F.struct("names").alias("feature")).alias("labels")).alias("features")).coalesce(1).write.json(path)
+    return path
+
+
+_VOCABULARY = "SELECT (row_number() OVER (ORDER BY event_type) - 1)::INT AS label_id, event_type AS code FROM (SELECT DISTINCT event_type FROM events)"
+
+
+@query("read_vocabulary", f"SELECT *, unnest(['multiclass', 'multilabel']) AS task FROM ({_VOCABULARY}) v")
+def read_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    path, tasks = _metadata(spark, sf), ("multiclass", "multilabel")
+    one, other = (io.read_vocabulary(spark, path, task).withColumn("task", F.lit(task)) for task in tasks)
+    return one.unionByName(other)
+
+
+@query("num_classes", "SELECT count(DISTINCT event_type) AS num_classes FROM events")
+def num_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return io.num_classes(io.read_vocabulary(spark, _metadata(spark, sf), "multiclass"))
+
+
+@query("read_code_list", _VOCABULARY)
+def read_code_list(spark: SparkSession, sf: str) -> DataFrame:
+    path = io.scratch(spark, "codes")
+    io.write_codes(X.vocabulary(spark, sf).orderBy("label_id").coalesce(1), path, "code")
+    return io.read_code_list(spark, path, "code")
+
+
+@query("write_codes", "SELECT p_name AS code FROM part")
+def write_codes(spark: SparkSession, sf: str) -> DataFrame:
+    path = io.scratch(spark, "codes")
+    io.write_codes(X.table(spark, sf, "part").select(F.col("p_name").alias("code")), path, "code")
+    return spark.read.csv(path, header=True, multiLine=True, escape='"')
+
+
+@query("list_noise_files")
+def list_noise_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The files of the tables themselves."""
+    return io.list_noise_files(spark, sf)
+
+
+@query("write_metrics", "SELECT event_type AS name, round(max(value), 6) AS value FROM events GROUP BY 1")
+def write_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    path = io.scratch(spark, "metrics")
+    io.write_metrics(best_value(spark, sf).withColumnRenamed("best", "value"), path)
+    return spark.read.schema("name string, value double").json(path)
+
+
+@query("write_read_prepared", "SELECT p_partkey, CAST(p_partkey % 5 AS INT) AS fold, 'test' AS split FROM part WHERE p_partkey % 5 = 4")
+def write_read_prepared(spark: SparkSession, sf: str) -> DataFrame:
+    root, cfg = io.scratch(spark, "prepared"), {"task": "multiclass", "folds": 5}
+    rows = fold_filter(spark, sf)
+    path = io.write_prepared(rows, root, "part", 1, cfg)
+    if io.write_prepared(rows.limit(0), root, "part", 1, cfg) != path:  # the same configuration is written once
+        raise ValueError("one configuration has two paths")
+    return io.read_prepared(spark, path, "test")
+
+
+@query("stream_explode_events", ORACLES["explode_events"])
+def stream_explode_events(spark: SparkSession, sf: str) -> DataFrame:
+    given, out, state = (io.scratch(spark, n) for n in ("recordings", "rows", "state"))
+    X.recordings(spark, sf).write.parquet(given)
+    stream = spark.readStream.schema(spark.read.parquet(given).schema).option("maxFilesPerTrigger", 4).parquet(given)
+    rows = streams.stream_explode_events(stream)
+    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return flat(spark.read.schema(rows.schema).parquet(out))
+
+
+@query("stream_metric_counts", f"{_TOP} SELECT class::INT AS pred, label::INT AS true, count(*) AS total, sum((class = label)::INT)::BIGINT AS correct FROM r JOIN embeddings ON row_id = vec_id WHERE r = 1 GROUP BY 1, 2")
+def stream_metric_counts(spark: SparkSession, sf: str) -> DataFrame:
+    given, out, state = (io.scratch(spark, n) for n in ("predictions", "counts", "state"))
+    X.wide(spark, sf).select(metrics.top_classes(F.col("scores"), 1)[0].cast("int").alias("pred"), F.col("true").cast("int").alias("true")).write.parquet(given)
+    stream = spark.readStream.schema("pred int, true int").option("maxFilesPerTrigger", 4).parquet(given)
+    counts = streams.stream_metric_counts(stream)
+    write = lambda batch, no: batch.write.mode("overwrite").parquet(f"{out}/{no % 2}")
+    query = counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{out}/{query.lastProgress['batchId'] % 2}")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,11 +31,9 @@ def num_classes(vocab: DataFrame) -> DataFrame:
 
 
 def read_code_list(spark: SparkSession, csv_path: str, column: str) -> DataFrame:
-    """(label_id, code) in file order. The file is read as one value, so its order doesn't hang on partitions."""
-    lines = F.filter(F.split(F.regexp_replace("value", "\r", ""), "\n"), lambda x: x != "")
-    table = spark.read.text(csv_path, wholetext=True).select(lines.alias("l"))
-    place = F.array_position(F.split(F.element_at("l", 1), ","), column).cast("int")
-    return table.select(F.posexplode(F.transform(F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0))), lambda x: F.trim(F.element_at(F.split(x, ","), place)))).alias("label_id", "code"))
+    """(label_id, code) in file order. A multi-line file is never split, so one task numbers its rows."""
+    table = spark.read.csv(csv_path, header=True, multiLine=True, escape='"').coalesce(1)
+    return table.select(F.monotonically_increasing_id().cast("int").alias("label_id"), F.trim(F.col(f"`{column}`")).alias("code"))
 
 
 def list_noise_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,4 +61,15 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
 
 
 def write_codes(df: DataFrame, path: str, column: str) -> None:
-    df.select(column).write.mode("overwrite").csv(path, header=True)
+    df.select(column).write.mode("overwrite").csv(path, header=True, escape='"')
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir); where it is unset and all runs in one process, a local one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
