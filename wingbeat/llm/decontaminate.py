@@ -143,7 +143,7 @@ def _gram(sketch: Sketch, weight: np.ndarray, common: np.ndarray, size: int) ->
     WIDE words, over the root of the sum of its words' squared weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, passages = np.zeros((TERMS, sketch.size)), 0
+        total, passages = np.zeros((sketch.size, TERMS)), 0
         for batch in batches:
             for chunk in K.chunks(batch.column("text")):
                 word = word_hashes(chunk)
@@ -154,19 +154,16 @@ def _gram(sketch: Sketch, weight: np.ndarray, common: np.ndarray, size: int) ->
                 passages += n
                 tells = ~among(word, common) & (weight[t] > 0)
                 t, passage = t[tells], passage[tells]
+                if not len(t):
+                    continue
                 w = weight[t].astype(np.float64)
                 norm = np.bincount(passage, w * w, minlength=n)
-                y = np.bincount(passage * sketch.size + sketch.column[t], w * sketch.sign[t], minlength=n * sketch.size).reshape(n, sketch.size)
-                y = (y / np.maximum(norm, 1e-30)[:, None]).astype(np.float32)
-                order = np.argsort(t.astype(np.uint16), kind="stable")
-                back = y[passage[order]]
-                back *= weight[t[order], None]
-                of = t[order]
-                first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
-                if len(first):
-                    total[of[first]] += np.add.reduceat(back, first, axis=0)
+                y = np.bincount(sketch.column[t] * n + passage, w * sketch.sign[t], minlength=n * sketch.size).reshape(sketch.size, n)
+                y /= np.maximum(norm, 1e-30)
+                for column, of_passages in zip(total, y, strict=True):  # by column, as that is numpy's fastest sum by term
+                    column += np.bincount(t, of_passages[passage] * w, minlength=TERMS)
         out = np.zeros(size, np.float32)
-        out[: total.size], out[total.size] = total.reshape(-1), passages
+        out[: total.size], out[total.size] = total.T.reshape(-1), passages
         yield from pack(out)
 
     return run
