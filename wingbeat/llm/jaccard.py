@@ -192,7 +192,7 @@ def _blocks(found: DataFrame) -> DataFrame:
     """Pairs (x, y, hub), a written table, dealt to blocks (b, x, y) of one hub and at most some BLOCK_ROWS partners."""
     large = found.groupBy("hub").count().where(f"count > {BLOCK_ROWS}").select("hub", F.ceil(F.col("count") / BLOCK_ROWS).alias("parts"))
     dealt = C.join_sized(found, C.staged(large, "hubs"), "hub", "left", F.lit(16))
-    return dealt.select(F.xxhash64("hub", F.pmod(F.xxhash64(F.col("x") + F.col("y") - F.col("hub")), F.coalesce("parts", F.lit(1)))).alias("b"), "x", "y")
+    return dealt.select(F.xxhash64("hub", F.pmod(F.xxhash64(F.when(F.col("x") == F.col("hub"), F.col("y")).otherwise(F.col("x"))), F.coalesce("parts", F.lit(1)))).alias("b"), "x", "y")
 
 
 def _need(percent: int, n: str, m: str) -> str:
@@ -311,8 +311,8 @@ def _tile(percent: int) -> Callable:
     return run
 
 
-def _in_tiles(now: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """(b, x, y): the pairs of different components that meet in large groups; now: the open places, tokens: (token, rows, size)."""
+def _in_tiles(now: DataFrame, tokens: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
+    """(b, x, y): the pairs not seen of different components that meet in large groups; now: the open places, tokens: (token, rows, size)."""
     large = tokens.where(f"rows > {MANY}").select("token", "rows", F.greatest(F.ceil(F.col("rows") / TILE_ROWS), F.ceil(F.col("size") / TILE_SHINGLES)).cast("int").alias("parts"))
     rows = C.staged(C.join_sized(now, large, "token", "inner", F.lit(32)), "large")
     asked = C.staged(rows.select("doc", "up").distinct(), "asked")
@@ -323,7 +323,10 @@ def _in_tiles(now: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     dealt = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
     dealt = dealt.join(lists, ["doc", "up"]).select("token", "i", "j", "part", "doc", "n", "l", "component", "short", "up", "tokens", "places", F.xxhash64("token", "i", "j").alias("b"))
-    return dealt.groupBy("token", "i", "j").applyInArrow(_tile(percent), "b long, x long, y long")
+    found = dealt.groupBy("token", "i", "j").applyInArrow(_tile(percent), "b long, x long, y long")
+    out = C.staged(found.join(seen, ["x", "y"], "left_anti").select("b", "x", "y"), "tiled")
+    C.dropped(rows, asked, lists)
+    return out
 
 
 def _partner() -> Column:
@@ -361,8 +364,11 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     links, seen = verify(C.staged(_blocks(seen), "blocks"), texts, k, percent), seen.select("x", "y")
     label = components(links, LABEL_ROUNDS)
 
-    large = _open(_labelled(shared, label)).where(f"rows > {MANY}").select("token")
-    many, most = C.staged(C.join_sized(shared, large, "token", "left_semi", F.lit(16)), "many"), PAIRS_A_ROW * shared.count()
+    # groups that are of one component now stay so: later steps leave them out
+    opened, most = _open(_labelled(shared, label)), PAIRS_A_ROW * shared.count()
+    still = C.staged(C.join_sized(shared, opened.select("token"), "token", "left_semi", F.lit(16)), "still")
+    many = C.staged(C.join_sized(still, opened.where(f"rows > {MANY}").select("token"), "token", "left_semi", F.lit(16)), "many")
+    C.dropped(shared, opened)
     before = None
     for turn in range(MOST_ROUNDS + 1):
         last = turn == MOST_ROUNDS
@@ -377,7 +383,7 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
                 best = own.groupBy("token").agg(F.array(*[_pivot(f"{turn}-{i}") for i in range(PIVOTS)]).alias("ps"))
                 met = own.join(best.select("token", F.explode("ps").alias("p")), "token")
         if last:  # the first of a pair is the smaller set
-            now = _labelled(shared, label)
+            now = _labelled(still, label)
             tokens = _open(now)
             now = C.staged(C.join_sized(now, tokens.select("token"), "token", "left_semi", F.lit(16)), "open")
             few = C.join_sized(now, tokens.where(f"rows <= {MANY}").select("token"), "token", "left_semi", F.lit(16))
@@ -385,8 +391,7 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
         found = C.staged(_candidates(met, percent).join(seen, ["x", "y"], "left_anti"), "found")
         pairs = C.staged(_blocks(found), "blocks")
         if last:
-            tiled = C.staged(_in_tiles(now, tokens, percent).join(seen, ["x", "y"], "left_anti").select("b", "x", "y"), "tiled")
-            pairs = pairs.unionByName(tiled)
+            pairs = pairs.unionByName(_in_tiles(now, tokens, seen, percent))
         links, seen = links.union(verify(pairs, texts, k, percent)), seen.union(found.select("x", "y"))
         label = components(links, None if last else LABEL_ROUNDS)
         if last:
