@@ -43,10 +43,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Delete written tables that no later step reads."""
+    """Delete written tables that no later step reads, and the shuffle files of the jobs that are done.
+
+    Spark deletes a shuffle's files once the driver's garbage collector finds that no plan holds it, by itself only
+    when the driver's memory runs short; a long chain of jobs would keep them all on the executors' disks until then.
+    """
     for t in tables:
         path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_to)
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def rows_of(table: DataFrame, columns: dict[str, str]) -> DataFrame:
