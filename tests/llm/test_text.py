@@ -40,6 +40,13 @@ def test_repeats(docs):
     assert {tuple(r) for r in repeats.without_repeats(df).collect()} == want
 
 
+def test_repeats_of_one_id(spark):
+    long, short = " ".join(f"a{i}" for i in range(120)), " ".join(f"b{i}" for i in range(55))
+    rows = [(1, long), (2, long), (2, short), (2, "x " + short), (3, long + " end"), (3, short), (3, None), (None, long), (4, "few words")]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(1, 120, 0), (2, 120, 120), (2, 55, 0), (2, 56, 0), (3, 121, 120), (3, 55, 55), (3, 0, 0), (0, 120, 0), (4, 2, 0)])
+
+
 def test_jaccard(docs):
     df, rows = docs
     sets = {}

@@ -21,8 +21,8 @@ Hot passages are counted by partial aggregation; the counts are written, then jo
 little, else by a shuffle whose hot keys Spark may split.
 
 Defined results: null and empty texts have no words, and nothing is removed from fewer words than the
-window; rows that repeat a doc_id don't remove each other; a null doc_id neither removes nor is removed.
-Extra columns are ignored.
+window; rows that repeat a doc_id don't remove each other, and each text of a repeated id is cut on its own; a null
+doc_id neither removes nor is removed. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ from . import tokens as K
 
 WINDOW = 50
 ROUNDS = 4
+#: The column that tells different texts of one doc_id apart: a hash of the text.
+ROW = "_row"
 
 
 def parse(word: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -130,7 +132,7 @@ def _parsed(window: int) -> Callable:
                 free = [not has[i:j].all() for i, j in zip(of[:-1], of[1:], strict=True)]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
                 part = slice(chunk.first, chunk.first + chunk.n)
-                yield pa.RecordBatch.from_arrays([batch.column("doc")[part], pa.array(chunk.counts.astype(np.int64)), pa.array(roots[0]), pa.array(roots[1]), pa.array(free), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))], names=["doc", "n", "root_a", "root_b", "free", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc")[part], batch.column(ROW)[part], pa.array(chunk.counts.astype(np.int64)), pa.array(roots[0]), pa.array(roots[1]), pa.array(free), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))], names=["doc", ROW, "n", "root_a", "root_b", "free", "keys"])
 
     return run
 
@@ -139,7 +141,7 @@ def _windows(window: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             told = batch.column("told").to_pylist()
-            ids = batch.column("doc").to_pylist()
+            ids, rows = batch.column("doc").to_pylist(), batch.column(ROW).to_pylist()
             for chunk in K.chunks(batch.column("text")):
                 word, bounds = chunk.hashes(), chunk.bounds
                 start, key, has = window_keys(word, bounds, window)
@@ -153,7 +155,7 @@ def _windows(window: int) -> Callable:
                     if len(pick):
                         at = start[mine][pick]
                         a, b = (K.window_hash(word, at, window, second).view(np.int64) for second in (False, True))
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(at), ids[chunk.first + i])), pa.array((at - bounds[i]).astype(np.int32)), pa.array(less[pick])], names=["a", "b", "doc", "at", "probe"])
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(at), ids[chunk.first + i])), pa.array(np.full(len(at), rows[chunk.first + i])), pa.array((at - bounds[i]).astype(np.int32)), pa.array(less[pick])], names=["a", "b", "doc", ROW, "at", "probe"])
 
     return run
 
@@ -187,21 +189,21 @@ def _cut(window: int, texts: bool) -> Callable:
 
 
 def repeated(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(doc, starts): where repeated windows start; (doc) that equal an earlier document as a whole."""
-    texts = C.rows_of(docs, {"doc_id": "long", "text": "string"}).where("doc_id is not null").withColumnRenamed("doc_id", "doc")
-    parsed = C.staged(texts.mapInArrow(_parsed(window), "doc long, n long, root_a long, root_b long, free boolean, keys array<long>"), "parsed")
+    """(doc, _row, starts): where repeated windows start; (doc, _row) that equal an earlier document as a whole."""
+    texts = C.rows_of(docs, {"doc_id": "long", "text": "string"}).where("doc_id is not null").withColumnRenamed("doc_id", "doc").withColumn(ROW, F.xxhash64("text"))
+    parsed = C.staged(texts.mapInArrow(_parsed(window), f"doc long, {ROW} long, n long, root_a long, root_b long, free boolean, keys array<long>"), "parsed")
     long = parsed.where(f"n >= {window}")
     classes = long.groupBy("root_a", "root_b", "n").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    gone = C.staged(C.join_sized(long.select("root_a", "root_b", "n", "doc"), C.staged(classes, "classes"), ["root_a", "root_b", "n"], "inner", F.lit(40)).where("doc > first").select("doc").distinct(), "gone")
-    left = C.join_sized(long, gone, "doc", "left_anti", F.lit(8))
+    gone = C.staged(C.join_sized(long.select("root_a", "root_b", "n", "doc", ROW), C.staged(classes, "classes"), ["root_a", "root_b", "n"], "inner", F.lit(40)).where("doc > first").select("doc", ROW).distinct(), "gone")
+    left = C.join_sized(long, gone, ["doc", ROW], "left_anti", F.lit(16))
     flat = left.select(F.explode("keys").alias("key"), "doc")
     common = C.staged(flat.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last"), "common")
     told = C.join_sized(flat, common, "key", "inner", F.lit(32)).groupBy("doc").agg(F.collect_list(F.struct("key", (F.col("first") < F.col("doc")).alias("less"), (F.col("last") > F.col("doc")).alias("more"))).alias("told"))
     told = C.staged(left.where("free").select("doc").distinct().join(told, "doc", "full"), "told")
-    windows = C.staged(texts.join(told, "doc").select("doc", "text", "told").mapInArrow(_windows(window), "a long, b long, doc long, at int, probe boolean"), "windows")
+    windows = C.staged(texts.join(told, "doc").select("doc", ROW, "text", "told").mapInArrow(_windows(window), f"a long, b long, doc long, {ROW} long, at int, probe boolean"), "windows")
     firsts = C.staged(windows.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("a", "b", "first"), "firsts")
     hits = C.join_sized(windows.where("probe"), firsts, ["a", "b"], "inner", F.lit(40)).where("doc > first")
-    hits = C.staged(hits.groupBy("doc").agg(F.array_distinct(F.collect_list("at")).alias("starts")), "hits")
+    hits = C.staged(hits.groupBy("doc", ROW).agg(F.array_distinct(F.collect_list("at")).alias("starts")), "hits")
     C.dropped(parsed, common, told, windows, firsts)
     return hits, gone
 
@@ -210,10 +212,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) -
     """(doc_id, n_words, n_removed, kept): what is left of every document, as text or as its SHA-256."""
     C.arrow_rows(docs.sparkSession)
     hits, gone = repeated(docs, window)
-    rows = C.rows_of(docs, {"doc_id": "long", "text": "string"})
-    marks = hits.join(gone.withColumn("whole", F.lit(True)), "doc", "full").withColumnRenamed("doc", "doc_id")
+    rows = C.rows_of(docs, {"doc_id": "long", "text": "string"}).withColumn(ROW, F.xxhash64("text"))
+    marks = hits.join(gone.withColumn("whole", F.lit(True)), ["doc", ROW], "full").withColumnRenamed("doc", "doc_id")
     marks = C.staged(marks, "marks")
-    both = C.join_sized(rows, marks, "doc_id", "left", 32 + 4 * F.size(F.coalesce("starts", F.array().cast("array<int>"))))
+    both = C.join_sized(rows, marks, ["doc_id", ROW], "left", 32 + 4 * F.size(F.coalesce("starts", F.array().cast("array<int>"))))
     return both.select("doc_id", "text", "starts", "whole").mapInArrow(_cut(window, texts), "doc_id long, n_words long, n_removed long, kept string")
 
 
