@@ -48,6 +48,10 @@ PAIRS_A_ROW, MOST_ROUNDS, PIVOTS, MANY = 1, 4, 8, 16
 LABEL_ROUNDS = 2
 #: Rows, and shingles of their sets, of one side of a tile of a large group.
 TILE_ROWS, TILE_SHINGLES = 1024, 4_000_000
+#: A place's name in the first count is its top bits; names that coincide only keep a place that meets none.
+NAME_SHIFT, BAND_SHIFT = 19, 24
+#: Places counted in one group, and kept by a task before it passes them on.
+GROUP_PLACES, TASK_PLACES = 1 << 20, 1 << 22
 #: Partners of a pivot that are compared with it in one block.
 BLOCK_ROWS = 256
 
@@ -126,6 +130,7 @@ def prefix(s: np.ndarray, counts: np.ndarray, percent: int, mean: float) -> tupl
 
 def _prefixes(k: int, percent: int, counts: np.ndarray) -> Callable:
     mean = float(counts.mean())
+    step = float(np.log(100 / percent) * (1 + 1e-9))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,11 +142,69 @@ def _prefixes(k: int, percent: int, counts: np.ndarray) -> Callable:
                 ns.append(len(s))
             at = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
             flat = np.concatenate(out) if out else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ns, pa.int32()), pa.array(ls, pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["doc", "n", "l", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ns, pa.int32()), pa.array(ls, pa.int32()), pa.array(np.floor(np.log(np.maximum(ns, 1)) / step), pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["doc", "n", "l", "band", "tokens"])
 
     return run
 
 
+def _met(entries: np.ndarray) -> np.ndarray:
+    """One entry for each name of sorted places (name << 3 | state); state: 1 for a member, 2 for a short one, 4 when a short one meets another's member."""
+    if not len(entries):
+        return entries
+    name = entries >> 3
+    first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+    member, short = (np.add.reduceat((entries >> bit) & 1, first) for bit in (0, 1))
+    both = np.add.reduceat((entries & 3) == 3, first, dtype=np.int64)
+    met = (np.bitwise_or.reduceat(entries & 4, first) > 0) | (member * short > both)
+    return name[first] << 3 | met.astype(np.int64) << 2 | (short > 0).astype(np.int64) << 1 | (member > 0)
+
+
+def _named(percent: int, groups: int) -> Callable:
+    """Prefixes to the places' names and states, merged within the task, sorted and written as differences: (bucket, part)."""
+    edges = np.array([(i << (64 - NAME_SHIFT)) // groups << 3 for i in range(1, groups)], np.int64)
+
+    def sent(entries: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        merged = _met(np.sort(np.concatenate(entries)))
+        parts = [(i, x) for i, x in enumerate(np.split(merged, np.searchsorted(merged, edges))) if len(x)]
+        packed = []
+        for _, x in parts:
+            gaps = np.diff(x)
+            kind = np.uint32 if not len(gaps) or gaps.max() < 1 << 32 else np.int64
+            packed.append(x[:1].tobytes() + gaps.astype(kind).tobytes() + (b"\x04" if kind is np.uint32 else b"\x08"))
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "part"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, size = [], 0
+        for batch in batches:
+            lists = batch.column("tokens")
+            long = np.diff(lists.offsets.to_numpy())
+            token = lists.flatten().to_numpy()
+            n, l, band = (np.repeat(batch.column(c).to_numpy().astype(np.int64), long) for c in ("n", "l", "band"))
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(long) - long, long)
+            short = pos < n - (percent * 2 * n + 99 + percent) // (100 + percent) + l
+            for some, up, state in ((slice(None), 0, 1 | short.astype(np.int64) << 1), (short, 1, 2)):
+                place = (token ^ (band + up) << BAND_SHIFT)[some]
+                kept.append((place.view(K.U64) >> K.U64(NAME_SHIFT)).view(np.int64) << 3 | state)
+                size += len(kept[-1])
+            if size > TASK_PLACES:
+                yield from sent(kept)
+                kept, size = [], 0
+        if size:
+            yield from sent(kept)
+
+    return run
+
+
+def _meeting(table: pa.Table) -> pa.Table:
+    """The names of a bucket where a short place meets another's member."""
+    parts = []
+    for x in table["part"].to_pylist():
+        gaps = np.frombuffer(x[8:-1], np.uint32 if x[-1] == 4 else np.int64).astype(np.int64)
+        parts.append(np.cumsum(np.concatenate([np.frombuffer(x[:8], np.int64), gaps])))
+    merged = _met(np.sort(np.concatenate(parts)))
+    return pa.table({"name": merged[merged & 4 > 0] >> 3})
+
+
 def _forest(k: int, percent: int) -> Callable:
     """A block's pairs and the texts of its documents to the links of a spanning forest of those that link."""
 
@@ -181,10 +244,10 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     """Links (x, y) that connect what the linking pairs of each block (b, x, y: a written table) connect, by exact comparison of whole texts."""
     held = C.staged(pairs.select("b", F.col("x").alias("doc_id")).union(pairs.select("b", "y")).distinct(), "held")
     ids = C.staged(held.select("doc_id").distinct(), "ids")
-    some = C.staged(C.join_sized(texts, ids, "doc_id", "left_semi", F.lit(16)), "texts")
-    docs = held.join(some, "doc_id").select("b", F.col("doc_id").alias("doc"), "text")
+    some = C.join_sized(texts, ids, "doc_id", "left_semi", F.lit(16))  # so that a large `held` meets these texts alone
+    docs = C.join_sized(some, held, "doc_id", "inner", F.lit(24)).select("b", F.col("doc_id").alias("doc"), "text")
     out = C.staged(pairs.groupBy("b").cogroup(docs.groupBy("b")).applyInArrow(_forest(k, percent), "x long, y long"), "verified")
-    C.dropped(held, ids, some)
+    C.dropped(held, ids)
     return out
 
 
@@ -206,12 +269,12 @@ def _places(listed: DataFrame, percent: int) -> DataFrame:
     Linked sets are of one band, or the larger one's is the next. So a place is listed in its own band and, if it
     can match a set that isn't smaller (short), in the next one too (up).
     """
-    flat = listed.where("l > 0").select(F.posexplode("tokens").alias("pos", "token"), "doc", "n", "l")
+    flat = listed.where("l > 0").select(F.posexplode("tokens").alias("pos", "token"), "doc", "n", "l", "band")
     flat = flat.withColumn("short", F.expr(f"pos < n - {_need(percent, 'n', 'n')} + l"))
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * (1 + 1e-9))).cast("int")
     ups = F.when(F.col("short"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-    flat = flat.withColumn("band", band).select("token", "band", "doc", "n", "l", "pos", "short", F.explode(ups).alias("up"))
-    return flat.select(F.xxhash64("token", F.col("band") + F.col("up").cast("int")).alias("token"), "doc", "n", "l", "pos", "short", "up")
+    flat = flat.select("token", "band", "doc", "n", "l", "pos", "short", F.explode(ups).alias("up"))
+    place = F.col("token").bitwiseXOR(F.shiftleft((F.col("band") + F.col("up").cast("int")).cast("long"), BAND_SHIFT))
+    return flat.select(place.alias("token"), "doc", "n", "l", "pos", "short", "up")
 
 
 def _labelled(places: DataFrame, label: DataFrame | None) -> DataFrame:
@@ -351,11 +414,13 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     classes = C.staged(sets.where("n > 0 and doc_id is not null").groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("doc")), "classes")
     first = C.staged(classes.select(F.col("doc").alias("doc_id")).distinct(), "first")
     known = C.join_sized(texts, first, "doc_id", "left_semi", F.lit(16))
-    listed = C.staged(known.mapInArrow(_prefixes(k, percent, sketch_of(rows)), "doc long, n int, l int, tokens array<long>"), "prefixes")
+    listed = C.staged(known.mapInArrow(_prefixes(k, percent, sketch_of(rows)), "doc long, n int, l int, band int, tokens array<long>"), "prefixes")
     flat = _places(listed, percent)
-    meet = [F.count_if(~F.col("up")).alias("c"), F.count_if("short").alias("s"), F.count_if(F.col("short") & ~F.col("up")).alias("own")]
-    meeting = C.staged(flat.groupBy("token").agg(*meet).where("c * s > own").select("token"), "meeting")
-    shared = C.staged(C.join_sized(flat, meeting, "token", "left_semi", F.lit(16)), "shared")
+    size = listed.agg(F.coalesce(F.sum(F.expr(f"n - ({percent}L * n + 99) div 100 + l")), F.lit(0))).first()[0]
+    named = listed.select("n", "l", "band", "tokens").mapInArrow(_named(percent, -(-2 * size // GROUP_PLACES) or 1), "bucket int, part binary")
+    meeting = C.staged(named.groupBy("bucket").applyInArrow(_meeting, "name long"), "meeting")
+    named_flat = flat.withColumn("name", F.shiftrightunsigned("token", NAME_SHIFT))
+    shared = C.staged(C.join_sized(named_flat, meeting, "name", "left_semi", F.lit(16)).drop("name"), "shared")
     C.dropped(listed, meeting)
 
     found = _labelled(shared, None)
