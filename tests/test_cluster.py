@@ -4,6 +4,8 @@ import random
 import statistics
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from wingbeat.operators import augment, balance, cluster
 from wingbeat.sources import io
@@ -46,6 +48,61 @@ def test_cluster_events(spark):
         assert sum(got[r[0], r[1]][1] for r in mine) == largest
 
 
+def _sets():
+    """Named recordings of rows (roi_no, features): blobs with noise and copies, lines, one place alone, three features."""
+    rng = random.Random(9)
+    blobs = [(rng.choice((0.0, 3.0, 9.0)) + rng.gauss(0, 0.3), rng.choice((0.0, 5.0)) + rng.gauss(0, 0.3), 1.0) for _ in range(260)] + [(rng.uniform(-20, 20), rng.uniform(-20, 20), 1.0) for _ in range(30)]
+    copies = [(1.0, 1.0, 1.0)] * 150 + [(1.5, 1.0, 1.0)] * 3 + [(9.0, 9.0, 1.0)] * 2 + [(7.0, 1.0, 2.0)]
+    lines = [(0.4 * i, 0.0, 0.0) for i in range(90) if i % 29] + [(0.4 * i, 0.9, 0.0) for i in range(90) if i % 13]
+    cube = [tuple(rng.gauss(0, 1) for _ in range(3)) for _ in range(200)]
+    sets = {"blobs": blobs, "copies": copies, "lines": lines, "cube": cube, "one": [(2.0, 2.0, 2.0)] * 5, None: blobs[:100], "two": blobs[:2]}
+    return {name: list(enumerate(rng.sample(rows, len(rows)))) for name, rows in sets.items()}
+
+
+def _clustered(spark, sets, eps, pct):
+    flat = [(name, i, *x) for name, rows in sets.items() for i, x in rows]
+    out = cluster.cluster_events(spark.createDataFrame(flat, "recording string, roi_no int, a double, b double, c double"), ["a", "b", "c"], eps, pct)
+    return {(r.recording, r.roi_no): (r.cluster, r.keep_label) for r in out.collect()}, len(flat), out.count()
+
+
+@pytest.mark.parametrize("eps", [0.7, "auto"])
+def test_grid_equals_one_task(spark, monkeypatch, eps):
+    sets = _sets()
+    plain, n, rows = _clustered(spark, sets, eps, 3.0)
+    for name, value in {"SMALL": 2, "TILE": 8, "SPREAD": 2, "PAIRS": 300}.items():
+        monkeypatch.setattr(cluster, name, value)
+    told, _, again = _clustered(spark, sets, eps, 3.0)
+    assert told == plain and n == rows == again == len(told)
+    assert len({c for c, _ in told.values()}) > 3
+    for name, rows in sets.items():
+        if eps != "auto" and len(rows) > 2:
+            x = np.array([x for _, x in rows])
+            assert [told[name, i][0] for i, _ in rows] == plain_clusters(x, eps, max(2, round(0.03 * len(x))))
+
+
+def test_a_large_recording_is_spread(spark, monkeypatch):
+    """Tiles of a crowded cell meet in several groups; none holds the whole recording."""
+    rng = random.Random(2)
+    for name, value in {"TILE": 16, "SPREAD": 2}.items():
+        monkeypatch.setattr(cluster, name, value)
+    rows = [("r", i, [rng.random(), rng.random()], 1, 0.0, i) for i in range(1000)]
+    vectors = spark.createDataFrame(rows, "recording string, roi_no int, x array<double>, w long, tag double, point long")
+    grid = spark.createDataFrame([("r", [0.0, 0.0], [1, 2], 0.5, 0.5)], "recording string, low array<double>, axes array<int>, width double, eps double")
+    cells = cluster._Grid(vectors, grid, 2)
+    sizes = [len(r.point) for r in cells._tiles(cells.rows).collect()]
+    assert sum(sizes) == 1000 and max(sizes) < 48 and len(sizes) > 40
+    near = {r.point: r.n for r in cells.met("count").groupBy("point").agg(F.sum("value").alias("n")).collect()}
+    x = np.array([r[2] for r in rows])
+    assert [near[i] for i in range(1000)] == (np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) <= 0.5).sum(axis=1).tolist()
+
+
+def test_rows_left_out(spark):
+    rows = [("r", i, float(i % 3)) for i in range(12)] + [("r", 90, None), ("r", 91, float("nan")), ("r", 92, float("inf"))]
+    got = cluster.cluster_events(spark.createDataFrame(rows, "recording string, roi_no int, a double"), ["a"], 0.1, 5.0)
+    assert sorted(r.roi_no for r in got.collect()) == list(range(12))
+    assert cluster.cluster_events(spark.createDataFrame(rows, "recording string, roi_no int, a double").limit(0), ["a"]).count() == 0
+
+
 def test_robust_scaling(spark):
     df = spark.createDataFrame([("a", float(x)) for x in (1, 2, 3, 4)] + [("b", 7.0)], "recording string, x double")
     got = sorted((r.x, r.x_scaled) for r in cluster.scale_features(df, [], ["x"], "robust").collect())

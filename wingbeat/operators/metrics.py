@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from .prefix import number_bucket, running
+from .prefix import in_ranges, running
 
 
 def unpivot(df: DataFrame) -> DataFrame:
@@ -23,8 +23,8 @@ def by_score(long: DataFrame) -> DataFrame:
 
 def _curve(long: DataFrame) -> DataFrame:
     """(class, score, p, n, tp, seen): counts at each score, and of this and all higher ones; summed in ranges of the score, so that no task gets a whole class."""
-    c = by_score(long)
-    return running(c, number_bucket(c, "score", descending=True), [F.desc("score")], {"tp": F.col("p"), "seen": F.col("n")}, by=["class"])
+    c, bucket = in_ranges(by_score(long), "score", ["class"], descending=True)
+    return running(c, bucket, [F.desc("score")], {"tp": F.col("p"), "seen": F.col("n")}, by=["class"]).drop("_cuts")
 
 
 def average_precision(long: DataFrame) -> DataFrame:
@@ -50,14 +50,15 @@ def padded_cmap(long: DataFrame, padding: int = 5) -> DataFrame:
 def map_micro(long: DataFrame) -> DataFrame:
     """One AP over all pairs: running sums over score ranges, not one window."""
     c = long.groupBy("score").agg(F.sum("target").cast("double").alias("p"), F.count(F.lit(1)).cast("double").alias("n"))
-    c = running(c, number_bucket(c, "score", descending=True), [F.desc("score")], {"tp": F.col("p"), "seen": F.col("n")})
+    c, bucket = in_ranges(c, "score", descending=True)
+    c = running(c, bucket, [F.desc("score")], {"tp": F.col("p"), "seen": F.col("n")})
     return c.agg(F.try_divide(F.sum(F.col("p") * F.col("tp") / F.col("seen")), F.sum("p")).alias("map"))
 
 
 def auroc(long: DataFrame) -> DataFrame:
     """(class, auroc), ties half; null without positives or negatives."""
-    c = by_score(long)
-    c = running(c, number_bucket(c, "score"), [F.col("score")], {"upto": F.col("n") - F.col("p")}, by=["class"]).withColumn("below", F.col("upto") - F.col("n") + F.col("p"))
+    c, bucket = in_ranges(by_score(long), "score", ["class"])
+    c = running(c, bucket, [F.col("score")], {"upto": F.col("n") - F.col("p")}, by=["class"]).withColumn("below", F.col("upto") - F.col("n") + F.col("p"))
     return c.groupBy("class").agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + (F.col("n") - F.col("p")) / 2)), F.sum("p") * F.sum(F.col("n") - F.col("p"))).alias("auroc"))
 
 

@@ -720,6 +720,26 @@ def cluster_events(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.cluster_events(rows, ["s", "e"])
 
 
+_CLUSTERS = f"""WITH RECURSIVE {_EV}, p AS (SELECT 'r' || label AS recording, CAST(substr(filepath, 2) AS BIGINT) * 64 + pos AS roi_no, s, e FROM ev),
+ n AS (SELECT recording, greatest(2, round_even(0.008 * count(*), 0)) AS least FROM p GROUP BY 1), v AS (SELECT recording, s, e, count(*) AS w, min(roi_no) AS x FROM p GROUP BY 1, 2, 3),
+ near AS (SELECT a.recording, a.x, b.x AS y, b.w FROM v a JOIN v b ON a.recording = b.recording AND b.s BETWEEN a.s - 0.15 AND a.s + 0.15 AND sqrt(pow(a.s - b.s, 2) + pow(a.e - b.e, 2)) <= 0.15),
+ core AS (SELECT near.recording, x FROM near JOIN n ON near.recording = n.recording GROUP BY near.recording, x, least HAVING sum(w) >= least),
+ links AS (SELECT near.recording, near.x, near.y FROM near JOIN core a ON near.recording = a.recording AND near.x = a.x JOIN core b ON near.recording = b.recording AND near.y = b.x),
+ reach AS (SELECT recording, x, x AS y FROM core UNION SELECT r.recording, r.x, l.y FROM reach r JOIN links l ON r.recording = l.recording AND r.y = l.x),
+ parts AS (SELECT recording, x, min(y) AS c FROM reach GROUP BY 1, 2), numbered AS (SELECT recording, x, dense_rank() OVER (PARTITION BY recording ORDER BY c) - 1 AS cluster FROM parts),
+ told AS (SELECT near.recording, near.x, min(cluster) AS cluster FROM near JOIN numbered m ON near.recording = m.recording AND near.y = m.x GROUP BY 1, 2),
+ o AS (SELECT p.recording, roi_no, coalesce(cluster, -1)::INT AS cluster FROM p JOIN v ON p.recording = v.recording AND p.s = v.s AND p.e = v.e LEFT JOIN told ON told.recording = v.recording AND told.x = v.x),
+ best AS (SELECT recording, cluster, row_number() OVER (PARTITION BY recording ORDER BY count(*) DESC, cluster) AS r FROM o WHERE cluster >= 0 GROUP BY 1, 2)
+ SELECT o.recording, roi_no, o.cluster, (b.cluster IS NOT NULL AND b.cluster = o.cluster)::INT AS keep_label FROM o LEFT JOIN best b ON o.recording = b.recording AND b.r = 1"""
+
+
+@query("cluster_events_fixed", _CLUSTERS)
+def cluster_events_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten recordings, one for each label: each is larger than a task clusters by itself."""
+    rows = X.ev(spark, sf).select(F.concat(F.lit("r"), "label").alias("recording"), (F.substring("filepath", 2, 20).cast("long") * 64 + F.col("pos")).alias("roi_no"), "s", "e")
+    return cluster.cluster_events(rows, ["s", "e"], 0.15, 0.8)
+
+
 # ---- sources, sinks, streams: written to the shared folder and read again ----
 
 
