@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import order_key, uniform
+from .prefix import in_ranges, running
 
 BUCKET_DIGITS = 3
 
@@ -51,31 +52,44 @@ def mix_pairs(df: DataFrame, p: float = 0.7, snr_min: float = 3.0, snr_max: floa
     return out.drop("_s", "_l")
 
 
-def _numbered(df: DataFrame, noise: DataFrame, key: str, seed: str) -> DataFrame:
-    """Adds a noise number to each row; noise is numbered 0.. (a column noise_no)."""
-    count = noise.agg(F.count(F.lit(1)).alias("_n"))
-    return df.crossJoin(F.broadcast(count)).withColumn("noise_no", F.when(F.col("_n") > 0, F.floor(uniform(seed, key) * F.col("_n"))).cast("long")).drop("_n")
+def _with_clips(df: DataFrame, noise: DataFrame, p: float, key: str, seed: int, number: str) -> tuple[DataFrame, DataFrame]:
+    """The rows picked with probability p, each with a random noise clip (_s), and the others, which aren't moved.
+
+    Clips are numbered here, without gaps, in order of the column `number`; without clips no row is picked.
+    """
+    draw = F.coalesce(uniform(f"{seed}-p", key) < p, F.lit(False))
+    ranges, bucket = in_ranges(noise.select(F.col(number).alias("_order")).where("_order is not null"), "_order")
+    ranks = running(ranges, bucket, [F.col("_order")], {"_rank": F.lit(1)}).select("_order", (F.col("_rank") - 1).alias("_no"))
+    clips = noise.select(F.col(number).alias("_order"), F.col("samples").alias("_s")).join(ranks, "_order").select("_no", "_s")
+    count = noise.where(F.col(number).isNotNull()).agg(F.count(F.lit(1)))
+    rows = df.withColumn("_n", count.scalar())
+    picked = rows.where(draw & (F.col("_n") > 0)).withColumn("_no", F.floor(uniform(f"{seed}-no", key) * F.col("_n")).cast("long"))
+    return picked.join(clips, "_no").drop("_no", "_n"), rows.where(~(draw & (F.col("_n") > 0))).drop("_n")
 
 
-def inject_nocall(df: DataFrame, noise: DataFrame, p: float = 0.075, key: str = "row_id", seed: int = 0) -> DataFrame:
-    """With probability p replace the waveform by a noise clip, cut or padded to its length, and set all labels to 0."""
-    rows = _numbered(df, noise, key, f"{seed}-no").withColumn("noise_no", F.when(uniform(f"{seed}-p", key) < p, F.col("noise_no")))
-    rows = rows.join(noise.select("noise_no", F.col("samples").alias("_s")), "noise_no", "left")
+def inject_nocall(df: DataFrame, noise: DataFrame, p: float = 0.075, key: str = "row_id", seed: int = 0, number: str = "noise_no") -> DataFrame:
+    """With probability p replace the waveform by a noise clip, cut or padded to its length, and set all labels to 0.
+
+    A clip without samples (null) leaves the row as it is.
+    """
+    rows, others = _with_clips(df, noise, p, key, seed, number)
     n, m = F.size("samples"), F.size("_s")
     start = F.floor(uniform(f"{seed}-cut", key) * (F.greatest(m - n, F.lit(0)) + 1)).cast("int")
     clip = F.slice(F.concat(F.slice("_s", start + 1, n), F.array_repeat(F.lit(0.0).cast("float"), n)), F.lit(1), n)
     hit = F.col("_s").isNotNull()
-    return rows.withColumn("labels", F.when(hit, F.transform("labels", lambda x: x * 0)).otherwise(F.col("labels"))).withColumn("samples", F.when(hit, clip).otherwise(F.col("samples"))).drop("_s")
+    rows = rows.withColumn("labels", F.when(hit, F.transform("labels", lambda x: x * 0)).otherwise(F.col("labels"))).withColumn("samples", F.when(hit, clip).otherwise(F.col("samples"))).drop("_s")
+    return rows.unionByName(others)
 
 
-def add_noise(df: DataFrame, noise: DataFrame, p: float = 0.5, snr_min: float = 3.0, snr_max: float = 30.0, key: str = "row_id", seed: int = 0) -> DataFrame:
-    """With probability p add background noise at a random ratio; a short clip is repeated until long enough."""
-    rows = _numbered(df, noise, key, f"{seed}-no").withColumn("noise_no", F.when(uniform(f"{seed}-p", key) < p, F.col("noise_no")))
-    rows = rows.join(noise.where(F.size("samples") > 0).select("noise_no", F.col("samples").alias("_s")), "noise_no", "left")
+def add_noise(df: DataFrame, noise: DataFrame, p: float = 0.5, snr_min: float = 3.0, snr_max: float = 30.0, key: str = "row_id", seed: int = 0, number: str = "noise_no") -> DataFrame:
+    """With probability p add background noise at a random ratio; a short clip is repeated until long enough, an empty one adds nothing."""
+    rows, others = _with_clips(df, noise, p, key, seed, number)
     n = F.size("samples")
     piece = rms_normalised(F.col("_s"))
     long = F.slice(F.flatten(F.array_repeat(piece, F.ceil(n / F.size("_s")).cast("int"))), F.lit(1), n)
     snr = F.lit(snr_min) + (snr_max - snr_min) * uniform(f"{seed}-snr", key)
     level = F.try_divide(_rms(F.col("samples")), F.pow(F.lit(10.0), snr / 20))
     scaled = F.flatten(F.transform(F.array(F.struct(rms_normalised(long).alias("a"), level.alias("g"))), lambda t: F.transform(t["a"], lambda x: x * t["g"])))
-    return rows.withColumn("samples", F.when(F.col("_s").isNotNull(), F.zip_with("samples", scaled, lambda a, b: a + b)).otherwise(F.col("samples").cast("array<double>"))).drop("_s")
+    own = F.col("samples").cast("array<double>")
+    rows = rows.withColumn("samples", F.when(F.size("_s") > 0, F.zip_with("samples", scaled, lambda a, b: a + b)).otherwise(own)).drop("_s")
+    return rows.unionByName(others.withColumn("samples", own))

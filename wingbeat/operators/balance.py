@@ -7,9 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import order_key, uniform_fine
-from .prefix import hash_bucket, running
+from .prefix import hash_bucket
+from .tables import join_null_safe, staged
 
 SALTS = 64
+#: Rows of a cell of cumulative weight, on average.
+CELL = 4
 #: Parts of the largest weight that sampling tells apart; running sums of 2^39 rows still fit.
 WEIGHT_PARTS = 1 << 24
 
@@ -41,7 +44,7 @@ def level_events(df: DataFrame, class_limit: int | None, event_limit: int | None
     """Keep min(size, cap) random rows of every (file, label) group."""
     w = W.partitionBy("label", "filepath").orderBy(order_key(seed, key), key)
     ranked = df.withColumn("_r", F.row_number().over(w))
-    return ranked.join(F.broadcast(level_caps(df, class_limit, event_limit)), "label").where("_r <= cap").drop("_r", "cap")
+    return join_null_safe(ranked, level_caps(df, class_limit, event_limit), ["label"]).where("_r <= cap").drop("_r", "cap")
 
 
 def balance(df: DataFrame, class_limit: int | None, event_limit: int | None, task: str, key: str = "event_id", seed: int = 0) -> DataFrame:
@@ -54,18 +57,32 @@ def balance(df: DataFrame, class_limit: int | None, event_limit: int | None, tas
 
 def weighted_sample(df: DataFrame, weight: str, n: int, key: str, seed: int = 0) -> DataFrame:
     """n draws with replacement, by weight: (draw, key). Weights are whole parts of the largest, WEIGHT_PARTS of it at
-    most and one at least, so that running sums are exact and each draw meets one row. Both sides of the range join are
-    cut into the same cells of cumulative weight; a row that reaches over several cells stands in each."""
+    most and one at least, so that running sums are exact and each draw meets one row.
+
+    Draws go to a hash bucket first, by the buckets' totals, and then to a row in it: only rows of buckets that are
+    drawn are sorted. Both range joins are equi-joins on cells of cumulative weight; what reaches over several cells
+    stands in each, and there are as many cells as rows, but for CELL.
+    """
     rows = df.where(F.col(weight) > 0)
-    most = rows.agg(F.max(weight).alias("_most"))
-    rows = rows.crossJoin(F.broadcast(most)).withColumn("_w", F.greatest(F.lit(1), F.round(F.col(weight) / F.col("_most") * WEIGHT_PARTS)).cast("long")).select(key, "_w").withColumn("_o", order_key(seed, key))
-    total = rows.agg(F.sum("_w").alias("_t")).where("_t > 0").withColumn("_cell_size", F.ceil(F.col("_t") / max(1, n // 4)))
-    rows = running(rows, hash_bucket(F.col("_o")), [F.col("_o"), F.col(key)], {"_high": F.col("_w")}).crossJoin(F.broadcast(total))
-    cell = lambda x: F.floor(x / F.col("_cell_size")).cast("long")
-    rows = rows.withColumn("_low", F.col("_high") - F.col("_w")).withColumn("_cell", F.explode(F.sequence(cell(F.col("_low")), cell(F.col("_high") - 1))))
-    draws = df.sparkSession.range(n).crossJoin(F.broadcast(total)).select(F.col("id").alias("draw"), "_cell_size", F.least(F.floor(uniform_fine(f"{seed}-draw", "id") * F.col("_t")), F.col("_t") - 1).alias("_at"))
-    draws = draws.select("draw", "_at", cell(F.col("_at")).alias("_cell"))
-    return draws.join(rows.select(key, "_low", "_high", "_cell"), "_cell").where("_at >= _low and _at < _high").select("draw", key)
+    rows = rows.withColumn("_most", rows.agg(F.max(weight)).scalar())
+    rows = rows.select(key, F.greatest(F.lit(1), F.round(F.col(weight) / F.col("_most") * WEIGHT_PARTS)).cast("long").alias("_w"), order_key(seed, key).alias("_o")).withColumn("_bucket", hash_bucket(F.col("_o")))
+    # one row for each of 16 ** DIGITS buckets at most: windows and broadcasts of them are bounded
+    buckets = rows.groupBy("_bucket").agg(F.sum("_w").alias("_total"), F.count(F.lit(1)).alias("_rows"))
+    buckets = staged(buckets.withColumn("_high", F.sum("_total").over(W.orderBy("_bucket"))), "buckets")
+    size = buckets.agg(F.ceil(F.sum("_total") / F.count(F.lit(1))).cast("long"))
+    total = buckets.agg(F.sum("_total"))
+    cell = lambda x: F.floor(x / F.col("_size")).cast("long")
+    cells = F.explode(F.sequence(cell(F.col("_low")), cell(F.col("_high") - 1)))
+    spans = buckets.withColumn("_size", size.scalar()).withColumn("_low", F.col("_high") - F.col("_total")).withColumn("_cell", cells).drop("_size")
+    draws = df.sparkSession.range(n).withColumn("_t", total.scalar()).withColumn("_size", size.scalar()).where("_t > 0")
+    draws = draws.select(F.col("id").alias("draw"), "_size", F.least(F.floor(uniform_fine(f"{seed}-draw", "id") * F.col("_t")), F.col("_t") - 1).alias("_at"))
+    draws = draws.withColumn("_cell", cell(F.col("_at"))).join(F.broadcast(spans), "_cell").where("_at >= _low and _at < _high")
+    draws = draws.select("draw", "_bucket", (F.col("_at") - F.col("_low")).alias("_at"), F.greatest(F.lit(1), F.ceil(F.col("_total") * CELL / F.col("_rows"))).cast("long").alias("_size"))
+    draws = draws.withColumn("_cell", cell(F.col("_at")))
+    drawn = draws.groupBy("_bucket").agg(F.first("_size").alias("_size"))
+    inside = W.partitionBy("_bucket").orderBy("_o", key).rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.join(F.broadcast(drawn), "_bucket").withColumn("_high", F.sum("_w").over(inside)).withColumn("_low", F.col("_high") - F.col("_w")).withColumn("_cell", cells)
+    return draws.join(rows.select(key, "_bucket", "_low", "_high", "_cell"), ["_bucket", "_cell"]).where("_at >= _low and _at < _high").select("draw", key)
 
 
 def random_subset(df: DataFrame, size: int, key: str, seed: int = 0) -> DataFrame:

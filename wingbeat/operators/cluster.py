@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .prefix import in_ranges, running
 from .stats import keep_label
-from .tables import join_sized, staged
+from .tables import join_null_safe, join_sized, staged
 
 #: Rows of a distance matrix that are held at once.
 ROWS = 1024
@@ -40,25 +40,39 @@ AXES, TILE, SPREAD, PAIRS = 3, 512, 64, 1 << 18
 #: Vectors of a cell in the first search for nearest neighbours, and by how much the next ones are wider.
 FIRST, WIDER = 8, 4.0
 
+def _order_statistics(flat: DataFrame, shares: list[float]) -> DataFrame:
+    """(recording, g, q): the interpolated quantiles of each group's x. Values are counted, ranked in ranges of each group, and
+    those at the wanted ranks kept, so that no task holds a group's values."""
+    by = ["recording", "g"]
+    counts = flat.groupBy(*by, "x").agg(F.count(F.lit(1)).alias("c"))
+    rows, bucket = in_ranges(counts, "x", by)
+    rows = join_null_safe(running(rows, bucket, [F.col("x")], {"upto": F.col("c")}, by=by), counts.groupBy(*by).agg(F.sum("c").alias("n")), by)
+    place = lambda p: (F.col("n") - 1) * F.lit(p)
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), end(place(p)).cast("long").alias("at"), (place(p) - F.floor(place(p))).alias("part")) for i, p in enumerate(shares) for end in (F.floor, F.ceil)])
+    held = F.filter(wanted, lambda w: (w["at"] < F.col("upto")) & (w["at"] >= F.col("upto") - F.col("c")))
+    found = rows.select(*by, "x", F.explode(held).alias("w")).groupBy(*by, "w.i").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.first("w.part").alias("part"))
+    value = F.col("low") * (1 - F.col("part")) + F.col("high") * F.col("part")
+    return found.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", value.alias("v")))), lambda t: t["v"]).alias("q"))
+
+
 def scale_features(df: DataFrame, shape: list[str], others: list[str], scaler: str = "standard") -> DataFrame:
     """Scale inside each recording: the shape columns together as if one, every other column by itself.
 
-    scaler: min-max, robust (median and the interpolated quartiles), any other name: mean and deviation. One pass counts
-    by recording and column, with partial sums, so that a frequent recording isn't brought to one task as rows.
+    scaler: min-max, robust (median and the interpolated quartiles), any other name: mean and deviation. Counts by
+    recording and column have partial sums, so that a frequent recording isn't brought to one task as rows. A null
+    recording is one recording; null values stay out of the counts and become 0, as does a column of one value.
     """
     group = {c: "shape" for c in shape} | {c: c for c in others}
     values = F.explode(F.array(*[F.struct(F.lit(g).alias("g"), F.col(c).cast("double").alias("x")) for c, g in group.items()]))
     flat = df.select("recording", values.alias("v")).select("recording", "v.g", "v.x").where("x is not null")
-    if scaler == "min-max":
-        centre, width = F.min("x"), F.max("x") - F.min("x")
-    elif scaler == "robust":
-        q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        centre, width = q[1], q[2] - q[0]
+    if scaler == "robust":
+        stats = _order_statistics(flat, [0.25, 0.5, 0.75]).select("recording", "g", F.col("q")[1].alias("centre"), (F.col("q")[2] - F.col("q")[0]).alias("width"))
+    elif scaler == "min-max":
+        stats = flat.groupBy("recording", "g").agg(F.min("x").alias("centre"), (F.max("x") - F.min("x")).alias("width"))
     else:
-        centre, width = F.avg("x"), F.stddev_pop("x")
-    stats = flat.groupBy("recording", "g").agg(F.struct(centre.alias("centre"), width.alias("width")).alias("s"))
-    stats = stats.groupBy("recording").agg(F.map_from_entries(F.collect_list(F.struct("g", "s"))).alias("_s"))
-    rows = df.join(stats, "recording", "left")
+        stats = flat.groupBy("recording", "g").agg(F.avg("x").alias("centre"), F.stddev_pop("x").alias("width"))
+    stats = stats.groupBy("recording").agg(F.map_from_entries(F.collect_list(F.struct("g", F.struct("centre", "width")))).alias("_s"))
+    rows = join_null_safe(df, stats, ["recording"], "left")
     scaled = lambda c, g: F.coalesce(F.try_divide(F.col(c) - F.col("_s")[g]["centre"], F.col("_s")[g]["width"]), F.lit(0.0))
     return rows.withColumns({f"{c}_scaled": scaled(c, g) for c, g in group.items()}).drop("_s")
 

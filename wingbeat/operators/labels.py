@@ -1,12 +1,11 @@
-"""Label algebra: vocabularies are small tables, joined by broadcast; logits are reordered by an index array."""
+"""Label algebra: vocabularies are joined by measured size; logits are reordered by one index array of all rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A vocabulary beyond this many classes is joined by shuffle instead of an index array on each row.
-MOST_CLASSES = 200_000
+from .tables import join_sized
 
 
 def map_codes(names: DataFrame, taxonomy: DataFrame) -> DataFrame:
@@ -23,32 +22,37 @@ def known_codes(dataset_vocab: DataFrame, model_vocab: DataFrame) -> DataFrame:
     return dataset_vocab.join(model_vocab.select("code"), "code", "left_semi")
 
 
-def _index(model_vocab: DataFrame, dataset_vocab: DataFrame) -> list[int | None]:
-    """For each dataset class, in order, the model's class of the same code."""
-    both = dataset_vocab.join(model_vocab.select("code", F.col("label_id").alias("model_id")), "code", "left")
-    rows = both.orderBy("label_id").limit(MOST_CLASSES + 1).collect()  # one row for each class of the vocabulary
-    if len(rows) > MOST_CLASSES:
-        raise ValueError("vocabulary too large for an index array")
-    return [r["model_id"] for r in rows]
+def _indexed(df: DataFrame, matched: DataFrame) -> DataFrame:
+    """df with _index: for each dataset class, in order, the model's class of the same code. The array is shared by all rows
+    as one value, with one number for each class that the row's own logits have one for: it is never larger than a row."""
+    index = matched.agg(F.transform(F.sort_array(F.collect_list(F.struct("label_id", "model_id"))), lambda x: x["model_id"]))
+    return df.withColumn("_index", index.scalar())
+
+
+def _matched(model_vocab: DataFrame, dataset_vocab: DataFrame) -> DataFrame:
+    """(label_id, model_id) of the dataset's classes, null where the model lacks one."""
+    return dataset_vocab.join(model_vocab.select("code", F.col("label_id").alias("model_id")), "code", "left").select("label_id", "model_id")
+
+
+def _picked(values: str, otherwise: Column) -> Column:
+    return F.transform("_index", lambda i: F.coalesce(F.get(F.col(values), i), otherwise))
 
 
 def class_mask(df: DataFrame, model_vocab: DataFrame, dataset_vocab: DataFrame) -> DataFrame:
     """Pick and reorder logits (and labels of the same width) to the dataset's classes, all of which must exist."""
-    index = _index(model_vocab, dataset_vocab)
-    if None in index:
+    matched = _matched(model_vocab, dataset_vocab)
+    if not matched.where("model_id is null").isEmpty():
         raise ValueError("a dataset class is unknown to the model")
-    width = model_vocab.count()
-    idx = F.array(*[F.lit(i) for i in index])
-    out = df.withColumn("logits", F.transform(idx, lambda i: F.col("logits")[i]))
+    out = _indexed(df, matched).withColumn("logits", _picked("logits", F.lit(None)))
     if "labels" in df.columns:
-        out = out.withColumn("labels", F.when(F.size("labels") == width, F.transform(idx, lambda i: F.col("labels")[i])).otherwise(F.col("labels")))
-    return out
+        width = model_vocab.agg(F.count(F.lit(1)))
+        out = out.withColumn("_width", width.scalar()).withColumn("labels", F.when(F.size("labels") == F.col("_width"), _picked("labels", F.lit(None))).otherwise(F.col("labels"))).drop("_width")
+    return out.drop("_index")
 
 
 def restrict_logits(df: DataFrame, model_vocab: DataFrame, dataset_vocab: DataFrame, fill: float = -10.0) -> DataFrame:
     """As class_mask, but classes that the model lacks get `fill`."""
-    idx = F.array(*[F.lit(i).cast("int") for i in _index(model_vocab, dataset_vocab)])
-    return df.withColumn("logits", F.transform(idx, lambda i: F.coalesce(F.when(i.isNotNull(), F.col("logits")[F.coalesce(i, F.lit(0))]).cast("double"), F.lit(fill))))
+    return _indexed(df, _matched(model_vocab, dataset_vocab)).withColumn("logits", _picked("logits", F.lit(fill)).cast("array<double>")).drop("_index")
 
 
 def attach_features(rois: DataFrame, features: DataFrame) -> DataFrame:
@@ -58,6 +62,4 @@ def attach_features(rois: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def id_to_code(df: DataFrame, vocab: DataFrame, column: str = "predicted") -> DataFrame:
-    codes = vocab.select(F.col("label_id").alias(column), "code")
-    few = vocab.limit(MOST_CLASSES + 1).count() <= MOST_CLASSES
-    return df.join(F.broadcast(codes) if few else codes, column, "left")
+    return join_sized(df, vocab.select(F.col("label_id").alias(column), "code"), column, "left", F.length("code") + 16)

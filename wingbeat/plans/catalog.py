@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays, keys
-from ..operators import augment, balance, batches, cluster, events, labels, metrics, project, splits, stats
+from ..operators import augment, balance, batches, cluster, events, labels, metrics, prepare, project, splits, stats
+from ..operators.tables import staged
 from ..sources import io
 from ..streaming import streams
 from . import fixtures as X
@@ -55,27 +56,42 @@ def event_list(df: DataFrame) -> DataFrame:
 # ---- events ----
 
 
-_PREPARED = f"""WITH {_ROWS}, k0 AS (SELECT *, filepath || '_' || CAST(s AS INT) AS k FROM x), g AS (SELECT label, filepath, count(*) AS c FROM k0 GROUP BY 1, 2), v AS (SELECT DISTINCT label, c AS v FROM g),
+_PREPARED = f"""WITH {_ROWS}, k0 AS (SELECT *, filepath || '_' || CAST(s AS VARCHAR) || '_' || CAST(e AS VARCHAR) AS k FROM (SELECT filepath, label, s::DOUBLE AS s, e::DOUBLE AS e, cl FROM x)), g AS (SELECT label, filepath, count(*) AS c FROM k0 GROUP BY 1, 2), v AS (SELECT DISTINCT label, c AS v FROM g),
  t AS (SELECT v.label, v.v, sum(least(g.c, v.v)) AS total FROM v JOIN g ON v.label = g.label GROUP BY 1, 2), n AS (SELECT *, lead(total) OVER (PARTITION BY label ORDER BY v DESC) AS next FROM t),
  cap AS (SELECT label, max(v) AS cap FROM n WHERE v = 2 OR v = 1 OR next IS NULL OR next < 500 GROUP BY 1),
  r AS (SELECT *, row_number() OVER (PARTITION BY label, filepath ORDER BY md5('0|' || k), k) AS r FROM k0), kept AS (SELECT r.* FROM r JOIN cap ON r.label = cap.label WHERE r.r <= cap),
  w AS (SELECT label, count(*) AS n FROM kept GROUP BY 1), z AS (SELECT *, row_number() OVER (ORDER BY md5('0|' || k), k) AS place, count(*) OVER () AS rows FROM kept)
- SELECT k AS event_id, z.label::BIGINT AS hot, round(s, 6) AS s, round(e, 6) AS e, CASE WHEN place <= ceil(rows * 0.2) THEN 'valid' ELSE 'train' END AS split, round(pow(w.n / (SELECT sum(n) FROM w), -0.5), 6) AS row_weight FROM z JOIN w ON z.label = w.label"""
+ SELECT z.filepath, z.label AS labels, round(s, 6) AS s, round(e, 6) AS e, NULL::DOUBLE AS start_time, NULL::DOUBLE AS end_time, CASE WHEN place <= ceil(rows * 0.2) THEN 'valid' ELSE 'train' END AS split, round(pow(w.n / (SELECT sum(n) FROM w), -0.5), 6) AS row_weight FROM z JOIN w ON z.label = w.label
+ UNION ALL SELECT filepath, label, NULL, NULL, pos * 5.0::DOUBLE, pos * 5.0::DOUBLE + 5, 'test', NULL FROM ev"""
 
 
 @query("prepare_training_set", _PREPARED)
 def prepare_training_set(spark: SparkSession, sf: str) -> DataFrame:
-    """Recordings to training rows: task columns, events, levelling, weights, a validation split, one-hot labels."""
-    known = X.recordings(spark, sf).withColumnsRenamed({"label": "ebird_code"})
-    rows = project.select_task_splits({"train": known}, "multiclass", keep=("event_cluster",))["train"]
-    rows = events.explode_events(rows).withColumnRenamed("labels", "label")
-    rows = rows.withColumn("event_id", F.concat_ws("_", "filepath", F.col("detected_events")[0].cast("int").cast("string")))
-    rows = balance.balance(rows, 500, 2, "multilabel")
-    rows = stats.row_weights(rows, stats.class_weights(stats.count_labels(rows)), "event_id")
-    parts = splits.ensure_splits({"train": rows, "test": rows.limit(0)}, "event_id", 0.2)
-    out = parts["train"].withColumn("split", F.lit("train")).unionByName(parts["valid"].withColumn("split", F.lit("valid")))
-    hot = F.array_position(arrays.one_hot(F.array("label"), 10), F.lit(1.0).cast("float")) - 1
-    return out.select("event_id", hot.alias("hot"), R(F.col("detected_events")[0]).alias("s"), R(F.col("detected_events")[1]).alias("e"), "split", R(F.col("row_weight")).alias("row_weight"))
+    """Recordings to training rows and segments to test rows: task columns, events, levelling, a validation split, written and read back; weights."""
+    train = X.recordings(spark, sf).withColumnsRenamed({"label": "ebird_code"}).drop("length")
+    test = X.ev(spark, sf).select("filepath", F.col("label").alias("ebird_code"), (F.col("pos") * 5.0).alias("start_time"), (F.col("pos") * 5.0 + 5).alias("end_time"))
+    train = train.withColumns({"start_time": F.lit(None).cast("double"), "end_time": F.lit(None).cast("double")})
+    how = prepare.Settings("ev", "multiclass", 10, 500, 2)
+    path = prepare.prepare({"train": train, "test": test}, how, io.scratch(spark, "prepared"))
+    known = prepare.weighted(spark.read.parquet(path).where("split <> 'test'"))
+    out = known.unionByName(io.read_prepared(spark, path, "test").withColumn("row_weight", F.lit(None).cast("double")))
+    at = lambda i: R(F.get("detected_events", F.lit(i)))
+    return out.select("filepath", "labels", at(0).alias("s"), at(1).alias("e"), "start_time", "end_time", "split", R(F.col("row_weight")).alias("row_weight"))
+
+
+@query("prepare_multilabel", f"""WITH {_ROWS}, h AS (SELECT filepath, s::DOUBLE AS s, e::DOUBLE AS e, filepath || '_' || CAST(s::DOUBLE AS VARCHAR) || '_' || CAST(e::DOUBLE AS VARCHAR) AS k, label FROM x),
+ z AS (SELECT *, row_number() OVER (ORDER BY md5('3|' || k), k) AS place, count(*) OVER () AS rows FROM h), j AS (SELECT filepath, s, e, label, CASE WHEN place <= ceil(rows * 0.25) THEN 'valid' ELSE 'train' END AS split FROM z
+  UNION ALL SELECT filepath, NULL, NULL, label, 'test' FROM (SELECT DISTINCT filepath, label FROM ev) q)
+ SELECT filepath, round(s, 6) AS s, round(e, 6) AS e, split, i AS class, (i = label OR i = (label + 1) % 10)::INT::FLOAT AS hot FROM j, range(10) t(i)""")
+def prepare_multilabel(spark: SparkSession, sf: str) -> DataFrame:
+    """The multilabel branch, without limits: one-hot vectors of the labels that a recording has."""
+    rows = X.recordings(spark, sf).withColumnsRenamed({"label": "ebird_code"}).drop("length")
+    rows = rows.withColumn("ebird_code_multilabel", F.array("ebird_code", ((F.col("ebird_code") + 1) % 10).cast("int"))).withColumns({"start_time": F.lit(None).cast("double"), "end_time": F.lit(None).cast("double")})
+    segments = rows.select("filepath", "ebird_code", "ebird_code_multilabel", "start_time", "end_time")
+    path = prepare.prepare({"train": rows, "test_5s": segments}, prepare.Settings("ev", "multilabel", 10, val_split=0.25, seed=3), io.scratch(spark, "prepared"))
+    out = spark.read.parquet(path)
+    at = lambda i: R(F.get("detected_events", F.lit(i)))
+    return out.select("filepath", at(0).alias("s"), at(1).alias("e"), F.col("split").cast("string").alias("split"), F.posexplode("labels").alias("class", "hot")).withColumn("class", F.col("class").cast("long"))
 
 
 @query("count_labels", f"WITH {_EV}, n AS (SELECT label * 2 AS label, count(*) AS n FROM ev GROUP BY 1) SELECT CAST(g.i AS INT) AS label, coalesce(n.n, 0)::BIGINT AS n FROM (SELECT unnest(range((SELECT max(label) + 1 FROM n)::BIGINT)) AS i) g LEFT JOIN n ON n.label = g.i")
@@ -115,6 +131,17 @@ def event_rows(spark: SparkSession, sf: str) -> DataFrame:
     return flat(batches.event_rows(X.recordings(spark, sf)))
 
 
+@query("event_rows_sql", f"WITH {_KEPT}, x AS (SELECT filepath, s, e, cl FROM d UNION ALL SELECT DISTINCT filepath, 0.0, 5.0, NULL::INT FROM ev WHERE filepath NOT IN (SELECT filepath FROM d)) SELECT filepath, count(*) AS n, round(sum(e - s), 4) AS seconds, count(cl) AS events FROM x GROUP BY 1")
+def event_rows_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """The table function in a SQL query, with all clusters but noise."""
+    batches.register_event_rows(spark)
+    return spark.sql(
+        "SELECT filepath, count(*) AS n, round(sum(t.detected_events[1] - t.detected_events[0]), 4) AS seconds, count_if(size(t.event_cluster) > 0) AS events"
+        " FROM {recordings} r, LATERAL event_rows(r.detected_events, r.event_cluster, false) t GROUP BY filepath",
+        recordings=X.recordings(spark, sf),
+    )
+
+
 _GAPS = f"""WITH {_EV}, g AS (SELECT filepath, coalesce(lag(e) OVER w, 0.0) AS a, s AS b FROM ev WINDOW w AS (PARTITION BY filepath ORDER BY pos)
  UNION ALL SELECT filepath, max_by(e, pos), count(*) * 10.0 + 5 FROM ev GROUP BY filepath) SELECT filepath, round(a, 6) AS gap_start, round(b, 6) AS gap_end FROM g WHERE a < b"""
 
@@ -217,22 +244,22 @@ def one_hot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _codes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Customers by name, and a code for each order of one: many names have several, some none."""
-    names = X.table(spark, sf, "customer").select(F.col("c_custkey").alias("pos"), F.concat(F.lit("c"), "c_custkey").alias("name"))
+    """Parts by number, and a code for each order by its customer's number: many names have several, those beyond the customers none."""
+    names = X.table(spark, sf, "part").select(F.col("p_partkey").alias("pos"), F.concat(F.lit("c"), "p_partkey").alias("name"))
     return names, X.table(spark, sf, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("name"), F.col("o_orderkey").cast("string").alias("code"), F.col("o_orderkey").alias("pos"))
 
 
-@query("map_codes", "WITH t AS (SELECT o_custkey, max_by(CAST(o_orderkey AS VARCHAR), o_orderkey) AS code FROM orders GROUP BY 1) SELECT c_custkey AS pos, 'c' || c_custkey AS name, code FROM customer JOIN t ON c_custkey = o_custkey")
+@query("map_codes", "WITH t AS (SELECT o_custkey, max_by(CAST(o_orderkey AS VARCHAR), o_orderkey) AS code FROM orders GROUP BY 1) SELECT p_partkey AS pos, 'c' || p_partkey AS name, code FROM part JOIN t ON p_partkey = o_custkey")
 def map_codes(spark: SparkSession, sf: str) -> DataFrame:
     return labels.map_codes(*_codes(spark, sf))
 
 
-@query("unmatched_codes", "SELECT c_custkey AS pos, 'c' || c_custkey AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("unmatched_codes", "SELECT p_partkey AS pos, 'c' || p_partkey AS name FROM part WHERE p_partkey NOT IN (SELECT o_custkey FROM orders)")
 def unmatched_codes(spark: SparkSession, sf: str) -> DataFrame:
     return labels.unmatched_codes(*_codes(spark, sf)).select("pos", "name")
 
 
-@query("known_codes", "SELECT c_custkey AS label_id, 'c' || c_custkey AS code FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+@query("known_codes", "SELECT p_partkey AS label_id, 'c' || p_partkey AS code FROM part WHERE p_partkey IN (SELECT o_custkey FROM orders)")
 def known_codes(spark: SparkSession, sf: str) -> DataFrame:
     names, orders = _codes(spark, sf)
     return labels.known_codes(names.withColumnsRenamed({"pos": "label_id", "name": "code"}), orders.select(F.col("name").alias("code"))).select("label_id", "code")
@@ -520,6 +547,25 @@ def metric_set(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.metric_set(X.pred(spark, sf)).select("name", R(F.col("value")).alias("value"))
 
 
+_NAMED = (
+    f"WITH {_AP}, b AS (WITH {_AUC} SELECT avg(auroc) AS v FROM auc), m AS (SELECT score, sum(p) AS p, sum(n) AS n FROM g GROUP BY 1), mt AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS seen FROM m WINDOW w AS (ORDER BY score DESC)),"
+    " pg AS (SELECT class, score, sum(p) AS p, sum(n) AS n FROM (SELECT class, score, p, n FROM g UNION ALL SELECT DISTINCT class, 1.0, 5.0, 5.0 FROM g) z GROUP BY 1, 2), pt AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS seen FROM pg WINDOW w AS (PARTITION BY class ORDER BY score DESC)), pa AS (SELECT class, sum(p * tp / seen) / sum(p) AS ap FROM pt GROUP BY 1),"
+    " top AS (SELECT row_id, target, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, class) AS r, max(target) OVER (PARTITION BY row_id) AS any_target FROM pred), hit AS (SELECT k, row_id, max(target) AS hit FROM top, (SELECT unnest([1, 3]) AS k) u WHERE r <= k AND any_target = 1 GROUP BY 1, 2)"
+    " SELECT 'cmAP' AS name, round(avg(ap), 6) AS value FROM ap UNION ALL SELECT 'cmAP5', round(avg(ap) FILTER (positives >= 5), 6) FROM ap UNION ALL SELECT 'MultilabelAUROC', round(v, 6) FROM b"
+    " UNION ALL SELECT 'mAP', round(sum(p * tp / seen) / sum(p), 6) FROM mt UNION ALL SELECT 'pcmAP', round(avg(ap), 6) FROM pa UNION ALL SELECT 'T' || k || 'Accuracy', round(avg(hit), 6) FROM hit GROUP BY k"
+)
+
+
+@query("metric_states", _NAMED)
+def metric_states(spark: SparkSession, sf: str) -> DataFrame:
+    """All registered metrics from states of two parts of the rows, written apart and merged."""
+    path, rows = io.scratch(spark, "states"), X.wide(spark, sf)
+    for part in (0, 1):
+        metrics.metric_state(rows.where(F.col("row_id") % 2 == part)).write.mode("append").parquet(path)
+    merged = staged(metrics.merge_states(spark.read.schema(metrics.STATE).parquet(path)), "merged")
+    return metrics.finish_metrics(merged).select("name", R(F.col("value")).alias("value"))
+
+
 _TOP = f"WITH {_PRED}, r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, class) AS r, max(target) OVER (PARTITION BY row_id) AS any_target FROM pred)"
 for _k in (1, 3):
 
@@ -785,10 +831,12 @@ def write_codes(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.csv(path, header=True, multiLine=True, escape='"')
 
 
-@query("list_noise_files")
+@query("list_noise_files", "SELECT DISTINCT 'label=' || label AS folder FROM embeddings")
 def list_noise_files(spark: SparkSession, sf: str) -> DataFrame:
-    """The files of the tables themselves."""
-    return io.list_noise_files(spark, sf)
+    """The waveforms as noise clips in folders, one for each label; the folders of the files found."""
+    folder = io.scratch(spark, "noise")
+    X.table(spark, sf, "embeddings").select("label", "embedding").write.partitionBy("label").parquet(folder)
+    return io.list_noise_files(spark, folder).select(F.regexp_extract("path", "(label=[^/]*)/part-", 1).alias("folder")).where("folder <> ''").distinct()
 
 
 @query("write_metrics", "SELECT event_type AS name, round(max(value), 6) AS value FROM events GROUP BY 1")
@@ -818,13 +866,33 @@ def stream_explode_events(spark: SparkSession, sf: str) -> DataFrame:
     return flat(spark.read.schema(rows.schema).parquet(out))
 
 
+def _in_two_runs(start: Callable[[], object]) -> None:
+    """A stream that is stopped and started again from the same checkpoint."""
+    for _ in range(2):
+        start().awaitTermination()
+
+
 @query("stream_metric_counts", f"{_TOP} SELECT class::INT AS pred, label::INT AS true, count(*) AS total, sum((class = label)::INT)::BIGINT AS correct FROM r JOIN embeddings ON row_id = vec_id WHERE r = 1 GROUP BY 1, 2")
 def stream_metric_counts(spark: SparkSession, sf: str) -> DataFrame:
     given, out, state = (io.scratch(spark, n) for n in ("predictions", "counts", "state"))
-    X.wide(spark, sf).select(metrics.top_classes(F.col("scores"), 1)[0].cast("int").alias("pred"), F.col("true").cast("int").alias("true")).write.parquet(given)
-    stream = spark.readStream.schema("pred int, true int").option("maxFilesPerTrigger", 4).parquet(given)
-    counts = streams.stream_metric_counts(stream)
-    write = lambda batch, no: batch.write.mode("overwrite").parquet(f"{out}/{no % 2}")
-    query = counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(counts.schema).parquet(f"{out}/{query.lastProgress['batchId'] % 2}")
+    rows = X.wide(spark, sf).select(metrics.top_classes(F.col("scores"), 1)[0].cast("int").alias("pred"), F.col("true").cast("int").alias("true"))
+
+    def run() -> object:
+        rows.where((F.col("pred") % 2 == 0) if not runs else (F.col("pred") % 2 == 1)).write.mode("append").parquet(given)
+        runs.append(1)
+        stream = spark.readStream.schema("pred int, true int").option("maxFilesPerTrigger", 4).parquet(given)
+        return streams.start_metric_counts(stream, out, state, availableNow=True)
+
+    runs: list[int] = []
+    _in_two_runs(run)
+    return streams.counts_sink(out).read(spark)
+
+
+@query("stream_metric_states", _NAMED)
+def stream_metric_states(spark: SparkSession, sf: str) -> DataFrame:
+    """All registered metrics over a stream of predictions."""
+    given, out, state = (io.scratch(spark, n) for n in ("predictions", "states", "state"))
+    X.wide(spark, sf).select("scores", "targets").repartition(4, "scores").write.parquet(given)
+    stream = spark.readStream.schema("scores array<double>, targets array<int>").option("maxFilesPerTrigger", 2).parquet(given)
+    _in_two_runs(lambda: streams.start_metric_states(stream, out, state, availableNow=True))
+    return metrics.finish_metrics(staged(streams.states_sink(out).read(spark), "merged")).select("name", R(F.col("value")).alias("value"))

@@ -60,6 +60,9 @@ def waveforms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(label_id, code): the distinct event types in order; a short list."""
-    codes = table(spark, sf_dir, "events").select("event_type").distinct().agg(F.sort_array(F.collect_list("event_type")).alias("x"))
-    return codes.select(F.posexplode("x").alias("label_id", "code"))
+    """(label_id, code): the distinct event types in order, ranked in ranges of names."""
+    from ..operators.prefix import in_name_ranges, running
+
+    codes = table(spark, sf_dir, "events").select(F.col("event_type").alias("code")).distinct()
+    ranked = running(*in_name_ranges(codes, "code"), [F.col("code")], {"rank": F.lit(1)})
+    return ranked.select((F.col("rank") - 1).cast("int").alias("label_id"), "code")
