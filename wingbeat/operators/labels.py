@@ -35,7 +35,9 @@ def _matched(model_vocab: DataFrame, dataset_vocab: DataFrame) -> DataFrame:
 
 
 def _picked(values: str, otherwise: Column) -> Column:
-    return F.transform("_index", lambda i: F.coalesce(F.get(F.col(values), i), otherwise))
+    # both arrays ride along as one argument: computed ones are computed once a row, not once a class
+    both = F.array(F.struct(F.col("_index").alias("index"), F.col(values).alias("values")))
+    return F.flatten(F.transform(both, lambda t: F.transform(t["index"], lambda i: F.coalesce(F.get(t["values"], i), otherwise))))
 
 
 def class_mask(df: DataFrame, model_vocab: DataFrame, dataset_vocab: DataFrame) -> DataFrame:
