@@ -11,7 +11,7 @@ groups, in which every two tokens whose bytes overlap are linked.
 
 No token of either goes beyond a single space between two other characters: A's pre-tokenizer begins a new one there,
 and B's model has no piece that goes on after a word with a space (checked when it is loaded; else texts are encoded
-whole). So texts are encoded by such words, each with the space before it, and a task remembers the alignments of the
+whole). So texts are encoded by such words, each with the space before it, and a worker remembers the alignments of the
 words it saw. Results are those of whole texts (tested).
 
 Counts over documents: each document lists its distinct linked id pairs with how often it links them; these are
@@ -39,8 +39,10 @@ from . import infill
 from . import tokens as K
 
 FOLDER, A, B = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: A task forgets its words when it holds more than so many of them, or of their links; bounds memory only.
-WORDS, LINKS = 1 << 19, 1 << 23
+#: A worker forgets its words when it holds more than so many of them, or of their links: some 300 MB. Bounds memory only.
+WORDS, LINKS = 1 << 20, 1 << 23
+#: New words encoded at once.
+TOGETHER = 4096
 #: A pair's code: the id of A times this, plus that of B.
 IDS = 1 << 20
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -89,22 +91,17 @@ class Encoders:
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.by_word = not any(re.search("[^▁]▁", p) for p in pieces)
 
-    def spans_a(self, texts: list[str], data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of texts that stand one after the other in data, each with its space: all ids, coarse spans and the tokens of each text."""
-        found = self.a.encode_batch(texts, add_special_tokens=False)
-        n = np.array([len(x) for x in found], np.int64)
-        place = infill.Exceptions(data)
-        chars = np.array([o for x in found for o in x.offsets], np.int64).reshape(-1, 2) + np.repeat(place.to_chars(starts), n)[:, None]
-        return np.array([i for x in found for i in x.ids], np.int64), place.to_bytes(chars), n
+    def spans_a(self, text: str, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and coarse spans, in bytes, of a text with its space."""
+        found = self.a.encode(text, add_special_tokens=False)
+        return np.array(found.ids, np.int64), infill.Exceptions(data).to_bytes(np.array(found.offsets, np.int64).reshape(-1, 2))
 
-    def spans_b(self, texts: list[str], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """As spans_a; texts: without the space that B adds, which has no place in its spans."""
-        found = [x.pieces for x in self.b.encode(texts, return_type="proto", num_threads=1)]
-        n = np.array([len(x) for x in found], np.int64)
-        coarse = np.array([(t.begin, t.end) for x in found for t in x], np.int64).reshape(-1, 2) + 1 + np.repeat(starts, n)[:, None]
-        first = np.cumsum(n) - n
-        coarse[first[n > 0], 0] = starts[n > 0]
-        return np.array([t.id for x in found for t in x], np.int64), coarse, n
+    def spans_b(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """As spans_a; text: without the space that B adds, which has no place in its spans."""
+        found = np.array([(t.id, t.begin, t.end) for t in self.b.encode(text, return_type="proto").pieces], np.int64).reshape(-1, 3)
+        coarse = found[:, 1:] + 1
+        coarse[:1, 0] = 0
+        return found[:, 0], coarse
 
 
 @functools.cache
@@ -115,41 +112,49 @@ def encoders(a_path: str, b_path: str) -> Encoders:
 class Alignments:
     """Of some texts: numbers of tokens and groups, the groups as text, the codes of links (those of text i: links[at[i]:at[i + 1]]); n_a 0: no tokens."""
 
-    def __init__(self) -> None:
-        self.n_a = self.n_b = self.n_groups = np.zeros(0, np.int64)
-        self.groups: list[str] = []
-        self.links, self.at = np.zeros(0, np.int64), np.zeros(1, np.int64)
+    def __init__(self, n: int = 0) -> None:
+        """Of n texts without tokens."""
+        self.n_a = self.n_b = self.n_groups = np.zeros(n, np.int64)
+        self.groups: list[str] = [""] * n
+        self.links, self.at = np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
 
-    def add(self, other: Alignments) -> None:
+    @classmethod
+    def of(cls, parts: list[Alignments]) -> Alignments:
+        out = cls()
         for name in ("n_a", "n_b", "n_groups", "links"):
-            setattr(self, name, np.concatenate([getattr(self, name), getattr(other, name)]))
-        self.groups += other.groups
-        self.at = np.concatenate([self.at, self.at[-1] + other.at[1:]])
+            setattr(out, name, np.concatenate([getattr(x, name) for x in parts]))
+        out.groups = [g for x in parts for g in x.groups]
+        out.at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x.at) for x in parts]))])
+        return out
 
 
 def alignments(e: Encoders, texts: list[str]) -> Alignments:
-    """Of texts that aren't empty, each read with a space before it. All of them are laid one after the other and aligned at once."""
-    spaced = [" " + t for t in texts]
-    raw = [t.encode() for t in spaced]
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    long = np.array([len(x) for x in raw], np.int64)
-    starts = np.cumsum(long) - long
-    a, a_coarse, n_a = e.spans_a(spaced, data, starts)
-    b, b_coarse, n_b = e.spans_b(texts, starts)
+    """Of texts that aren't empty; more than one only if they may be cut from one text, a space before each.
+
+    They are encoded and aligned as one. If its tokens decode to other bytes, halves are tried, until the texts are found that have no tokens.
+    """
+    text = " ".join(texts)
+    spaced = f" {text}"
+    raw = spaced.encode()
+    data = np.frombuffer(raw, np.uint8)
+    (a, a_coarse), (b, b_coarse) = e.spans_a(spaced, data), e.spans_b(text)
     a_decoded, b_decoded = ([table[i] for i in ids.tolist()] for table, ids in ((e.a_bytes, a), (e.b_bytes, b)))
-    if b"".join(a_decoded) != data.tobytes() or b"".join(b_decoded) != data.tobytes():
-        return _without_others(e, texts, raw, [(a_decoded, n_a), (b_decoded, n_b)])
+    if b"".join(a_decoded) != raw or b"".join(b_decoded) != raw:
+        half = len(texts) // 2
+        return Alignments.of([alignments(e, texts[:half]), alignments(e, texts[half:])]) if half else Alignments(1)
     a_ends, b_ends = (refined(x, np.array([len(t) for t in d], np.int64)) for x, d in ((a_coarse, a_decoded), (b_coarse, b_decoded)))
     both = np.intersect1d(a_ends, b_ends, assume_unique=True)
+    stops = np.cumsum([len(t.encode()) + 1 for t in texts])
+    # how many tokens of A and of B, and common ends, stand up to the end of each text
+    upto = [np.concatenate([[0], np.searchsorted(x, stops, "right")]) for x in (a_ends, b_ends, both)]
     out = Alignments()
-    of = np.searchsorted(starts, both, "left") - 1  # the text that ends or goes on here
-    out.n_a, out.n_b, out.n_groups = n_a, n_b, np.bincount(of, minlength=len(texts))
+    out.n_a, out.n_b, out.n_groups = (np.diff(x) for x in upto)
     a_names, b_names = list(map(str, a.tolist())), list(map(str, b.tolist()))
     parts, i, j = [], 0, 0
     for u, v in zip(np.searchsorted(a_ends, both, "right").tolist(), np.searchsorted(b_ends, both, "right").tolist(), strict=True):
         parts.append(f"{a_names[i] if u == i + 1 else ','.join(a_names[i:u])}|{b_names[j] if v == j + 1 else ','.join(b_names[j:v])}")
         i, j = u, v
-    cut = np.concatenate([[0], np.cumsum(out.n_groups)]).tolist()
+    cut = upto[2].tolist()
     out.groups = [";".join(parts[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
     # a token of A overlaps those of B from the one that holds its first byte to the one that holds its last
     begins = np.concatenate([[0], a_ends[:-1]])
@@ -157,26 +162,7 @@ def alignments(e: Encoders, texts: list[str]) -> Alignments:
     n = np.searchsorted(b_ends, a_ends, "left") - first + 1
     of_b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
     out.links = np.repeat(a, n) * IDS + b[of_b]
-    out.at = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(n_a)])]
-    return out
-
-
-def _without_others(e: Encoders, texts: list[str], raw: list[bytes], decoded: list[tuple[list[bytes], np.ndarray]]) -> Alignments:
-    """As alignments(), where some texts' tokens decode to other bytes: these have no tokens."""
-    good = np.ones(len(texts), bool)
-    for tokens, n in decoded:
-        cut = np.concatenate([[0], np.cumsum(n)]).tolist()
-        good &= [b"".join(tokens[i:j]) == x for i, j, x in zip(cut[:-1], cut[1:], raw, strict=True)]
-    out, some = Alignments(), np.flatnonzero(good)
-    found = alignments(e, [texts[i] for i in some]) if len(some) else out
-    n_links = np.zeros(len(texts), np.int64)
-    for name in ("n_a", "n_b", "n_groups"):
-        values = np.zeros(len(texts), np.int64)
-        values[some] = getattr(found, name)
-        setattr(out, name, values)
-    n_links[some] = np.diff(found.at)
-    groups = iter(found.groups)
-    out.groups, out.links, out.at = [next(groups) if ok else "" for ok in good], found.links, np.concatenate([[0], np.cumsum(n_links)])
+    out.at = np.concatenate([[0], np.cumsum(n)])[upto[0]]
     return out
 
 
@@ -191,17 +177,27 @@ class Memory:
         if len(self.number) > WORDS or len(self.known.links) > LINKS:
             self.number, self.known = {}, Alignments()
         split = [(_CUT.split(t) if self.e.by_word else [t]) if t else [] for t in texts]
-        fresh = list({w for ws in split for w in ws if w not in self.number})
+        fresh = {w for ws in split for w in ws if w not in self.number}
+        # words that begin or end with white space, as a text's first and last may, can't stand between others
+        joined = [w for w in fresh if self.e.by_word and not (w[0].isspace() or w[-1].isspace())]
+        alone = list(fresh.difference(joined))
         if fresh:
-            self.number |= {w: len(self.number) + i for i, w in enumerate(fresh)}
-            self.known.add(alignments(self.e, fresh))
+            self.number |= {w: len(self.number) + i for i, w in enumerate(joined + alone)}
+            parts = [alignments(self.e, joined[i : i + TOGETHER]) for i in range(0, len(joined), TOGETHER)]
+            self.known = Alignments.of([self.known, *parts, *(alignments(self.e, [w]) for w in alone)])
         return np.array([self.number[w] for ws in split for w in ws], np.int64), np.array([len(ws) for ws in split], np.int64)
 
 
-def _listed(memory: Memory, texts: list[str]) -> tuple[list[np.ndarray], list[str], np.ndarray, np.ndarray, np.ndarray]:
+@functools.cache
+def memory(a_path: str, b_path: str) -> Memory:
+    """One for each Python worker, whatever tasks it runs."""
+    return Memory(encoders(a_path, b_path))
+
+
+def _listed(words: Memory, texts: list[str]) -> tuple[list[np.ndarray], list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Of each text n_a, n_b and n_groups, and its groups; then the pairs of all, how often each is linked, and the bounds of each text's."""
-    word, n = memory.words(texts)
-    known = memory.known
+    word, n = words.words(texts)
+    known = words.known
     doc = np.repeat(np.arange(len(texts)), n)
     none = np.bincount(doc[known.n_a[word] == 0], minlength=len(texts)) > 0
     word, doc = word[~none[doc]], doc[~none[doc]]
@@ -217,12 +213,12 @@ def _listed(memory: Memory, texts: list[str]) -> tuple[list[np.ndarray], list[st
 
 def _aligned(a_path: str, b_path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Memory(encoders(a_path, b_path))
+        words = memory(a_path, b_path)
         for batch in batches:
             for chunk in K.chunks(batch.column("text")):
                 at = chunk.byte_offsets.tolist()
                 texts = [chunk.data[i:j].tobytes().decode() for i, j in zip(at[:-1], at[1:], strict=True)]
-                sums, groups, pairs, times, bounds = _listed(memory, texts)
+                sums, groups, pairs, times, bounds = _listed(words, texts)
                 size = pa.array(bounds.astype(np.int32))
                 lists = [pa.ListArray.from_arrays(size, pa.array(pairs)), pa.ListArray.from_arrays(size, pa.array(times.astype(np.int32)))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(chunk.first, chunk.n), *(pa.array(x) for x in sums), pa.array(groups, pa.string()), *lists], names=["doc_id", "n_a", "n_b", "n_groups", "groups", "pairs", "times"])
