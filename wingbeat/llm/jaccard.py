@@ -15,13 +15,15 @@ with one pivot, links found so far give components, and the next rounds compare,
 documents of large groups in different components. What is left are documents of different components that share a
 shingle of a group. Small groups (at most MANY rows) are joined. Large groups are cut into tiles of bounded size,
 and each tile counts the shared shingles of its pairs in numpy, in bit sets, every pair at the first group that both
-stand in; so the rows that Spark moves and makes grow with the group, not with its square, and no pair is left out.
+stand in. A tile is one row, sent to others of its group SPREAD at a time; the pairs of tiles and of documents are made
+within tasks, and those to be compared are lists of partners, a row for each document. So a group of N rows costs
+N + N * N / (TILE_ROWS * SPREAD) rows moved, and texts only of documents that have partners left, once for each pair of tiles.
 All comparisons are exact, on whole texts; a block of pairs gets each text once and returns the links of a spanning
 forest, at most one a document. Groups are of a shingle and a band of set sizes, as linked sets are of like size.
 
 Defined results: null texts and texts without words have no shingle, link with nothing and are their
 own component; a null doc_id has a null component; rows that repeat a doc_id count as one document
-whose texts are all compared. Extra columns are ignored by linked() and kept by one_of_each().
+whose texts are all compared, so that they have one component, and each its own number of shingles. Extra columns are ignored by linked() and kept by one_of_each().
 """
 
 from __future__ import annotations
@@ -48,6 +50,8 @@ PAIRS_A_ROW, MOST_ROUNDS, PIVOTS, MANY = 1, 4, 8, 16
 LABEL_ROUNDS = 2
 #: Rows, and shingles of their sets, of one side of a tile of a large group.
 TILE_ROWS, TILE_SHINGLES = 1024, 4_000_000
+#: Tiles of a group that one task meets with a tile.
+SPREAD = 16
 #: A place's name in the first count is its top bits; names that coincide only keep a place that meets none.
 NAME_SHIFT, BAND_SHIFT = 19, 24
 #: Places counted in one group, and kept by a task before it passes them on.
@@ -222,11 +226,12 @@ def _forest(k: int, percent: int) -> Callable:
             return x
 
         out = []
-        for x, y in zip(pairs["x"].to_pylist(), pairs["y"].to_pylist(), strict=True):
-            a, b = top(x), top(y)
-            if a != b and any(linking(s, t, percent) for s in sets.get(x, ()) for t in sets.get(y, ())):
-                up[b] = a
-                out.append((x, y))
+        for x, ys in zip(pairs["x"].to_pylist(), pairs["ys"].to_pylist(), strict=True):
+            for y in ys:
+                a, b = top(x), top(y)
+                if a != b and any(linking(s, t, percent) for s in sets.get(x, ()) for t in sets.get(y, ())):
+                    up[b] = a
+                    out.append((x, y))
         return pa.table({"x": pa.array([x for x, _ in out], pa.int64()), "y": pa.array([y for _, y in out], pa.int64())})
 
     return run
@@ -240,9 +245,12 @@ def linking(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return bool(both) and 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (x, y) that connect what the linking pairs of each block (b, x, y: a written table) connect, by exact comparison of whole texts."""
-    held = C.staged(pairs.select("b", F.col("x").alias("doc_id")).union(pairs.select("b", "y")).distinct(), "held")
+def verify(pairs: DataFrame, held: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (x, y) that connect what the linking pairs of each block connect, by exact comparison of whole texts.
+
+    pairs: (b, x, ys), of a written table: x with each of ys; held: (b, doc_id), the documents of each block.
+    """
+    held = C.staged(held, "held")
     ids = C.staged(held.select("doc_id").distinct(), "ids")
     some = C.join_sized(texts, ids, "doc_id", "left_semi", F.lit(16))  # so that a large `held` meets these texts alone
     docs = C.join_sized(some, held, "doc_id", "inner", F.lit(24)).select("b", F.col("doc_id").alias("doc"), "text")
@@ -251,6 +259,12 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return out
 
 
+def _verified(blocks: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """verify() of blocks of single pairs (b, x, y), a written table."""
+    held = blocks.select("b", F.col("x").alias("doc_id")).union(blocks.select("b", "y")).distinct()
+    return verify(blocks.select("b", "x", F.array("y").alias("ys")), held, texts, k, percent)
+
+
 def _blocks(found: DataFrame) -> DataFrame:
     """Pairs (x, y, hub), a written table, dealt to blocks (b, x, y) of one hub and at most some BLOCK_ROWS partners."""
     large = found.groupBy("hub").count().where(f"count > {BLOCK_ROWS}").select("hub", F.ceil(F.col("count") / BLOCK_ROWS).alias("parts"))
@@ -300,21 +314,26 @@ def _candidates(met: DataFrame, percent: int) -> DataFrame:
 
 
 def _tile(percent: int) -> Callable:
-    """The pairs of a tile of one group that share as many places as their prefixes ask for, and no group before this one.
+    """The pairs of each row's two tiles of one group that share as many places as their prefixes ask for, and no group before
+    this one: (b, x, ys), and with x null the documents that stand in any pair.
 
-    Rows list all open places of a document, those of larger groups first: two documents are looked at in the first
-    group where both stand. Sets of rows are bit sets, so that pairs met before cost next to nothing.
+    Tiles list all open places of a document, those of larger groups first: two documents are looked at in the first
+    group where both stand. Sets of documents are bit sets, so that pairs met before cost next to nothing.
     """
 
     def needed(n: np.ndarray | int, m: np.ndarray | int) -> np.ndarray | int:
         return (percent * (n + m) + 99 + percent) // (100 + percent)
 
-    def run(table: pa.Table) -> pa.Table:
-        token, block = table["token"][0].as_py(), table["b"][0].as_py()
-        doc, n, l, part = (table[c].to_numpy().astype(np.int64) for c in ("doc", "n", "l", "part"))
-        component, short, up = (table[c].to_numpy() for c in ("component", "short", "up"))
-        tokens = [x.values.to_numpy() for x in table["tokens"]]
-        places = [x.values.to_numpy() for x in table["places"]]
+    def lists(column: pa.ListArray) -> list[np.ndarray]:
+        at = column.offsets.to_numpy()
+        return np.split(column.values.to_numpy()[at[0] : at[-1]], at[1:-1] - at[0]) if len(column) else []
+
+    def met_in(token: int, sides: list[tuple[int, pa.StructArray]]) -> list[tuple[int, np.ndarray]]:
+        column = lambda name: np.concatenate([s.field(name).to_numpy(zero_copy_only=False) for _, s in sides])
+        doc, n, l = (column(c).astype(np.int64) for c in ("doc", "n", "l"))
+        component, short, up = (column(c) for c in ("component", "short", "up"))
+        part = np.concatenate([np.full(len(s), p) for p, s in sides])
+        tokens, places = ([x for _, s in sides for x in lists(s.field(c))] for c in ("tokens", "places"))
         member = np.flatnonzero(~up)
         m_doc, m_n, m_l = doc[member], n[member], l[member]
         of = np.repeat(np.arange(len(member)), [len(tokens[i]) for i in member])
@@ -339,7 +358,7 @@ def _tile(percent: int) -> Callable:
 
         same = {c: bits(np.flatnonzero(component[member] == c)) for c in np.unique(component[short]).tolist()}
         tiles = np.unique(part)
-        beside = {p: bits(np.flatnonzero(part[member] == p)) for p in tiles.tolist()} if table["i"][0].as_py() != table["j"][0].as_py() else {}
+        beside = {p: bits(np.flatnonzero(part[member] == p)) for p in tiles.tolist()} if len(tiles) > 1 else {}
         every, out = (1 << len(member)) - 1, []
         for i in np.flatnonzero(short):
             ok = places[i] < n[i] - needed(n[i], n[i]) + l[i]
@@ -367,15 +386,28 @@ def _tile(percent: int) -> Callable:
             own, theirs, hit = own[hit >= 0], theirs[hit >= 0], hit[hit >= 0]
             close = (own < (n[i] - need + low)[hit]) & (theirs < (m_n[some] - need + low)[hit])
             good = some[np.bincount(hit[close], minlength=len(some)) >= low]
-            out.append((np.minimum(doc[i], m_doc[good]), np.maximum(doc[i], m_doc[good])))
-        x, y = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
-        return pa.table({"b": np.full(len(x), block, np.int64), "x": x.astype(np.int64), "y": y.astype(np.int64)})
+            if len(good):
+                out.append((int(doc[i]), m_doc[good]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                token, b, i, j = (batch.column(c)[row].as_py() for c in ("token", "b", "i", "j"))
+                sides = [(i, batch.column("rows")[row].values)] + ([(j, batch.column("other")[row].values)] if i != j else [])
+                out = met_in(token, sides)
+                if out:
+                    ys = [y for _, y in out]
+                    ys.append(np.unique(np.concatenate([*ys, [x for x, _ in out]])))
+                    bounds = np.concatenate([[0], np.cumsum([len(y) for y in ys])]).astype(np.int32)
+                    xs = pa.array([x for x, _ in out] + [None], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ys), b)), xs, pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ys).astype(np.int64)))], names=["b", "x", "ys"])
 
     return run
 
 
-def _in_tiles(now: DataFrame, tokens: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
-    """(b, x, y): the pairs not seen of different components that meet in large groups; now: the open places, tokens: (token, rows, size)."""
+def _tiles(now: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(token, parts, part, rows): the open places `now` of each large group, in tiles of one row each; tokens: (token, rows, size)."""
     large = tokens.where(f"rows > {MANY}").select("token", "rows", F.greatest(F.ceil(F.col("rows") / TILE_ROWS), F.ceil(F.col("size") / TILE_SHINGLES)).cast("int").alias("parts"))
     rows = C.staged(C.join_sized(now, large, "token", "inner", F.lit(32)), "large")
     asked = C.staged(rows.select("doc", "up").distinct(), "asked")
@@ -383,15 +415,29 @@ def _in_tiles(now: DataFrame, tokens: DataFrame, seen: DataFrame, percent: int)
     lists = lists.groupBy("doc", "up").agg(F.sort_array(F.collect_list(F.struct((-F.col("rows")).alias("r"), "token", "pos"))).alias("x"))
     lists = C.staged(lists.select("doc", "up", F.col("x.token").alias("tokens"), F.col("x.pos").alias("places")), "lists")
     part = F.pmod(F.xxhash64(F.lit("part"), "doc"), F.col("parts")).cast("int")
-    dealt = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-    dealt = dealt.join(lists, ["doc", "up"]).select("token", "i", "j", "part", "doc", "n", "l", "component", "short", "up", "tokens", "places", F.xxhash64("token", "i", "j").alias("b"))
-    found = dealt.groupBy("token", "i", "j").applyInArrow(_tile(percent), "b long, x long, y long")
-    out = C.staged(found.join(seen, ["x", "y"], "left_anti").select("b", "x", "y"), "tiled")
+    listed = rows.withColumn("part", part).join(lists, ["doc", "up"]).groupBy("token", "parts", "part")
+    out = C.staged(listed.agg(F.collect_list(F.struct("doc", "n", "l", "component", "short", "up", "tokens", "places")).alias("rows")), "tiles")
     C.dropped(rows, asked, lists)
     return out
 
 
+def _in_tiles(now: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """(b, x, ys), written: what _tile() tells of all pairs of tiles of a group.
+
+    A tile is sent to each SPREAD others of its group once, and its pairs with them are made within the task: what is
+    moved are parts / SPREAD copies of a tile's row, and no pair of documents is a row.
+    """
+    tiles = _tiles(now, tokens)
+    salts = F.ceil(F.col("parts") / SPREAD)
+    left = tiles.select("token", F.col("part").alias("i"), "rows", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    right = tiles.select("token", F.col("part").alias("j"), F.col("rows").alias("other"), F.pmod(F.col("part"), salts).alias("salt"))
+    pairs = left.join(right, ["token", "salt"]).where("i <= j")
+    found = pairs.select("token", "i", "j", F.xxhash64("token", "i", "j").alias("b"), "rows", F.when(F.col("i") < F.col("j"), F.col("other")).alias("other"))
+    out = C.staged(found.mapInArrow(_tile(percent), "b long, x long, ys array<long>"), "tiled")
+    C.dropped(tiles)
+    return out
+
+
 def _partner() -> Column:
     return F.struct("doc", "n", "l", "pos", "component")
 
@@ -405,6 +451,19 @@ def _pivot(salt: str) -> Column:
 ROW_KEY = "_row_key"
 
 
+def _one_document(mine: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, doc: the smallest id of their set's class) and links (x, y) of the classes that a repeated id stands in.
+
+    A row without shingles whose id has others with some gets the first of their classes.
+    """
+    again = C.staged(mine.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("doc").alias("first")).where("rows > 1 and first is not null").select("doc_id", "first"), "again")
+    if again.isEmpty():
+        return mine, again.select(F.col("first").alias("x"), F.col("first").alias("y"))
+    known = C.join_sized(mine, again, "doc_id", "left", F.lit(24))
+    links = known.where("doc <> first").select(F.col("first").alias("x"), F.col("doc").alias("y")).distinct()
+    return known.select("doc_id", "n", F.coalesce("doc", "first").alias("doc")), links
+
+
 def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     C.arrow_rows(docs.sparkSession)
@@ -412,6 +471,7 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     rows = C.staged(texts.mapInArrow(_described(k), "doc_id long, n long, set_a long, set_b long, slice int, counts binary"), "sets")
     sets = rows.where("slice is null").select("doc_id", "n", "set_a", "set_b")
     classes = C.staged(sets.where("n > 0 and doc_id is not null").groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("doc")), "classes")
+    mine, same = _one_document(C.staged(sets.join(classes, ["set_a", "set_b", "n"], "left").select("doc_id", "n", "doc"), "mine"))
     first = C.staged(classes.select(F.col("doc").alias("doc_id")).distinct(), "first")
     known = C.join_sized(texts, first, "doc_id", "left_semi", F.lit(16))
     listed = C.staged(known.mapInArrow(_prefixes(k, percent, sketch_of(rows)), "doc long, n int, l int, band int, tokens array<long>"), "prefixes")
@@ -426,7 +486,7 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     found = _labelled(shared, None)
     found = found.join(found.groupBy("token").agg(_pivot("0").alias("p")), "token")
     seen = C.staged(_candidates(found, percent), "found")
-    links, seen = verify(C.staged(_blocks(seen), "blocks"), texts, k, percent), seen.select("x", "y")
+    links, seen = _verified(C.staged(_blocks(seen), "blocks"), texts, k, percent), seen.select("x", "y")
     label = components(links, LABEL_ROUNDS)
 
     # groups that are of one component now stay so: later steps leave them out
@@ -454,14 +514,15 @@ def linked(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
             few = C.join_sized(now, tokens.where(f"rows <= {MANY}").select("token"), "token", "left_semi", F.lit(16))
             met = few.where("short").join(few.where("not up").select("token", _partner().alias("p")), "token").where("n < p.n or n = p.n and doc < p.doc")
         found = C.staged(_candidates(met, percent).join(seen, ["x", "y"], "left_anti"), "found")
-        pairs = C.staged(_blocks(found), "blocks")
+        links, seen = links.union(_verified(C.staged(_blocks(found), "blocks"), texts, k, percent)), seen.union(found.select("x", "y"))
         if last:
-            pairs = pairs.unionByName(_in_tiles(now, tokens, seen, percent))
-        links, seen = links.union(verify(pairs, texts, k, percent)), seen.union(found.select("x", "y"))
+            tiled = _in_tiles(now, tokens, percent)
+            held = tiled.where("x is null").select("b", F.explode("ys").alias("doc_id"))
+            links = links.union(verify(tiled.where("x is not null"), held, texts, k, percent)).union(same)
         label = components(links, None if last else LABEL_ROUNDS)
         if last:
             break
-    own = sets.join(classes, ["set_a", "set_b", "n"], "left").join(label.withColumnsRenamed({"node": "doc"}), "doc", "left")
+    own = mine.join(label.withColumnsRenamed({"node": "doc"}), "doc", "left")
     return own.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc", "doc_id")).alias("component_id"))
 
 
