@@ -9,7 +9,11 @@ from wingbeat.plans import catalog
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
 #: One of each family here; all of them are compared by the driver.
-NAMES = ["prepare_training_set", "select_task_splits", "weighted_sample", "mix_pairs", "inject_nocall", "add_noise", "scale_features_robust", "mel_features", "kfold_by_file", "tail_split_by_site", "average_precision", "auroc_macro", "metric_set", "read_vocabulary", "read_code_list", "write_codes", "write_metrics", "write_read_prepared", "stream_explode_events", "stream_metric_counts"]
+NAMES = [
+    "prepare_training_set", "prepare_multilabel", "select_task_splits", "weighted_sample", "mix_pairs", "inject_nocall", "add_noise", "scale_features_robust", "mel_features", "cluster_events", "cluster_events_fixed",
+    "split_by_file", "kfold_by_file", "kfold_by_site", "tail_split", "tail_split_by_site", "train_test_split", "average_precision", "auroc_macro", "metric_set", "metric_states", "map_codes", "known_codes", "unmatched_codes", "class_mask", "restrict_logits",
+    "event_rows", "event_rows_sql", "level_events", "read_vocabulary", "read_code_list", "write_codes", "write_metrics", "write_read_prepared", "list_noise_files", "stream_explode_events", "stream_metric_counts", "stream_metric_states",
+]
 
 
 @pytest.fixture(scope="module")

@@ -295,7 +295,7 @@ def _knees(nearest: DataFrame) -> DataFrame:
     rows, bucket = in_ranges(counts, "value", ["recording"])
     ranked = running(rows, bucket, [F.col("value")], {"upto": F.col("c")}, by=["recording"]).drop("_cuts")
     ends = counts.groupBy("recording").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.sum("c").alias("n"))
-    gap = (F.col("upto") - 1) / (F.col("n") - 1) - F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low"))
+    gap = F.when(F.col("upto") == F.col("n"), 1.0).otherwise((F.col("upto") - 1) * (F.lit(1.0) / (F.col("n") - 1))) - F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low"))
     best = ranked.join(ends, "recording").withColumn("gap", gap).groupBy("recording").agg(F.max(F.struct("gap", (-F.col("value")).alias("neg"))).alias("b"), F.first("high").alias("high"))
     at = F.when(F.col("b.gap") > 0, -F.col("b.neg"))
     return best.select("recording", F.when(at > 0, at).otherwise(F.col("high")).alias("eps"))

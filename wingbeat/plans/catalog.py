@@ -760,7 +760,23 @@ def scale_features_robust(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("event_id", *[F.round(c, 5).alias(c) for c in ("s_scaled", "e_scaled", "t_scaled")])
 
 
-@query("cluster_events")
+_AUTO = f"""WITH RECURSIVE {_EV}, p AS (SELECT filepath AS recording, pos AS roi_no, s, e FROM ev),
+ d AS (SELECT a.recording, a.roi_no AS x, b.roi_no AS y, sqrt((a.s - b.s) * (a.s - b.s) + (a.e - b.e) * (a.e - b.e)) AS d FROM p a JOIN p b ON a.recording = b.recording),
+ r AS (SELECT recording, y, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY recording) AS n, min(y) OVER (PARTITION BY recording) AS low, max(y) OVER (PARTITION BY recording) AS high
+  FROM (SELECT recording, x, min(d) AS y FROM d WHERE x <> y GROUP BY 1, 2) q WINDOW w AS (PARTITION BY recording ORDER BY y)),
+ g AS (SELECT *, CASE WHEN high <= low THEN 0 ELSE CASE WHEN i = n - 1 THEN 1.0::DOUBLE ELSE i * (1.0::DOUBLE / (n - 1)) END - (y - low) / (high - low) END AS gap FROM r WHERE n >= 3),
+ k AS (SELECT recording, greatest(2, round_even(0.05 * n, 0)) AS least, CASE WHEN gap > 0 AND y > 0 THEN y ELSE high END AS eps FROM (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY gap DESC, i) AS place FROM g) q WHERE place = 1),
+ near AS (SELECT d.recording, x, y, least FROM d JOIN k ON d.recording = k.recording AND d <= eps), core AS (SELECT recording, x FROM near GROUP BY recording, x, least HAVING count(*) >= least),
+ links AS (SELECT near.recording, near.x, near.y FROM near JOIN core a ON near.recording = a.recording AND near.x = a.x JOIN core b ON near.recording = b.recording AND near.y = b.x),
+ reach AS (SELECT recording, x, x AS y FROM core UNION SELECT r.recording, r.x, l.y FROM reach r JOIN links l ON r.recording = l.recording AND r.y = l.x),
+ numbered AS (SELECT recording, x, dense_rank() OVER (PARTITION BY recording ORDER BY c) - 1 AS cluster FROM (SELECT recording, x, min(y) AS c FROM reach GROUP BY 1, 2) q),
+ told AS (SELECT near.recording, near.x, min(cluster) AS cluster FROM near JOIN numbered m ON near.recording = m.recording AND near.y = m.x GROUP BY 1, 2),
+ o AS (SELECT p.recording, roi_no, coalesce(cluster, -1)::INT AS cluster FROM p LEFT JOIN told ON told.recording = p.recording AND told.x = p.roi_no),
+ best AS (SELECT recording, cluster, row_number() OVER (PARTITION BY recording ORDER BY count(*) DESC, cluster) AS r FROM o WHERE cluster >= 0 GROUP BY 1, 2)
+ SELECT o.recording, roi_no, o.cluster, (b.cluster IS NOT NULL AND b.cluster = o.cluster)::INT AS keep_label FROM o LEFT JOIN best b ON o.recording = b.recording AND b.r = 1"""
+
+
+@query("cluster_events", _AUTO)
 def cluster_events(spark: SparkSession, sf: str) -> DataFrame:
     rows = X.ev(spark, sf).select(F.col("filepath").alias("recording"), F.col("pos").alias("roi_no"), "s", "e")
     return cluster.cluster_events(rows, ["s", "e"])
