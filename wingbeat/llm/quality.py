@@ -11,7 +11,7 @@ hash); scoring is one scan of all whole texts without a shuffle.
 
 Defined results: null and empty texts have no indicator and get the bias' score; a repeated doc_id is
 scored row by row; labels that are null are not learnt from, an id labelled both ways counts as 1;
-with no label of one class all scores are the share of class 1 (0.5 without labels). Extra columns
+with no label of one class all scores are next to the share of class 1 (within 0.01; 0.5 without labels). Extra columns
 of the tables are ignored.
 """
 

@@ -11,7 +11,7 @@ from. Scoring is one scan of all whole texts without a shuffle.
 
 Defined results: null and empty texts have no indicator and get the score of the bias; a repeated
 doc_id is scored row by row; an id labelled both ways counts as toxic; null labels are not learnt
-from; without a toxic example every score is 0. Extra columns are ignored.
+from; without a toxic example every score is next to 0 (under 1e-6). Extra columns are ignored.
 """
 
 from __future__ import annotations
