@@ -48,8 +48,8 @@ def _place(cuts: Column, value: Column) -> Column:
 def in_ranges(df: DataFrame, column: str, by: list[str] | None = None, descending: bool = False) -> tuple[DataFrame, Column]:
     """df with the cuts of each group's values (_cuts), and the bucket of a row: ranges of a number, from a quantile sketch of each group."""
     by = by or []
-    cuts = F.percentile_approx(column, F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)]), F.lit(10 * PARTS))
-    cuts = F.when(F.count(F.lit(1)) > RANGE_ROWS, F.array_distinct(cuts)).alias("_cuts")
+    shares = ", ".join(f"{i / PARTS}D" for i in range(1, PARTS))
+    cuts = F.expr(f"CASE WHEN count(1) > {RANGE_ROWS} THEN array_distinct(percentile_approx(`{column}`, array({shares}), {10 * PARTS})) END AS _cuts")
     if by:
         rows = join_null_safe(df, df.groupBy(*by).agg(cuts), by)
     else:
