@@ -125,3 +125,22 @@ def test_odd_rows(spark):
     kept = decontaminate.without_leaks(df, bench)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {None, 2, 3, *range(10, 30)}
     assert decontaminate.leaks(df.limit(0), bench).count() == decontaminate.leaks(df, bench.limit(0)).count() == 0
+
+
+def test_blocks_and_scans(spark, monkeypatch):
+    """Items of many blocks, of which few are kept ready, in one scan and in several: the same as in one block."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(4000)]
+    items = [(i, " ".join(_text(rng, 36, words)) + ". " + " ".join(_text(rng, 6, words)) + ".") for i in range(60)] + [(60, "is of the a to in the of is a to the")]
+    docs = [(i, " ".join([*_text(rng, 80, words), *(items[i % 61][1].split() if i % 2 else []), *_text(rng, 40, words)])) for i in range(240)]
+    docs, bench = spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)
+
+    def pairs(**how):
+        return sorted((r.doc_id, r.item_id, round(r.lcs, 6)) for r in decontaminate.leaks(docs, bench, **how).collect())
+
+    whole = pairs()
+    assert [p[:2] for p in whole] == [(i, i % 61) for i in range(1, 240, 2)]
+    assert [p[:2] for p in pairs(scan_bytes=4000)] == [p[:2] for p in whole]  # other words are projected: other cosines
+    cut = decontaminate._blocks
+    monkeypatch.setattr(decontaminate, "_blocks", lambda rows, block: cut(rows, 4))  # more than a worker keeps
+    assert pairs() == whole

@@ -14,18 +14,20 @@ its answer (its last sentence) must stand there too.
 
 Items of more than 2 x WIDE words are looked for by each of their passages too.
 
-The benchmark is handled in blocks of about BLOCK items and passages of long ones, each a scan of the documents, so what is sent to the
-executors has a fixed size. Items and documents never form all pairs in a join.
+One scan of the documents looks for all items, of which a worker has KEPT blocks of about BLOCK items and passages of long
+ones ready at once; a benchmark of more than SCAN_BYTES takes a scan for each of these, so what is sent to the driver and
+the executors has a fixed size. Items and documents never form all pairs in a join.
 
 Defined results: null and empty texts and items match nothing; items of fewer than 4 content words are compared
 by all their words wherever one of their rarest stands, without a cosine (given as 0), and match nothing if these
-are fewer than 8; rows that repeat a doc_id or item_id give one row for each pair found; an empty table
+are fewer than 8; rows that repeat a doc_id, and different texts of an item_id, give one row for each pair found; an empty table
 on either side gives an empty result. Extra columns are ignored by leaks() and kept by without_leaks().
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +56,13 @@ COSINE, LCS_SURE, LCS_LEAST = 0.35, 0.8, 0.6
 AROUND = 48
 #: Cosines held at once.
 CELLS = 1 << 23
+#: Content words below which an item is compared by all its words.
+CONTENT_LEAST = 4
+#: Bytes of items that one scan looks for, and blocks of items that a worker keeps ready.
+SCAN_BYTES, KEPT = 32 << 20, 8
+FOUND = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+#: Documents that one task of the product takes, where there are more than tasks by cores would take.
+TASK_DOCS = 250_000
 
 
 def word_hashes(chunk: K.Chunk) -> np.ndarray:
@@ -169,10 +178,10 @@ def _gram(sketch: Sketch, weight: np.ndarray, common: np.ndarray, size: int) ->
     return run
 
 
-def gram(texts: DataFrame, sketch: Sketch, weight: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
-    """A'(A S) over the passages of all texts, in one pass, and their number."""
+def gram(texts: DataFrame, sketch: Sketch, weight: np.ndarray, common: np.ndarray, n: int = 0) -> tuple[np.ndarray, int]:
+    """A'(A S) over the passages of all texts (about n), in one pass, and their number."""
     size = TERMS * sketch.size + SLICES
-    tasks = max(8, texts.sparkSession.sparkContext.defaultParallelism)  # each sends an array of fixed size
+    tasks = max(8, texts.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_DOCS))  # each sends an array of fixed size
     parts = texts.select("text").coalesce(tasks).mapInArrow(_gram(sketch, weight, common, size), "slice int, part binary")
     total = unpacked_sum(parts, size, np.float32, -(-tasks // 16))
     return total[: TERMS * sketch.size].reshape(TERMS, sketch.size).astype(np.float64), int(total[TERMS * sketch.size])
@@ -195,7 +204,7 @@ class Item:
 
     def __init__(self, item_id: int, words: np.ndarray, answer: np.ndarray, common: np.ndarray):
         self.length, keep = len(words), ~among(words, common)
-        self.all_words = int(keep.sum()) < 4  # too few to tell
+        self.all_words = int(keep.sum()) < CONTENT_LEAST  # too few to tell
         self.id, words = item_id, words if self.all_words else words[keep]
         answer = answer[~among(answer, common)]
         self.n, self.answer, self.places = len(words), set(answer.tolist()), {}
@@ -256,101 +265,145 @@ def _whole(items: list[Item], seen: dict[int, int]) -> Callable:
     return run
 
 
-def _found(items: list[Item], vectors: np.ndarray, of: np.ndarray, space: np.ndarray, seen: dict[int, int]) -> Callable:
-    """of: the item of each vector; space: the latent vectors of the terms, weights included; seen: the documents of the common words.
+class Passages:
+    """A chunk's words, those among them that some item has (hits), and its passages."""
 
-    Only content words that some item has are projected: others can't be part of a common subsequence.
+    def __init__(self, chunk: K.Chunk, known: np.ndarray):
+        self.chunk, self.word = chunk, word_hashes(chunk)
+        self.hits = np.flatnonzero(among(self.word, known))
+        self.inside = np.arange(len(self.word)) - np.repeat(chunk.bounds[:-1], chunk.counts)
+        self.starts = np.flatnonzero(self.inside % STEP == 0)
+        self.doc = np.searchsorted(chunk.bounds, self.starts, "right") - 1
+        end = np.minimum(self.starts + WIDE, chunk.bounds[self.doc + 1])
+        self.own, self.own_end = np.searchsorted(self.hits, self.starts), np.searchsorted(self.hits, end)
+
+
+def _search(items: list[Item], vectors: np.ndarray, of: np.ndarray, projected: np.ndarray, seen: dict[int, int]) -> Callable:
+    """Search for a block's items: (document of the chunk, item_id, cosine, share) of each one found.
+
+    of: the item of each vector; projected: the latent vectors of the terms, weights included; seen: the documents of the common words.
     """
     content = np.array([not x.all_words for x in items], bool)
     short = [x for x in items if x.all_words and x.n >= ALL_LEAST]
     vectors, of = vectors[content[of]], (np.cumsum(content) - 1)[of[content[of]]]
     items = [x for x in items if not x.all_words]
     whole = _whole(short, seen)
-    known = np.array(sorted({w for x in items for w in x.places}), K.U64)
     need = np.array([max(1, int(np.ceil(LCS_LEAST * x.n))) for x in items])
     # content words of a passage of the item, and of the item where it's shorter
     own_need = 0.4 * np.array([min(k, WIDE * x.n / x.length) for k, x in zip(need, items, strict=True)])
     around = np.array([max(AROUND, x.length) for x in items])
     apart = np.array([max(STEP, x.length // 4) for x in items])  # of the finds within so many words one is compared, with as much more text
     around += np.where(apart > STEP, apart, 0)
-    least = float(own_need.min(initial=1 << 30))
+    least = max(float(own_need.min(initial=1 << 30)), 1)
+
+    def run(at: Passages) -> Iterator[tuple[int, int, float, float]]:
+        chunk, word, hits = at.chunk, at.word, at.hits
+        best: dict[tuple[int, int], tuple[float, float]] = {}
+        if len(word) and short:
+            for d, j, s in whole(chunk, word):
+                if s > best.get((d, len(items) + j), (0.0, 0.0))[0]:
+                    best[d, len(items) + j] = s, 0.0
+        mine = at.own_end - at.own
+        some = np.flatnonzero(mine >= least)
+        if len(some):
+            total = np.zeros((len(hits) + 1, projected.shape[1]))
+            np.cumsum(projected[term(word[hits])], axis=0, out=total[1:])
+        rows = max(1, CELLS // max(len(vectors), 1))
+        for first_row in range(0, len(some), rows):
+            p = some[first_row : first_row + rows]
+            passage = (total[at.own_end[p]] - total[at.own[p]]).astype(np.float32)
+            norm = np.sqrt(np.einsum("ij,ij->i", passage, passage))
+            norm[norm < 1e-6] = np.inf
+            close = (passage @ vectors.T) / norm[:, None]
+            i, v = np.nonzero(close >= COSINE)
+            cosine, i, j = close[i, v], p[i], of[v]
+            fit = mine[i] >= own_need[j]
+            cosine, i, j = cosine[fit], i[fit], j[fit]
+            doc, start = at.doc[i], at.starts[i]
+            low, high = np.maximum(start - around[j], chunk.bounds[doc]), np.minimum(start + WIDE + around[j], chunk.bounds[doc + 1])
+            first, last = np.searchsorted(hits, low), np.searchsorted(hits, high)
+            fit = np.flatnonzero(last - first >= need[j])
+            fit = fit[np.argsort(-cosine[fit], kind="stable")]
+            _, once = np.unique(np.stack([doc[fit], j[fit], at.inside[start[fit]] // apart[j[fit]]]), axis=1, return_index=True)
+            for k in fit[once].tolist():
+                key = int(doc[k]), int(j[k])
+                if (s := items[key[1]].leaks(word[hits[first[k] : last[k]]].tolist())) > best.get(key, (0.0, 0.0))[0]:
+                    best[key] = s, float(cosine[k])
+        for (d, j), (s, cosine) in best.items():
+            yield d, (items + short)[j].id, cosine, s
+
+    return run
+
+
+def _found(blocks: list[list[tuple[int, str]]], common: np.ndarray, known: np.ndarray, projected: np.ndarray, seen: dict[int, int]) -> Callable:
+    """One scan for all blocks of (item_id, text): words are hashed and looked up once for all of them.
+
+    A worker makes a block ready when it first needs it and keeps the last KEPT ones. Only content words that some item
+    has (known) are projected: others can't be part of a common subsequence.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = lru_cache(KEPT)(lambda k: _search(*_items(blocks[k], common, projected), projected, seen))
+        order = list(range(len(blocks)))
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            best: dict[tuple[int, int], tuple[float, float]] = {}
-            for chunk in K.chunks(batch.column("text")):
-                word = word_hashes(chunk)
-                if len(word) and short:
-                    for d, j, s in whole(chunk, word):
-                        if s > best.get((chunk.first + d, len(items) + j), (0.0, 0.0))[0]:
-                            best[chunk.first + d, len(items) + j] = s, 0.0
-                if not len(word) or not len(known):
-                    continue
-                hits = np.flatnonzero(among(word, known))
-                inside = np.arange(len(word)) - np.repeat(chunk.bounds[:-1], chunk.counts)
-                starts = np.flatnonzero(inside % STEP == 0)
-                doc = np.searchsorted(chunk.bounds, starts, "right") - 1
-                end = np.minimum(starts + WIDE, chunk.bounds[doc + 1])
-                own, own_end = np.searchsorted(hits, starts), np.searchsorted(hits, end)
-                mine = own_end - own
-                some = np.flatnonzero(mine >= max(least, 1))
-                if not len(some):
-                    continue
-                total = np.zeros((len(hits) + 1, space.shape[1]))
-                np.cumsum(space[term(word[hits])], axis=0, out=total[1:])
-                rows = max(1, CELLS // len(vectors))
-                for at in range(0, len(some), rows):
-                    p = some[at : at + rows]
-                    passage = (total[own_end[p]] - total[own[p]]).astype(np.float32)
-                    norm = np.sqrt(np.einsum("ij,ij->i", passage, passage))
-                    norm[norm < 1e-6] = np.inf
-                    close = (passage @ vectors.T) / norm[:, None]
-                    i, v = np.nonzero(close >= COSINE)
-                    cosine, i, j = close[i, v], p[i], of[v]
-                    fit = mine[i] >= own_need[j]
-                    cosine, i, j = cosine[fit], i[fit], j[fit]
-                    low, high = np.maximum(starts[i] - around[j], chunk.bounds[doc[i]]), np.minimum(starts[i] + WIDE + around[j], chunk.bounds[doc[i] + 1])
-                    first, last = np.searchsorted(hits, low), np.searchsorted(hits, high)
-                    fit = np.flatnonzero(last - first >= need[j])
-                    fit = fit[np.argsort(-cosine[fit], kind="stable")]
-                    _, once = np.unique(np.stack([doc[i[fit]], j[fit], inside[starts[i[fit]]] // apart[j[fit]]]), axis=1, return_index=True)
-                    for k in fit[once].tolist():
-                        key = chunk.first + int(doc[i[k]]), int(j[k])
-                        if (s := items[key[1]].leaks(word[hits[first[k] : last[k]]].tolist())) > best.get(key, (0.0, 0.0))[0]:
-                            best[key] = s, float(cosine[k])
-            if best:
-                yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d, _ in best], pa.int64()), pa.array([(items + short)[j].id for _, j in best], pa.int64()), pa.array([x[1] for x in best.values()]), pa.array([x[0] for x in best.values()])], names=["doc_id", "item_id", "cosine", "lcs"])
+            passages = [Passages(c, known) for c in K.chunks(batch.column("text"))]
+            for k in order:
+                found = [(ids[at.chunk.first + d], *x) for at in passages for d, *x in ready(k)(at)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), FOUND, strict=True)], names=["doc_id", "item_id", "cosine", "lcs"])
+            order.reverse()  # begins with the blocks that are still kept
 
     return run
 
 
-def _items(rows: list, common: np.ndarray, weight: np.ndarray, space: np.ndarray) -> tuple[list[Item], np.ndarray, np.ndarray]:
+def _items(rows: list[tuple[int, str]], common: np.ndarray, projected: np.ndarray) -> tuple[list[Item], np.ndarray, np.ndarray]:
     """The block's items, and latent unit vectors: of each, and of the passages of long ones; with the item of each vector."""
     items, vectors, of = [], [], []
-    for r in rows:
-        (chunk,) = K.chunks(pa.array([r["text"]]))
+    for item_id, text in rows:
+        (chunk,) = K.chunks(pa.array([text]))
         words = word_hashes(chunk)
         ends = [e for e, last in zip(chunk.ends, chunk.data[chunk.ends - 1], strict=True) if last in b".!?"]
         after = ends[-2] if len(ends) > 1 else 0
         if len(words):
-            items.append(Item(r["item_id"], words, words[chunk.starts >= after], common))
+            items.append(Item(item_id, words, words[chunk.starts >= after], common))
             for part in [words, *([words[i : i + WIDE] for i in range(0, len(words), WIDE)] if len(words) > 2 * WIDE else [])]:
-                t = term(part[~among(part, common)])
-                v = (space[t] * weight[t, None]).sum(axis=0)
+                v = projected[term(part[~among(part, common)])].sum(axis=0)
                 vectors.append(v / (np.linalg.norm(v) or np.inf))
                 of.append(len(items) - 1)
-    return items, np.array(vectors, np.float32).reshape(len(vectors), space.shape[1]), np.array(of, np.int64)
+    return items, np.array(vectors, np.float32).reshape(len(vectors), projected.shape[1]), np.array(of, np.int64)
+
+
+def _known(rows: list[tuple[int, str]], common: np.ndarray) -> np.ndarray:
+    """The content words, sorted, of the items that have enough of them to be compared by these."""
+    out = [np.zeros(0, K.U64)]
+    for chunk in K.chunks(pa.array([text for _, text in rows], pa.string())):
+        word, doc = word_hashes(chunk), chunk.doc()
+        keep = ~among(word, common)
+        out.append(np.unique(word[keep & (np.bincount(doc[keep], minlength=chunk.n) >= CONTENT_LEAST)[doc]]))
+    return np.unique(np.concatenate(out))
+
+
+def _blocks(rows: list[tuple[int, str]], block: int) -> list[list[tuple[int, str]]]:
+    """Runs of rows of about `block` vectors each."""
+    out, room = [], 0
+    for item_id, text in rows:
+        words = len(text.split())
+        if room <= 0:
+            out.append([])
+            room = block
+        out[-1].append((item_id, text))
+        room -= 1 + (words // WIDE if words > 2 * WIDE else 0)
+    return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, sample_docs: int = SAMPLE_DOCS, scan_bytes: int = SCAN_BYTES) -> DataFrame:
     """(doc_id, item_id, cosine, lcs): the benchmark items found in documents."""
     spark = docs.sparkSession
     C.arrow_rows(spark)
     texts = C.rows_of(docs, {"doc_id": "long", "text": "string"}).where("text is not null")
     items = C.rows_of(benchmark, {"item_id": "long", "text": "string"}).where("text is not null")
-    words = F.size(F.split("text", r"\s+"))
-    n_items, n_vectors = items.agg(F.count("*"), F.coalesce(F.sum(F.when(words > 2 * WIDE, 1 + words / WIDE).otherwise(1)), F.lit(0.0))).first()
+    n_items, n_bytes = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()
     frequent = frequent_words(items)
     counts, n, exact = document_counts(texts, frequent)
     everywhere = exact > max(COMMON * n, 2)
@@ -359,15 +412,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, sample_docs
     weight[(counts > max(COMMON * n, 2)) & (document_counts(items)[0] == 0)] = 0
     sketch = Sketch(RANK + SPARE)
     whole, fitted = 0.09 * min(1.0, sample_docs / max(n, 1)), min(1.0, block / max(n_items, 1))  # how much a passage of either counts
-    product = whole * gram(texts, sketch, weight, common)[0] + fitted * gram(items, sketch, weight, common)[0]
-    space = latent_space(product, sketch)
-    projected = space * weight[:, None]
+    product = whole * gram(texts, sketch, weight, common, n)[0] + fitted * gram(items, sketch, weight, common, n_items)[0]
+    projected = latent_space(product, sketch) * weight[:, None]
     out = None
-    blocks = max(1, int(-(-n_vectors // block)))
-    for k in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        listed, vectors, of = _items(mine.collect(), common, weight, space)  # about `block` vectors
-        found = texts.mapInArrow(_found(listed, vectors, of, projected, seen), "doc_id long, item_id long, cosine double, lcs double")
+    scans = max(1, -(-n_bytes // scan_bytes))
+    for k in range(scans):
+        mine = items.distinct().where(F.pmod(F.xxhash64("item_id", "text"), F.lit(scans)) == k)
+        rows = [(r["item_id"], r["text"]) for r in mine.collect()]  # about scan_bytes
+        found = texts.mapInArrow(_found(_blocks(rows, block), common, _known(rows, common), projected, seen), "doc_id long, item_id long, cosine double, lcs double")
         out = found if out is None else out.unionByName(found)
     return out
 
