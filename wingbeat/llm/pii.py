@@ -1,14 +1,14 @@
 """Personal data: weak-supervision aggregation, in DataFrame operations alone.
 
-Every text gives candidate spans of four kinds. Five labelers vote on each: the strict rule, a format
-regex, a gazetteer (top-level domains, card issuers, country codes, address ranges), the words
+Every text gives candidate spans of four kinds. Five labelers vote on each: the rule (the strict one, or on other forms
+the same on what they stand for), a format regex, a gazetteer (top-level domains, card issuers, country codes, address ranges), the words
 around it, and its borders. Expectation-maximisation over the counts of vote patterns estimates each
 labeler's hit and false-alarm rate by kind without any label (Dawid and Skene 1979); the patterns'
 posteriors then train a logistic span classifier on the span's own features. A candidate is reported if
 the strict rule holds (such spans always stay) or the classifier gives it 0.5 or more and it doesn't
 overlap a strict one.
 
-Only counts by (kind, votes, features) reach the driver: at most 4 * 2^5 * 2^5 rows, whatever the
+Only counts by (kind, votes, features) reach the driver: at most 4 * 2^5 * 2^7 rows, whatever the
 input. Texts are read once; candidates are staged, for mask() with the rows that it returns. Folds over a text's spans
 run in runs of at most RUN, so the work on a text follows its length and its number of spans.
 
@@ -38,22 +38,31 @@ STRICT = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Further candidates: written-out addresses, numbers without a plus sign.
+#: Further candidates: written-out addresses and those with other letters, addresses with guarded dots or of version 6, card
+#: numbers with other marks between their groups, and numbers without a plus sign as several countries write them.
+_AT, _DOT = r"(?: at | ?\(at\) ?| ?\[at\] ?)", r"(?: dot | ?\(dot\) ?| ?\[dot\] ?)"
+_GUARDED = r"(?: ?\[\.\] ?| ?\(\.\) ?| ?\[dot\] ?| ?\(dot\) ?)"
+_HEX = "[0-9A-Fa-f]{1,4}"
 LOOSE = {
-    "email": rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}(?: at | ?\(at\) ?| ?\[at\] ?)[A-Za-z0-9-]+(?:(?: dot | ?\(dot\) ?| ?\[dot\] ?)[A-Za-z0-9-]+)+",
-    "phone": r"(?<![0-9A-Za-z])(?:00[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
+    "email": rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+"
+    r"|(?<![\p{L}\p{N}._%+-])(?=[A-Za-z0-9._%+@-]{0,120}+[^\x00-\x7F])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
+    "ip": rf"(?<![0-9.])[0-9]{{1,3}}(?:{_GUARDED}[0-9]{{1,3}}){{3}}(?![0-9])"
+    rf"|(?<![0-9A-Za-z:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![0-9A-Za-z:])",
+    "card": r"(?<![0-9./_])(?:[0-9]{4}(?:[./_][0-9]{4}){3}|[0-9]{4}[./_][0-9]{6}[./_][0-9]{5})(?![0-9./_])",
+    "phone": r"(?<![0-9A-Za-z+.])(?:(?:00[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+    r"|0[1-9](?:[ .-][0-9]{2}){4}|[6-9][0-9]{2}(?:[ .-][0-9]{3}){2}|0[0-9]{2}[ -][0-9]{4}[ -][0-9]{4}|0[1-9][0-9]{1,3}[ /-][0-9]{6,8})(?![0-9A-Za-z])",
 }
 FORMAT = {
-    "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@([A-Za-z0-9][A-Za-z0-9-]*\.)+[A-Za-z]{2,}$",
-    "ip": r"^(0|[1-9][0-9]{0,2})(\.(0|[1-9][0-9]{0,2})){3}$",
+    "email": r"^[\p{L}\p{N}][\p{L}\p{N}._%+-]*@([\p{L}\p{N}][\p{L}\p{N}-]*\.)+\p{L}{2,}$",
+    "ip": rf"^(0|[1-9][0-9]{{0,2}})(\.(0|[1-9][0-9]{{0,2}})){{3}}$|^{_HEX}(:{_HEX}){{7}}$|^(?=.*[0-9])(?=(?:[^:]*:){{3}})(?!(?:[^:]*:){{8}}){_HEX}(:{_HEX})*::{_HEX}(:{_HEX})*$",
     "card": r"^([0-9]{14,16}|[0-9]{4}([ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$",
-    "phone": r"^(\+[0-9]{1,3}|00[0-9]{1,3})?[ .-]?(\([0-9]{2,4}\)|[0-9]{2,4})([ .-]?[0-9]{2,4}){2,4}$",
+    "phone": r"^(\+[0-9]{1,3}|00[0-9]{1,3})?[ .-]?(\([0-9]{2,4}\)|[0-9]{2,5})([ ./-]?[0-9]{2,8}){1,4}$",
 }
 GAZETTEER = {
-    "email": r"(?i)[. ](com|org|net|edu|gov|info|biz|io|eu|uk|de|fr|es|it|nl|ch|at|us|ca|au|jp|cn|in|br|ru)$",
-    "ip": r"^(?!0|127\.|255\.)[0-9.]+$",
+    "email": r"(?i)[. ]([a-z]{2}|com|org|net|edu|gov|mil|int|info|biz|name|pro|app|dev|cloud|online|shop|site|store|tech|blog|email|xyz)$",
+    "ip": r"^(?!0\.|127\.|255\.)[0-9.]+$|(?i)^(2[0-9a-f]{3}|3[0-9a-f]{3}|f[cd][0-9a-f]{2}|fe80):",
     "card": r"^(4|5[1-5]|2[2-7]|3[47]|30[0-5]|36|38|6011|65|35)",
-    "phone": r"^(\+|00)(1|7|20|27|3[0-9]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
+    "phone": r"^(\+|00)(1|7|20|27|3[0-9]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])|^0[1-9]|^\(?[2-9][0-9]{2}\)? ?[0-9]{3}[ .-][0-9]{4}$",
 }
 CONTEXT = {
     "email": r"(?i)(mail|contact|write|from|to|an|a|por|pour)\W*$",
@@ -66,7 +75,7 @@ AROUND, RUN = 24, 64
 THRESHOLD = 0.5
 _SPAN = "struct<start:int,end:int,value:string,before:string,after:string>"
 _FOUND = "array<struct<kind:string,start:int,end:int,strict:boolean,votes:int,features:int>>"
-LABELERS, FEATURES = 5, 5
+LABELERS, FEATURES = 5, 7
 
 
 def _let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -142,16 +151,33 @@ def _bits(*flags: Column) -> Column:
     return out.cast("int")
 
 
-def _told(kind: str, x: Column, strict: Column) -> Column:
-    """A candidate with its votes and features."""
+#: How a candidate's marks are put into the form that the rules are about.
+PLAIN = {"email": ((_AT, "@"), (_DOT, ".")), "ip": ((_GUARDED, "."),), "card": (("[./_]", " "),), "phone": ()}
+#: Written-out forms that prose can hold by chance: "met at noon dot com".
+_PROSE = r" at | dot "
+
+
+def _told(kind: str, x: Column, strict: Column | None) -> Column:
+    """A candidate with its votes and features; strict: of one found by the strict pattern, whether its rule holds."""
     v, before, after, kind_no = x["value"], x["before"], x["after"], KINDS.index(kind)
-    if kind == "email":  # written-out forms are judged as what they stand for
-        v = F.regexp_replace(F.regexp_replace(v, r" at | ?\(at\) ?| ?\[at\] ?", "@"), r" dot | ?\(dot\) ?| ?\[dot\] ?", ".")
+    prose = v.rlike(_PROSE)
+    for mark, plain in PLAIN[kind]:  # judged as what they stand for
+        v = F.regexp_replace(v, mark, plain)
     digits = F.length(F.regexp_replace(v, "[^0-9]", ""))
+    formed, listed, told = v.rlike(FORMAT[kind]), F.regexp_replace(v, "^[ (]+", "").rlike(GAZETTEER[kind]), before.rlike(CONTEXT[kind])
+    if strict is not None:
+        rule = strict
+    elif kind == "phone":  # three groups of digits alone are also sums
+        rule = v.rlike(r"^[0(]") & digits.between(9, 15)
+    elif kind == "ip":
+        rule = formed & (v.contains(":") | holds("ip", v))
+    else:
+        rule = formed & ~prose & holds(kind, v)
     borders = ~before.rlike(r"[\p{L}\p{N}_]$") & ~after.rlike(r"[\p{L}\p{N}_]")
-    votes = _bits(strict, v.rlike(FORMAT[kind]), F.regexp_replace(v, "^[ (]+", "").rlike(GAZETTEER[kind]), before.rlike(CONTEXT[kind]), borders)
-    features = _bits(F.length(v) >= F.lit((12, 9, 15, 11)[kind_no]), digits >= F.lit((3, 7, 14, 10)[kind_no]), v.rlike(FORMAT[kind]), v.contains(" "), borders & ~before.rlike(r"[.,:;@/=\"#-]$"))
-    return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), strict.alias("strict"), votes.alias("votes"), features.alias("features"))
+    votes = _bits(rule, formed, listed, told, borders)
+    features = _bits(F.length(v) >= F.lit((12, 9, 15, 11)[kind_no]), digits >= F.lit((3, 7, 14, 10)[kind_no]), formed, v.contains(" "), borders & ~before.rlike(r"[.,:;@/=\"#-]$"), told, rule)
+    base = F.lit(False) if strict is None else strict
+    return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), base.alias("strict"), votes.alias("votes"), features.alias("features"))
 
 
 def candidates(text: Column) -> Column:
@@ -162,10 +188,10 @@ def candidates(text: Column) -> Column:
         found = matches(text, pattern)
         if strict and kind == "card":  # shorter numbers are no candidates
             found = F.filter(found, lambda x: F.length(F.regexp_replace(x["value"], "[^0-9]", "")) >= 12)
-        return F.transform(found, lambda x: _told(kind, x, holds(kind, x["value"]) if strict else F.lit(False))).cast(_FOUND)
+        return F.transform(found, lambda x: _told(kind, x, holds(kind, x["value"]) if strict else None)).cast(_FOUND)
 
     out = [told(k, p, True) for k, p in STRICT.items()] + [told(k, p, False) for k, p in LOOSE.items()]
-    return F.when(text.rlike("[0-9@]| at |[(\\[]at[)\\]]"), F.concat(*out)).otherwise(empty)
+    return F.when(text.rlike("[0-9@]| at |[(\\[]at[)\\]]|::|[A-Fa-f]:"), F.concat(*out)).otherwise(empty)
 
 
 # ---- the model: plain arithmetic over the bounded table of patterns ----
