@@ -102,3 +102,16 @@ def test_op12(spark, docs, e, tmp_path, monkeypatch, limit):
 def test_empty(spark, docs, tmp_path):
     docs.where(F.lit(False)).write.parquet(f"{tmp_path}/documents.parquet")
     assert L.op12_alignment(spark, str(tmp_path)).count() == 0
+
+
+def test_memory_grows_in_place(e):
+    """New words are added to what is known without a copy of it, but for a few doublings."""
+    memory, held = L.Memory(e), set()
+    for i in range(0, 6000, 20):
+        memory.words([" ".join(f"word{k}" for k in range(i, i + 20))])
+        held.add(memory.held["links"].held.ctypes.data)
+    known = memory.known
+    assert len(held) < 12 and len(known.groups) == len(known.n_a) == len(memory.number) == 6000
+    for w in ("word0", "word19", "word5999"):
+        n = memory.number[w]
+        assert known.groups[n] == plain(e, w)[3] and known.at[n + 1] - known.at[n] == sum(plain(e, w)[4].values())

@@ -28,6 +28,7 @@ import functools
 import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,10 @@ def refined(coarse: np.ndarray, length: np.ndarray) -> np.ndarray:
     return ends
 
 
+def _two_columns(spans: list[tuple[int, int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(spans), np.int64, 2 * len(spans)).reshape(-1, 2)
+
+
 class Encoders:
     """Both tokenizers, of a task."""
 
@@ -89,19 +94,23 @@ class Encoders:
         self.a_bytes = [bytes(letter[c] for c in t) if all(c in letter for c in t) else t.encode() for t in entries]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_length, self.b_length = (np.array([len(t) for t in table], np.int64) for table in (self.a_bytes, self.b_bytes))
+        #: Ids as text, each with what follows it: A's within a group and as its last, then B's.
+        ends = [(len(self.a_bytes), ","), (len(self.a_bytes), "|"), (len(self.b_bytes), ","), (len(self.b_bytes), ";")]
+        self.written = np.array([f"{i}{end}" for n, end in ends for i in range(n)], object)
         self.by_word = not any(re.search("[^▁]▁", p) for p in pieces)
 
     def spans_a(self, text: str, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and coarse spans, in bytes, of a text with its space."""
         found = self.a.encode(text, add_special_tokens=False)
-        return np.array(found.ids, np.int64), infill.Exceptions(data).to_bytes(np.array(found.offsets, np.int64).reshape(-1, 2))
+        return np.array(found.ids, np.int64), infill.Exceptions(data).to_bytes(_two_columns(found.offsets))
 
     def spans_b(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """As spans_a; text: without the space that B adds, which has no place in its spans."""
-        found = np.array([(t.id, t.begin, t.end) for t in self.b.encode(text, return_type="proto").pieces], np.int64).reshape(-1, 3)
-        coarse = found[:, 1:] + 1
+        found = self.b.encode(text.encode(), return_type="offset_mapping")
+        coarse = _two_columns(found["offsets"]) + 1
         coarse[:1, 0] = 0
-        return found[:, 0], coarse
+        return np.array(found["ids"], np.int64), coarse
 
 
 @functools.cache
@@ -138,24 +147,26 @@ def alignments(e: Encoders, texts: list[str]) -> Alignments:
     raw = spaced.encode()
     data = np.frombuffer(raw, np.uint8)
     (a, a_coarse), (b, b_coarse) = e.spans_a(spaced, data), e.spans_b(text)
-    a_decoded, b_decoded = ([table[i] for i in ids.tolist()] for table, ids in ((e.a_bytes, a), (e.b_bytes, b)))
-    if b"".join(a_decoded) != raw or b"".join(b_decoded) != raw:
+    if any(b"".join(map(table.__getitem__, ids.tolist())) != raw for table, ids in ((e.a_bytes, a), (e.b_bytes, b))):
         half = len(texts) // 2
         return Alignments.of([alignments(e, texts[:half]), alignments(e, texts[half:])]) if half else Alignments(1)
-    a_ends, b_ends = (refined(x, np.array([len(t) for t in d], np.int64)) for x, d in ((a_coarse, a_decoded), (b_coarse, b_decoded)))
+    a_ends, b_ends = refined(a_coarse, e.a_length[a]), refined(b_coarse, e.b_length[b])
     both = np.intersect1d(a_ends, b_ends, assume_unique=True)
-    stops = np.cumsum([len(t.encode()) + 1 for t in texts])
+    stops = np.cumsum(np.fromiter(map(len, map(str.encode, texts)), np.int64, len(texts)) + 1)
     # how many tokens of A and of B, and common ends, stand up to the end of each text
     upto = [np.concatenate([[0], np.searchsorted(x, stops, "right")]) for x in (a_ends, b_ends, both)]
     out = Alignments()
     out.n_a, out.n_b, out.n_groups = (np.diff(x) for x in upto)
-    a_names, b_names = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    parts, i, j = [], 0, 0
-    for u, v in zip(np.searchsorted(a_ends, both, "right").tolist(), np.searchsorted(b_ends, both, "right").tolist(), strict=True):
-        parts.append(f"{a_names[i] if u == i + 1 else ','.join(a_names[i:u])}|{b_names[j] if v == j + 1 else ','.join(b_names[j:v])}")
-        i, j = u, v
-    cut = upto[2].tolist()
-    out.groups = [";".join(parts[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+    # the ids of a group's A tokens come before those of its B tokens; its last A token and its last B token end otherwise
+    a_upto, b_upto = np.searchsorted(a_ends, both, "right"), np.searchsorted(b_ends, both, "right")
+    a_of, b_of = (np.repeat(np.arange(len(both)), np.diff(x, prepend=0)) for x in (a_upto, b_upto))
+    n_a, n_b = len(e.a_bytes), len(e.b_bytes)
+    code = np.empty(len(a) + len(b), np.int64)
+    code[np.arange(len(a)) + np.concatenate([[0], b_upto])[a_of]] = a + n_a * np.isin(np.arange(len(a)), a_upto - 1, assume_unique=True)
+    code[np.arange(len(b)) + a_upto[b_of]] = b + 2 * n_a + n_b * np.isin(np.arange(len(b)), b_upto - 1, assume_unique=True)
+    written = e.written[code].tolist()
+    cut = (upto[0] + upto[1]).tolist()
+    out.groups = ["".join(written[i:j])[:-1] for i, j in zip(cut[:-1], cut[1:], strict=True)]
     # a token of A overlaps those of B from the one that holds its first byte to the one that holds its last
     begins = np.concatenate([[0], a_ends[:-1]])
     first = np.searchsorted(b_ends, begins, "right")
@@ -166,26 +177,62 @@ def alignments(e: Encoders, texts: list[str]) -> Alignments:
     return out
 
 
+class _Grown:
+    """An array that grows in place, by doubling."""
+
+    def __init__(self, first: int | None = None):
+        self.held, self.n = np.zeros(1024, np.int64), 0
+        if first is not None:
+            self.add(np.array([first]))
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.held):
+            self.held = np.concatenate([self.held[: self.n], np.zeros(self.n + len(more), np.int64)])
+        self.held[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+    @property
+    def now(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
 class Memory:
     """The alignments of words seen, by number; emptied when they are many."""
 
     def __init__(self, e: Encoders):
-        self.e, self.number, self.known = e, {}, Alignments()
+        self.e = e
+        self._emptied()
+
+    def _emptied(self) -> None:
+        self.number: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.held = {name: _Grown() for name in ("n_a", "n_b", "n_groups", "links")} | {"at": _Grown(0)}
+
+    @property
+    def known(self) -> Alignments:
+        out = Alignments()
+        out.n_a, out.n_b, out.n_groups, out.links, out.at = (self.held[name].now for name in ("n_a", "n_b", "n_groups", "links", "at"))
+        out.groups = self.groups
+        return out
 
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of the words of all texts, and how many each has."""
-        if len(self.number) > WORDS or len(self.known.links) > LINKS:
-            self.number, self.known = {}, Alignments()
+        if len(self.number) > WORDS or self.held["links"].n > LINKS:
+            self._emptied()
         split = [(_CUT.split(t) if self.e.by_word else [t]) if t else [] for t in texts]
-        fresh = {w for ws in split for w in ws if w not in self.number}
+        fresh = set(chain.from_iterable(split)).difference(self.number)
         # words that begin or end with white space, as a text's first and last may, can't stand between others
         joined = [w for w in fresh if self.e.by_word and not (w[0].isspace() or w[-1].isspace())]
         alone = list(fresh.difference(joined))
-        if fresh:
-            self.number |= {w: len(self.number) + i for i, w in enumerate(joined + alone)}
-            parts = [alignments(self.e, joined[i : i + TOGETHER]) for i in range(0, len(joined), TOGETHER)]
-            self.known = Alignments.of([self.known, *parts, *(alignments(self.e, [w]) for w in alone)])
-        return np.array([self.number[w] for ws in split for w in ws], np.int64), np.array([len(ws) for ws in split], np.int64)
+        for some in [*(joined[i : i + TOGETHER] for i in range(0, len(joined), TOGETHER)), *([w] for w in alone)]:
+            new = alignments(self.e, some)
+            self.number.update(zip(some, range(len(self.number), len(self.number) + len(some)), strict=True))
+            self.groups += new.groups
+            self.held["at"].add(new.at[1:] + self.held["links"].n)
+            for name in ("n_a", "n_b", "n_groups", "links"):
+                self.held[name].add(getattr(new, name))
+        n = np.fromiter(map(len, split), np.int64, len(split))
+        return np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, n.sum()), n
 
 
 @functools.cache
