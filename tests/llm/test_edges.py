@@ -58,3 +58,15 @@ def test_seats(spark):
     got = {(r.g, r.i): r.quota for r in mixing.seats(spark.createDataFrame(rows, "g int, i int, w double, total long"), ["g"], ["i"], "w", "total").collect()}
     for g, (weights, total) in groups.items():
         assert [got[g, i] for i in range(len(weights))] == plain_seats(weights, total), g
+
+
+def test_repeats_with_a_full_sieve(spark, monkeypatch):
+    """Where all bits of the sieve are marked, all windows are verified, with the same result; runs of windows come back as their ends."""
+    text = " ".join(f"w{i}" for i in range(120))
+    rows = [(1, text), (2, "a b " + " ".join(text.split()[:55]) + " c d " + " ".join(text.split()[60:]) + " e"), (3, None), (4, text), (5, " ".join(f"x{i}" for i in range(90)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for bits in (repeats.SIEVE, 6):
+        monkeypatch.setattr(repeats, "SIEVE", bits)
+        assert {(r.doc_id, r.n_words, r.n_removed) for r in repeats.without_repeats(df).collect()} == {(1, 120, 0), (2, 120, 115), (3, 0, 0), (4, 120, 120), (5, 90, 0)}
+    hits, gone = repeats.repeated(df)
+    assert [(r.doc, r.begins, r.lasts) for r in hits.collect()] == [(2, [2, 59], [7, 69])] and [r.doc for r in gone.collect()] == [4]

@@ -12,9 +12,10 @@ the context, every equal window of any document has the same symbol at the same
    most words of those whose context it covers (ties: the least name); these are exploded (one row for each of a
    document's symbols, not of its windows) and counted over documents: windows whose symbol stands in one
    document alone are ruled out, only shared symbols can belong to a repeat.
-2. Documents with windows left are parsed again; these windows are verified by a 128-bit hash of all their
-   words: a count of hashes finds those that start in two documents, a join brings back where.
-3. The covered words are cut out.
+2. The shared symbols are marked in a sieve, a table of bits of bounded size that every task gets, so that texts are parsed
+   again where they are read and never shuffled. A window whose symbol hits a marked bit, rightly or by chance, is verified
+   by a 128-bit hash of all its words: a count of hashes finds those that start in two documents, a join brings back where.
+3. The covered words are cut out. What goes to the texts is where runs of repeated windows begin and end.
 
 Windows that cover no context (in very long runs of one word) are all verified, so nothing is missed.
 Hot passages are counted by partial aggregation; the counts are written, then joined by broadcast where they measure
@@ -28,10 +29,12 @@ doc_id neither removes nor is removed. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,8 @@ from . import tokens as K
 
 WINDOW = 50
 ROUNDS = 4
+#: Bits of the sieve: SPARSE for each shared symbol, 2 ** SIEVE (16 MB) at most; where more are marked, more windows are verified.
+SPARSE, SIEVE = 16, 27
 #: The column that tells different texts of one doc_id apart: a hash of the text.
 ROW = "_row"
 
@@ -137,40 +142,46 @@ def _parsed(window: int) -> Callable:
     return run
 
 
-def _windows(window: int) -> Callable:
+def sieve(common: DataFrame) -> np.ndarray:
+    """The sieve's words of 64 bits; a symbol's place are its low bits."""
+    bits = min(max(6, math.ceil(math.log2(1 + SPARSE * common.count()))), SIEVE)
+    place = F.col("key").bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    words = common.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, CAST(key & 63 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(K.U64)
+
+
+def _windows(window: int, marked: Broadcast) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = marked.value
         for batch in batches:
-            told = batch.column("told").to_pylist()
-            ids, rows = batch.column("doc").to_pylist(), batch.column(ROW).to_pylist()
+            ids, rows = (batch.column(c).to_numpy() for c in ("doc", ROW))
             for chunk in K.chunks(batch.column("text")):
                 word, bounds = chunk.hashes(), chunk.bounds
                 start, key, has = window_keys(word, bounds, window)
-                of = np.searchsorted(start, bounds)
-                for i in range(chunk.n):
-                    mine = slice(of[i], of[i + 1])
-                    k, free, shared = key[mine], ~has[mine], told[chunk.first + i] or []
-                    less = np.isin(k, np.array([x["key"] for x in shared if x["less"]], np.int64)) | free
-                    more = np.isin(k, np.array([x["key"] for x in shared if x["more"]], np.int64)) | free
-                    pick = np.flatnonzero(less | more)
-                    if len(pick):
-                        at = start[mine][pick]
-                        a, b = (K.window_hash(word, at, window, second).view(np.int64) for second in (False, True))
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(at), ids[chunk.first + i])), pa.array(np.full(len(at), rows[chunk.first + i])), pa.array((at - bounds[i]).astype(np.int32)), pa.array(less[pick])], names=["a", "b", "doc", ROW, "at", "probe"])
+                k = key.view(K.U64) & K.U64(64 * len(table) - 1)
+                hit = (table[(k >> K.U64(6)).astype(np.int64)] >> (k & K.U64(63)) & K.U64(1)).astype(bool)
+                at = start[hit | ~has]
+                if len(at):
+                    of = np.searchsorted(bounds, at, "right") - 1
+                    a, b = (K.window_hash(word, at, window, second).view(np.int64) for second in (False, True))
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(ids[chunk.first + of]), pa.array(rows[chunk.first + of]), pa.array((at - bounds[of]).astype(np.int32))], names=["a", "b", "doc", ROW, "at"])
 
     return run
 
 
-def cut(text: str, starts: np.ndarray | None, whole: bool, window: int) -> tuple[int, list[bytes]]:
-    """Number of words, and the words left when those of the windows at `starts` go."""
+def cut(text: str, begins: np.ndarray | None, lasts: np.ndarray | None, whole: bool, window: int) -> tuple[int, list[bytes]]:
+    """Number of words, and the words left when those of the windows that start from `begins` to `lasts` go."""
     words = (text or "").encode().split()
     n = len(words)
     if whole:
         return n, []
-    if starts is None or not len(starts):
+    if begins is None or not len(begins):
         return n, words
     step = np.zeros(n + 1, np.int64)
-    np.add.at(step, starts, 1)
-    np.add.at(step, starts + window, -1)
+    np.add.at(step, begins, 1)
+    np.add.at(step, lasts + window, -1)
     return n, [w for w, gone in zip(words, (np.cumsum(step)[:n] > 0).tolist(), strict=True) if not gone]
 
 
@@ -178,8 +189,8 @@ def _cut(window: int, texts: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, starts, whole in zip(batch.column("text").to_pylist(), batch.column("starts"), batch.column("whole").to_pylist(), strict=True):
-                n, kept = cut(text, starts.values.to_numpy() if starts.is_valid else None, bool(whole), window)
+            for text, begins, lasts, whole in zip(batch.column("text").to_pylist(), batch.column("begins"), batch.column("lasts"), batch.column("whole").to_pylist(), strict=True):
+                n, kept = cut(text, *(x.values.to_numpy() if x.is_valid else None for x in (begins, lasts)), bool(whole), window)
                 joined = b" ".join(kept)
                 out.append((n, n - len(kept), joined.decode() if texts else hashlib.sha256(joined).hexdigest()))
             cols = list(zip(*out, strict=True)) or [[], [], []]
@@ -189,7 +200,7 @@ def _cut(window: int, texts: bool) -> Callable:
 
 
 def repeated(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(doc, _row, starts): where repeated windows start; (doc, _row) that equal an earlier document as a whole."""
+    """(doc, _row, begins, lasts): the first and last starts of each run of repeated windows; (doc, _row) that equal an earlier document as a whole."""
     texts = C.rows_of(docs, {"doc_id": "long", "text": "string"}).where("doc_id is not null").withColumnRenamed("doc_id", "doc").withColumn(ROW, F.xxhash64("text"))
     parsed = C.staged(texts.mapInArrow(_parsed(window), f"doc long, {ROW} long, n long, root_a long, root_b long, free boolean, keys array<long>"), "parsed")
     long = parsed.where(f"n >= {window}")
@@ -198,13 +209,15 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     left = C.join_sized(long, gone, ["doc", ROW], "left_anti", F.lit(16))
     flat = left.select(F.explode("keys").alias("key"), "doc")
     common = C.staged(flat.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last"), "common")
-    told = C.join_sized(flat, common, "key", "inner", F.lit(32)).groupBy("doc").agg(F.collect_list(F.struct("key", (F.col("first") < F.col("doc")).alias("less"), (F.col("last") > F.col("doc")).alias("more"))).alias("told"))
-    told = C.staged(left.where("free").select("doc").distinct().join(told, "doc", "full"), "told")
-    windows = C.staged(texts.join(told, "doc").select("doc", ROW, "text", "told").mapInArrow(_windows(window), f"a long, b long, doc long, {ROW} long, at int, probe boolean"), "windows")
+    marked = texts.sparkSession.sparkContext.broadcast(sieve(common))
+    others = C.join_sized(texts, gone, ["doc", ROW], "left_anti", F.lit(16))
+    windows = C.staged(others.select("doc", ROW, "text").mapInArrow(_windows(window, marked), f"a long, b long, doc long, {ROW} long, at int"), "windows")
     firsts = C.staged(windows.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("a", "b", "first"), "firsts")
-    hits = C.join_sized(windows.where("probe"), firsts, ["a", "b"], "inner", F.lit(40)).where("doc > first")
-    hits = C.staged(hits.groupBy("doc", ROW).agg(F.array_distinct(F.collect_list("at")).alias("starts")), "hits")
-    C.dropped(parsed, common, told, windows, firsts)
+    hits = C.join_sized(windows, firsts, ["a", "b"], "inner", F.lit(40)).where("doc > first")
+    hits = hits.groupBy("doc", ROW).agg(F.array_sort(F.collect_set("at")).alias("s"))
+    begins, lasts = (F.expr(f"filter(s, (x, i) -> coalesce(get(s, i + {d}) <> x + {d}, true))") for d in (-1, 1))
+    hits = C.staged(hits.select("doc", ROW, begins.alias("begins"), lasts.alias("lasts")), "hits")
+    C.dropped(parsed, common, windows, firsts)
     return hits, gone
 
 
@@ -215,8 +228,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) -
     rows = C.rows_of(docs, {"doc_id": "long", "text": "string"}).withColumn(ROW, F.xxhash64("text"))
     marks = hits.join(gone.withColumn("whole", F.lit(True)), ["doc", ROW], "full").withColumnRenamed("doc", "doc_id")
     marks = C.staged(marks, "marks")
-    both = C.join_sized(rows, marks, ["doc_id", ROW], "left", 32 + 4 * F.size(F.coalesce("starts", F.array().cast("array<int>"))))
-    return both.select("doc_id", "text", "starts", "whole").mapInArrow(_cut(window, texts), "doc_id long, n_words long, n_removed long, kept string")
+    both = C.join_sized(rows, marks, ["doc_id", ROW], "left", 32 + 8 * F.size(F.coalesce("begins", F.array().cast("array<int>"))))
+    return both.select("doc_id", "text", "begins", "lasts", "whole").mapInArrow(_cut(window, texts), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
