@@ -133,3 +133,13 @@ def test_sources(spark, tmp_path):
     (tmp_path / "deep" / "er").mkdir(parents=True)
     (tmp_path / "deep" / "er" / "n.wav").write_bytes(b"x")
     assert [r.path.rsplit("/", 1)[1] for r in io.list_noise_files(spark, str(tmp_path / "deep")).collect()] == ["n.wav"]
+
+
+def test_short_recordings_together():
+    """Recordings of one size are clustered at once, as one by one."""
+    rnd = np.random.default_rng(3)
+    parts = [rnd.integers(0, 5, (n, 2)).astype(float) if n % 2 else rnd.normal(size=(n, 2)) for n in rnd.integers(1, 12, 300).tolist() + [70, 64]]
+    first = np.cumsum([0] + [len(p) for p in parts[:-1]])
+    for eps, pct in (("auto", 5.0), (1.0, 5.0), (1.0, 60.0)):
+        got, plain = cluster._each(np.concatenate(parts), first, eps, pct), [cluster._one(p, eps, pct) for p in parts]
+        assert all((a == np.concatenate(b)).all() for a, b in zip(got, zip(*plain), strict=True))

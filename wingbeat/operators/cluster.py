@@ -20,8 +20,8 @@ import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,6 +35,8 @@ from .tables import join_null_safe, join_sized, staged
 ROWS = 1024
 #: Rows of a recording that one task clusters.
 SMALL = 2048
+#: Recordings of at most so many rows are clustered many at once.
+SHORT = 64
 #: Features that make the grid, vectors of a tile, tiles of a cell that one task compares with others, pairs compared at once.
 AXES, TILE, SPREAD, PAIRS = 3, 512, 64, 1 << 18
 #: Vectors of a cell in the first search for nearest neighbours, and by how much the next ones are wider.
@@ -132,28 +134,88 @@ def _one(x: np.ndarray, eps: float | str, pct: float) -> tuple[np.ndarray, np.nd
     return label, (label == best).astype(int)
 
 
-def _in_tasks(rows: DataFrame, eps: float | str, pct: float) -> DataFrame:
+def _alike(x: np.ndarray, eps: float | str, pct: float) -> tuple[np.ndarray, np.ndarray]:
+    """As _one, of many recordings with the same number of rows, at least 3; x: (recordings, rows, features)."""
+    k, n, _ = x.shape
+    d = np.sqrt(((x[:, :, None, :] - x[:, None, :, :]) ** 2).sum(axis=3))
+    if eps == "auto":
+        other = d.copy()
+        other[:, np.arange(n), np.arange(n)] = np.inf
+        nearest = np.sort(other.min(axis=2), axis=1)
+        low, high = nearest[:, :1], nearest[:, -1:]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gap = np.where(high > low, np.linspace(0, 1, n) - (nearest - low) / (high - low), 0.0)
+        at = gap.argmax(axis=1)
+        bend = np.where(gap[np.arange(k), at] > 0, nearest[np.arange(k), at], 0.0)
+        width = np.where(bend > 0, bend, nearest[:, -1])[:, None, None]
+    else:
+        width = float(eps)
+    near = d <= width
+    core = near.sum(axis=2) >= max(2, round(pct / 100 * n))
+    # the first core row that each one reaches
+    links, first = near & core[:, None, :], np.where(core, np.arange(n), n)
+    while True:
+        low = np.where(core, np.minimum(first, np.where(links, first[:, None, :], n).min(axis=2)), n)
+        if (low == first).all():
+            break
+        first = low
+    start = first == np.arange(n)
+    number = np.where(core, np.take_along_axis(np.cumsum(start, axis=1) - 1, np.minimum(first, n - 1), axis=1), n)
+    label = np.where(core, number, np.where(links, number[:, None, :], n).min(axis=2))
+    size = (label[:, None, :] == np.arange(n)[None, :, None]).sum(axis=2)
+    keep = (label == size.argmax(axis=1)[:, None]) & (label < n)
+    return np.where(label < n, label, -1), keep.astype(int)
+
+
+def _each(x: np.ndarray, first: np.ndarray, eps: float | str, pct: float) -> tuple[np.ndarray, np.ndarray]:
+    """Cluster and keep_label of the rows of recordings that begin at `first`; short ones are taken together by their number of rows."""
+    label, keep = np.full(len(x), -1), np.zeros(len(x), int)
+    n = np.diff(np.append(first, len(x)))
+    for size in np.unique(n[n >= 3]).tolist():
+        starts = first[n == size]
+        if size > SHORT:
+            for at in starts.tolist():
+                label[at : at + size], keep[at : at + size] = _one(x[at : at + size], eps, pct)
+            continue
+        some = max(1, PAIRS // (size * size))
+        for i in range(0, len(starts), some):
+            at = starts[i : i + some, None] + np.arange(size)
+            label[at], keep[at] = _alike(x[at], eps, pct)
+    return label, keep
+
+
+def _in_tasks(rows: DataFrame, d: int, eps: float | str, pct: float) -> DataFrame:
     """(recording, roi_no, cluster, keep_label) of small recordings, each within a task."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted rows, many recordings at once; a batch's last recording waits for the next batch."""
-        left = None
-        for pdf in batches:
-            pdf = pdf if left is None else pd.concat([left, pdf], ignore_index=True)
-            done = pdf["recording"] != pdf["recording"].iloc[-1] if len(pdf) else pd.Series([], dtype=bool)
-            left = pdf[~done]
-            if done.any():
-                yield told(pdf[done])
-        if left is not None and len(left):
+        left: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                name = batch.column("recording")
+                last = batch.num_rows - 1
+                changes = np.flatnonzero(np.asarray(pc.not_equal(name.slice(1), name.slice(0, last)))) + 1
+                if not len(changes) and (not left or left[-1].column("recording")[0] == name[0]):
+                    left.append(batch)
+                    continue
+                if not len(changes):
+                    yield told(left)
+                    left = [batch]
+                    continue
+                yield told([*left, batch.slice(0, int(changes[-1]))])
+                left = [batch.slice(int(changes[-1]))]
+        if left:
             yield told(left)
 
-    def told(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, name = np.stack(pdf["x"].to_numpy()), pdf["recording"].to_numpy()
-        first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
-        parts = [_one(part, eps, pct) for part in np.split(x, first[1:])]
-        return pdf[["recording", "roi_no"]].assign(cluster=np.concatenate([a for a, _ in parts]).astype("int32"), keep_label=np.concatenate([b for _, b in parts]).astype("int32"))
+    def told(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        name = table.column("recording")
+        x = table.column("x").flatten().to_numpy().reshape(-1, d)
+        first = np.concatenate([[0], np.flatnonzero(np.asarray(pc.not_equal(name.slice(1), name.slice(0, len(name) - 1)))) + 1])
+        label, keep = _each(x, first, eps, pct)
+        return pa.RecordBatch.from_arrays([name, table.column("roi_no"), pa.array(label.astype(np.int32)), pa.array(keep.astype(np.int32))], names=["recording", "roi_no", "cluster", "keep_label"])
 
-    return rows.repartition("recording").sortWithinPartitions("recording", "roi_no").mapInPandas(run, f"recording string, roi_no {dict(rows.dtypes)['roi_no']}, cluster int, keep_label int")
+    return rows.repartition("recording").sortWithinPartitions("recording", "roi_no").mapInArrow(run, f"recording string, roi_no {dict(rows.dtypes)['roi_no']}, cluster int, keep_label int")
 
 
 def _compared(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -342,9 +404,9 @@ def cluster_events(df: DataFrame, features: list[str], eps: float | str = "auto"
     named = rows.withColumns({"recording": F.coalesce(F.concat(F.lit("r"), "recording"), F.lit("null"))})  # so that null is a name like any other
     large = staged(named.groupBy("recording").count().where(F.col("count") > SMALL).select("recording"), "large")
     if large.isEmpty():
-        out = _in_tasks(named, eps, pct)
+        out = _in_tasks(named, len(features), eps, pct)
     else:
         size = F.length("recording") + 16
-        out = _in_tasks(join_sized(named, large, "recording", "left_anti", size), eps, pct)
+        out = _in_tasks(join_sized(named, large, "recording", "left_anti", size), len(features), eps, pct)
         out = out.unionByName(_in_grid(staged(join_sized(named, large, "recording", "left_semi", size), "rows"), len(features), eps, pct))
     return out.withColumn("recording", F.when(F.col("recording") != "null", F.substring("recording", 2, 1 << 30)))
