@@ -66,6 +66,7 @@ def weighted_sample(df: DataFrame, weight: str, n: int, key: str, seed: int = 0)
     rows = df.where(F.col(weight) > 0)
     rows = rows.withColumn("_most", rows.agg(F.max(weight)).scalar())
     rows = rows.select(key, F.greatest(F.lit(1), F.round(F.col(weight) / F.col("_most") * WEIGHT_PARTS)).cast("long").alias("_w"), order_key(seed, key).alias("_o")).withColumn("_bucket", hash_bucket(F.col("_o")))
+    rows = staged(rows, "weighed")  # what makes the rows runs once
     # one row for each of 16 ** DIGITS buckets at most: windows and broadcasts of them are bounded
     buckets = rows.groupBy("_bucket").agg(F.sum("_w").alias("_total"), F.count(F.lit(1)).alias("_rows"))
     buckets = staged(buckets.withColumn("_high", F.sum("_total").over(W.orderBy("_bucket"))), "buckets")
