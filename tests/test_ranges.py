@@ -110,3 +110,11 @@ def test_long_clips(spark):
     bands = batches.mel_bands(32000, 1024, 128)
     centre = [first + int(np.argmax(w)) if len(w) else -1 for first, w in bands]
     assert abs(centre[int(mel[:, 250].argmax())] * 32000 / 1024 - 4000) < 150
+
+
+def test_ranks_move_rows_once(spark):
+    """The sums of the buckets before are sent to the rows: only the window shuffles them."""
+    from wingbeat.operators import splits
+
+    plan = splits.ranked(spark.range(100).withColumnRenamed("id", "key"), "key", 1)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan

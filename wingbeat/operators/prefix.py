@@ -31,7 +31,8 @@ def running(df: DataFrame, bucket: Column, order: list[Column], sums: dict[str,
     before = group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select(*by, "_bucket", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
     inside = W.partitionBy(*[F.col(b) for b in by], F.col("_bucket")).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    rows = join_null_safe(rows, totals, [*by, "_bucket"])
+    # without groups there is one row for each bucket, so that rows needn't be shuffled for it
+    rows = join_null_safe(rows, totals if by else F.broadcast(totals), [*by, "_bucket"])
     for n, c in sums.items():
         rows = rows.withColumn(n, F.sum(c).over(inside) + F.col(f"_b_{n}"))
     return rows.drop("_bucket", *[f"_b_{n}" for n in sums])
