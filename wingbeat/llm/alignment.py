@@ -4,7 +4,7 @@ Tokenizer A is read by `tokenizers` from a JSON file of a byte-level BPE, B by `
 fallback. A encodes a space and the text, B the text, before which it sets a space itself; special tokens are neither
 added nor recognised.
 
-Spans: the libraries' own spans (character offsets of A, byte spans of B's proto) are coarse cuts. Where they give each
+Spans: the libraries' own spans (character offsets of A, byte spans of B's offset mapping) are coarse cuts. Where they give each
 token its own stretch they are taken as they are; where tokens share a character (pieces of one that has several bytes,
 byte-fallback tokens) the bytes that the tokens decode to refine them. The bytes where tokens of both end cut a text into
 groups, in which every two tokens whose bytes overlap are linked.
