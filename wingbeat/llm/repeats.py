@@ -9,17 +9,18 @@ the context, every equal window of any document has the same symbol at the same
 
 1. One scan parses all documents. The root name of the whole sequence finds equal documents; all but
    the first are gone as a whole. Every window is represented by its highest-level symbol, the one that stands for
-   most words of those whose context it covers (ties: the least name); these are exploded (one row for each of a
-   document's symbols, not of its windows) and counted over documents: windows whose symbol stands in one
-   document alone are ruled out, only shared symbols can belong to a repeat.
-2. The shared symbols are marked in a sieve, a table of bits of bounded size that every task gets, so that texts are parsed
-   again where they are read and never shuffled. A window whose symbol hits a marked bit, rightly or by chance, is verified
-   by a 128-bit hash of all its words: a count of hashes finds those that start in two documents, a join brings back where.
+   most words of those whose context it covers (ties: the least name); a window without one by the least name of its
+   words. Neighbouring windows with one symbol are a run, which is one row with a 128-bit hash of all its words.
+   Equal windows have equal symbols, so they stand in runs of the same symbol.
+2. Runs meet by symbol. Where all words of a run stand in an earlier document, all its windows are repeated. That leaves
+   the first document of each different run, and of these only symbols that more than one different run has: passages
+   that begin or end within a run. Their windows alone are hashed one by one, and meet by a 128-bit hash of all words.
+   Texts aren't shuffled for it: these runs are marked in two sieves, tables of bits of bounded size that every task gets,
+   by symbol and by run and document. A false hit is only one more run whose windows are compared.
 3. The covered words are cut out. What goes to the texts is where runs of repeated windows begin and end.
 
-Windows that cover no context (in very long runs of one word) are all verified, so nothing is missed.
-Hot passages are counted by partial aggregation; the counts are written, then joined by broadcast where they measure
-little, else by a shuffle whose hot keys Spark may split.
+Runs and compared windows are shuffled once each, at all sizes of the input. A run that an earlier document of the same chunk
+of texts holds as well is known to be repeated there and isn't shuffled, so that hot passages cost one row a chunk.
 
 Defined results: null and empty texts have no words, and nothing is removed from fewer words than the
 window; rows that repeat a doc_id don't remove each other, and each text of a repeated id is cut on its own; a null
@@ -35,7 +36,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -43,7 +44,7 @@ from . import tokens as K
 
 WINDOW = 50
 ROUNDS = 4
-#: Bits of the sieve: SPARSE for each shared symbol, 2 ** SIEVE (16 MB) at most; where more are marked, more windows are verified.
+#: Bits of a sieve: SPARSE for each row, 2 ** SIEVE (16 MB) at most; where more are marked, more windows are compared.
 SPARSE, SIEVE = 16, 27
 #: The column that tells different texts of one doc_id apart: a hash of the text.
 ROW = "_row"
@@ -95,11 +96,22 @@ def parse(word: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS) -> tuple[n
     return symbol, low, high, size
 
 
-def window_keys(word: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of all windows, each one's key, and whether it has one.
+def least(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The least of values[first:last] for every span; none is empty."""
+    level = np.log2(last - first).astype(np.int64) if len(first) else np.zeros(0, np.int64)
+    out, row = np.zeros(len(first), values.dtype), values
+    for k in range(int(level.max(initial=-1)) + 1):  # least of 1, 2, 4, 8, ... values from each one
+        at = np.flatnonzero(level == k)
+        out[at] = np.minimum(row[first[at]], row[last[at] - (1 << k)])
+        row = np.concatenate([np.minimum(row[: -(1 << k)], row[1 << k :]), row[-(1 << k) :]])
+    return out
 
-    The key of a window is the symbol of most words among those whose context it covers (ties: the least name): equal
-    windows have equal keys, and neighbouring windows mostly share theirs.
+
+def window_keys(word: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all windows and each one's key.
+
+    The key of a window is the symbol of most words among those whose context it covers (ties: the least name), or else the
+    least name of its words: equal windows have equal keys, and neighbouring windows mostly share theirs.
     """
     starts = np.flatnonzero(np.arange(len(word)) + window <= np.repeat(bounds[1:], np.diff(bounds)))
     symbol, low, high, size = parse(word, bounds)
@@ -111,62 +123,80 @@ def window_keys(word: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.n
     first, last = np.searchsorted(low, starts), np.searchsorted(high, starts + window, "right")
     has = last > first
     key = np.zeros(len(starts), K.U64)
-    if has.any():
-        table = [ranked]
-        for k in range(int(np.log2((last - first).max()))):  # least of 2, 4, 8, ... symbols from each one
-            row = table[-1].copy()
-            row[: -(1 << k)] = np.minimum(row[: -(1 << k)], row[1 << k :])
-            table.append(row)
-        level = np.zeros(len(starts), np.int64)
-        level[has] = np.log2((last - first)[has]).astype(np.int64)
-        for k, row in enumerate(table):
-            at = np.flatnonzero(has & (level == k))
-            key[at] = np.minimum(row[first[at]], row[last[at] - (1 << k)])
-    return starts, key.view(np.int64), has
+    key[has] = least(ranked, first[has], last[has])
+    key[~has] = least(word, starts[~has], starts[~has] + window)
+    return starts, key.view(np.int64)
+
+
+class _Runs:
+    """The runs of a chunk: maximal stretches of windows of one document with one key. at: first words; n: windows; of: documents; a, b: hashes of all words."""
+
+    def __init__(self, chunk: K.Chunk, window: int):
+        self.word, self.bounds = chunk.hashes(), chunk.bounds
+        start, key = window_keys(self.word, self.bounds, window)
+        of = np.searchsorted(self.bounds, start, "right") - 1
+        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])])) if len(start) else np.zeros(0, np.int64)
+        self.at, self.key, self.of, self.n = start[new], key[new], of[new], np.diff(np.append(new, len(start)))
+        self.a, self.b = (K.spans_hash(self.word, self.at, self.at + self.n + window - 1, p).view(np.int64) for p in K._word_powers)
+
+
+def _later(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of equal runs (a, b), those that don't stand in the first document of all these."""
+    order = np.lexsort((doc, b, a))
+    new = np.ones(len(a), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    out = np.zeros(len(a), bool)
+    out[order] = doc[order] > doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    return out
 
 
 def _parsed(window: int) -> Callable:
+    names = ["doc", ROW, "at", "n", "key", "a", "b", "known"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids, rows = (batch.column(c).to_numpy() for c in ("doc", ROW))
             for chunk in K.chunks(batch.column("text")):
-                word, bounds = chunk.hashes(), chunk.bounds
-                at, key, has = window_keys(word, bounds, window)
-                of = np.searchsorted(at, bounds)
-                roots = [K.spans_hash(word, bounds[:-1], bounds[1:], p).view(np.int64) for p in K._word_powers]
-                keys = [np.unique(key[i:j][has[i:j]]) for i, j in zip(of[:-1], of[1:], strict=True)]
-                free = [not has[i:j].all() for i, j in zip(of[:-1], of[1:], strict=True)]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
-                part = slice(chunk.first, chunk.first + chunk.n)
-                yield pa.RecordBatch.from_arrays([batch.column("doc")[part], batch.column(ROW)[part], pa.array(chunk.counts.astype(np.int64)), pa.array(roots[0]), pa.array(roots[1]), pa.array(free), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))], names=["doc", ROW, "n", "root_a", "root_b", "free", "keys"])
+                runs = _Runs(chunk, window)
+                doc, row = ids[chunk.first + runs.of], rows[chunk.first + runs.of]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, row, (runs.at - runs.bounds[runs.of]).astype(np.int32), runs.n.astype(np.int32), runs.key, runs.a, runs.b, _later(runs.a, runs.b, doc))], names=names)
+                long = np.flatnonzero(chunk.counts >= window)  # whole documents, by their root names
+                a, b = (K.spans_hash(runs.word, runs.bounds[long], runs.bounds[long + 1], p).view(np.int64) for p in K._word_powers)
+                whole = np.full(len(long), -1, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[chunk.first + long], rows[chunk.first + long], whole, chunk.counts[long].astype(np.int32), whole.astype(np.int64), a, b, np.zeros(len(long), bool))], names=names)
 
     return run
 
 
-def sieve(common: DataFrame) -> np.ndarray:
-    """The sieve's words of 64 bits; a symbol's place are its low bits."""
-    bits = min(max(6, math.ceil(math.log2(1 + SPARSE * common.count()))), SIEVE)
-    place = F.col("key").bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-    words = common.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, CAST(key & 63 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+def sieve(marks: DataFrame) -> np.ndarray:
+    """The words of 64 bits of a sieve of column `mark`, whose low bits are a place."""
+    bits = min(max(6, math.ceil(math.log2(1 + SPARSE * marks.count()))), SIEVE)
+    place = F.col("mark").bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    words = marks.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, CAST(mark & 63 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return out.view(K.U64)
 
 
+def _hit(table: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    k = mark.view(K.U64) & K.U64(64 * len(table) - 1)
+    return (table[(k >> K.U64(6)).astype(np.int64)] >> (k & K.U64(63)) & K.U64(1)).astype(bool)
+
+
 def _windows(window: int, marked: Broadcast) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = marked.value
+        keys, firsts = marked.value
         for batch in batches:
             ids, rows = (batch.column(c).to_numpy() for c in ("doc", ROW))
             for chunk in K.chunks(batch.column("text")):
-                word, bounds = chunk.hashes(), chunk.bounds
-                start, key, has = window_keys(word, bounds, window)
-                k = key.view(K.U64) & K.U64(64 * len(table) - 1)
-                hit = (table[(k >> K.U64(6)).astype(np.int64)] >> (k & K.U64(63)) & K.U64(1)).astype(bool)
-                at = start[hit | ~has]
-                if len(at):
-                    of = np.searchsorted(bounds, at, "right") - 1
-                    a, b = (K.window_hash(word, at, window, second).view(np.int64) for second in (False, True))
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(ids[chunk.first + of]), pa.array(rows[chunk.first + of]), pa.array((at - bounds[of]).astype(np.int32))], names=["a", "b", "doc", ROW, "at"])
+                runs = _Runs(chunk, window)
+                hit = np.flatnonzero(_hit(keys, runs.key) & _hit(firsts, runs.a ^ ids[chunk.first + runs.of]))
+                if len(hit):
+                    n = runs.n[hit]
+                    of = np.repeat(runs.of[hit], n)
+                    at = np.repeat(runs.at[hit] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    a, b = (K.window_hash(runs.word, at, window, second).view(np.int64) for second in (False, True))
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(ids[chunk.first + of]), pa.array(rows[chunk.first + of]), pa.array((at - runs.bounds[of]).astype(np.int32))], names=["a", "b", "doc", ROW, "at"])
 
     return run
 
@@ -202,22 +232,28 @@ def _cut(window: int, texts: bool) -> Callable:
 def repeated(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(doc, _row, begins, lasts): the first and last starts of each run of repeated windows; (doc, _row) that equal an earlier document as a whole."""
     texts = C.rows_of(docs, {"doc_id": "long", "text": "string"}).where("doc_id is not null").withColumnRenamed("doc_id", "doc").withColumn(ROW, F.xxhash64("text"))
-    parsed = C.staged(texts.mapInArrow(_parsed(window), f"doc long, {ROW} long, n long, root_a long, root_b long, free boolean, keys array<long>"), "parsed")
-    long = parsed.where(f"n >= {window}")
-    classes = long.groupBy("root_a", "root_b", "n").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    gone = C.staged(C.join_sized(long.select("root_a", "root_b", "n", "doc", ROW), C.staged(classes, "classes"), ["root_a", "root_b", "n"], "inner", F.lit(40)).where("doc > first").select("doc", ROW).distinct(), "gone")
-    left = C.join_sized(long, gone, ["doc", ROW], "left_anti", F.lit(16))
-    flat = left.select(F.explode("keys").alias("key"), "doc")
-    common = C.staged(flat.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last"), "common")
-    marked = texts.sparkSession.sparkContext.broadcast(sieve(common))
-    others = C.join_sized(texts, gone, ["doc", ROW], "left_anti", F.lit(16))
-    windows = C.staged(others.select("doc", ROW, "text").mapInArrow(_windows(window, marked), f"a long, b long, doc long, {ROW} long, at int"), "windows")
-    firsts = C.staged(windows.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("a", "b", "first"), "firsts")
-    hits = C.join_sized(windows, firsts, ["a", "b"], "inner", F.lit(40)).where("doc > first")
-    hits = hits.groupBy("doc", ROW).agg(F.array_sort(F.collect_set("at")).alias("s"))
+    parsed = C.staged(texts.mapInArrow(_parsed(window), f"doc long, {ROW} long, at int, n int, key long, a long, b long, known boolean"), "parsed")
+    whole = parsed.where("at < 0").select("a", "b", "n", "doc", ROW)
+    classes = whole.groupBy("a", "b", "n").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    gone = C.staged(C.join_sized(whole, C.staged(classes, "classes"), ["a", "b", "n"], "inner", F.lit(40)).where("doc > first").select("doc", ROW).distinct(), "gone")
+    runs = parsed.where("at >= 0")
+    by_key, by_run = Window.partitionBy("key"), Window.partitionBy("key", "a", "b")
+    judged = runs.where("not known").repartition("key").sortWithinPartitions("key", "a", "b")
+    judged = judged.withColumn("differ", (F.min("a").over(by_key) < F.max("a").over(by_key)) & (F.min("doc").over(by_key) < F.max("doc").over(by_key)))
+    judged = judged.withColumn("later", F.col("doc") > F.min("doc").over(by_run)).where("later or differ")
+    judged = C.staged(judged.select("doc", ROW, "at", "n", "key", "a", "later"), "judged")
+    firsts = judged.where("not later")
+    marks = [sieve(firsts.select(F.col("key").alias("mark")).distinct()), sieve(firsts.select(F.col("a").bitwiseXOR(F.col("doc")).alias("mark")))]
+    marked = texts.sparkSession.sparkContext.broadcast(marks)
+    windows = texts.mapInArrow(_windows(window, marked), f"a long, b long, doc long, {ROW} long, at int")
+    windows = windows.withColumn("first", F.min("doc").over(Window.partitionBy("a", "b"))).where("doc > first").select("doc", ROW, "at", F.lit(1).alias("n"))
+    hits = runs.where("known").select("doc", ROW, "at", "n").union(judged.where("later").select("doc", ROW, "at", "n")).union(windows)
+    hits = hits.groupBy("doc", ROW).agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+    hits = C.join_sized(hits, gone, ["doc", ROW], "left_anti", F.lit(16))
+    hits = hits.withColumn("s", F.expr("array_sort(array_distinct(flatten(transform(runs, x -> sequence(x.at, x.at + x.n - 1)))))"))
     begins, lasts = (F.expr(f"filter(s, (x, i) -> coalesce(get(s, i + {d}) <> x + {d}, true))") for d in (-1, 1))
     hits = C.staged(hits.select("doc", ROW, begins.alias("begins"), lasts.alias("lasts")), "hits")
-    C.dropped(parsed, common, windows, firsts)
+    C.dropped(parsed, judged)
     return hits, gone
 
 
